@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import licences, quality
+from . import counting, licences, quality, secrets, tokens
 
 QUERIES = {
     "op2_license_scan": licences.op2_license_scan,
+    "op3_token_output": tokens.op3_token_output,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_token_counts": counting.op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_secret_scan": secrets.SQL}
