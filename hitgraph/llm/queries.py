@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import counting, licences, quality, secrets, tokens
+from . import counting, decontaminate, licences, mixing, quality, secrets, tokens
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_license_scan": licences.op2_license_scan,
     "op3_token_output": tokens.op3_token_output,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_source_mixing": mixing.op7_source_mixing,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_token_counts": counting.op10_token_counts,
 }
