@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import counting, decontaminate, licences, mixing, quality, repeats, secrets, tokens
+from . import counting, decontaminate, licences, mixing, quality, repeats, secrets, tokens, wrappers
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_license_scan": licences.op2_license_scan,
     "op3_token_output": tokens.op3_token_output,
     "op4_repeated_strings": repeats.op4_repeated_strings,
+    "op5_html_extraction": wrappers.op5_html_extraction,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_quality_rules": quality.op8_quality_rules,
