@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counting, decontaminate, licences, mixing, quality, repeats, secrets, tokens, wrappers
+from . import counting, decontaminate, jaccard, licences, mixing, quality, repeats, secrets, tokens, wrappers
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_token_counts": counting.op10_token_counts,
 }
 
