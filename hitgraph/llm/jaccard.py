@@ -55,7 +55,12 @@ def shingle_sets(column: pa.Array, size: int = SIZE) -> list[np.ndarray]:
 
 def class_of(s: np.ndarray) -> int:
     """A name of the whole set."""
-    return int(util.mix(np.array([np.add.reduce(util.mix(s + np.uint64(5))) + np.uint64(len(s))], np.uint64)).view(_I64)[0])
+    return int(util.mix(np.array([np.add.reduce(util.mix(s + np.uint64(5)))], np.uint64) + np.uint64(len(s))).view(_I64)[0])
+
+
+def group_of(prefix: np.ndarray, n: int) -> int:
+    """A name of the prefix and the set's size."""
+    return int(util.mix(np.array([np.add.reduce(util.mix(prefix + np.uint64(11)))], np.uint64) * np.uint64(31) + np.uint64(n)).view(_I64)[0])
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -134,7 +139,7 @@ def _second_scan(docs: DataFrame, size: int, percent: int, frequent: np.ndarray)
                     continue
                 keys = order.keys(s)
                 prefix = keys[: n - (-(-percent * n // 100)) + 1]
-                gid = int(util.mix(np.array([np.add.reduce(util.mix(prefix + np.uint64(11))) * np.uint64(31) + np.uint64(n)], np.uint64)).view(_I64)[0])
+                gid = group_of(prefix, n)
                 c = class_of(s)
                 if (gid, c) in seen:
                     continue
