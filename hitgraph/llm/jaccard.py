@@ -74,7 +74,7 @@ def need(n, m, percent):
 
 
 def _first_scan(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: doc_id, class, set size; kind 1: shingle, how often, for those repeated within a task's share."""
+    """kind 0: doc_id, class, set size, bitmap; kind 1: shingle, how often, for those repeated within a task's share."""
 
     def kernel(batches):
         held: list[np.ndarray] = []
@@ -84,12 +84,12 @@ def _first_scan(docs: DataFrame, size: int) -> DataFrame:
             v, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             some = n >= 4
-            return pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(some.sum(), np.int32)), "a": pa.array(v[some].view(_I64)), "b": pa.array(n[some].astype(_I64)), "n": pa.array(np.zeros(some.sum(), np.int32))})
+            return pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(some.sum(), np.int32)), "a": pa.array(v[some].view(_I64)), "b": pa.array(n[some].astype(_I64)), "n": pa.array(np.zeros(some.sum(), np.int32)), "bits": pa.nulls(some.sum(), pa.binary())})
 
         for rb in util.slices(batches, "text"):
             sets = shingle_sets(rb.column("text"), size)
             yield pa.RecordBatch.from_pydict(
-                {"kind": pa.array(np.zeros(len(sets), np.int32)), "a": rb.column("doc_id"), "b": pa.array([class_of(s) if len(s) else 0 for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32())}
+                {"kind": pa.array(np.zeros(len(sets), np.int32)), "a": rb.column("doc_id"), "b": pa.array([class_of(s) if len(s) else 0 for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "bits": pa.array([bitmap(s) for s in sets], pa.binary())}
             )
             seen = {class_of(s): s for s in sets if len(s)}
             held.extend(seen.values())
@@ -100,7 +100,7 @@ def _first_scan(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(kernel, "kind int, a long, b long, n int")
+    return docs.select("doc_id", "text").mapInArrow(kernel, "kind int, a long, b long, n int, bits binary")
 
 
 class Order:
@@ -249,20 +249,39 @@ def _pairs_apart(entries: DataFrame, percent: int) -> DataFrame:
     return entries.mapInArrow(kernel, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between the first documents of classes a, b whose sets reach the threshold."""
-    one = lambda p: sets.select(F.col("cls").alias(p), F.col("rep").alias(f"rep_{p}"), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}"))
+def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """cls, members (whole sets) of the wanted classes (rep, cls), from their first documents' texts."""
+    if wanted.count() <= _BROADCAST_IDS:  # 16 bytes each
+        wanted = F.broadcast(wanted)
+
+    def kernel(batches):
+        for rb in util.slices(batches, "text"):
+            sets = shingle_sets(rb.column("text"), size)
+            names = np.array([class_of(s) if len(s) else 0 for s in sets], _I64)
+            some = np.flatnonzero(names == rb.column("cls").to_numpy())
+            yield pa.RecordBatch.from_pydict({"cls": pa.array(names[some]), "members": pa.array([sets[i].tobytes() for i in some], pa.binary())})
+
+    return rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("text", "cls").mapInArrow(kernel, "cls long, members binary")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) between the first documents of classes a, b whose sets reach the threshold.
+
+    The bitmaps sieve without error of the first kind; whole sets are read for the pairs that they leave only.
+    """
+    one = lambda p: classes.select(F.col("cls").alias(p), F.col("rep").alias(f"rep_{p}"), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}"))
 
     def sieve(batches):
         for rb in batches:
             n, m = rb.column("n_a").to_numpy().astype(_I64), rb.column("n_b").to_numpy().astype(_I64)
             x, y = (np.frombuffer(b"".join(rb.column(c).to_pylist()), np.uint8).reshape(-1, 64) for c in ("bits_a", "bits_b"))
-            apart = np.unpackbits(x ^ y, axis=1).sum(1) if rb.num_rows else np.zeros(0, int)
-            ok = apart <= n + m - 2 * need(n, m, percent)
-            yield rb.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(ok))
+            apart = np.unpackbits(x ^ y, axis=1).sum(1, dtype=_I64)
+            yield rb.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(apart <= n + m - 2 * need(n, m, percent)))
 
-    close = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(sieve, "a long, b long, rep_a long, rep_b long")
-    close = util.persist(close)
+    close = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "bits_a", "bits_b")
+    close = util.persist(close.mapInArrow(sieve, "a long, b long, rep_a long, rep_b long"))
+    wanted = close.select(F.col("rep_a").alias("rep"), F.col("a").alias("cls")).unionAll(close.select("rep_b", "b")).distinct()
+    sets = util.persist(_sets(rows, util.persist(wanted), size))
     whole = lambda p: sets.select(F.col("cls").alias(p), F.col("members").alias(f"set_{p}"))
 
     def exact(batches):
@@ -292,39 +311,20 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
 
     first = util.persist(_first_scan(rows, size))
-    members = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n")
+    members = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n", "bits")
     top = first.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.desc("c"), "a").limit(FREQUENT).toPandas()
     frequent = top.sort_values(["c", "a"])["a"].to_numpy(_I64).view(np.uint64)
-    classes = util.persist(members.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")))
+    classes = util.persist(members.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")))
 
     entries = _second_scan(rows, size, percent, frequent)
     entries = util.persist(_meeting(entries.repartitionByRange(parts, "key", "n", "gid").sortWithinPartitions("key", "n", "gid", "pos")))
-    groups = entries.where("pos < 0").select("gid", "cls").distinct().join(classes, "cls")
+    groups = entries.where("pos < 0").select("gid", "cls").distinct().join(classes.select("cls", "rep"), "cls")
     groups = util.persist(groups)
     entries = entries.where("pos >= 0")
     crowded = groups.groupBy("gid").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
 
-    # whole sets of the classes that meet others
-    active = util.persist(entries.select("gid").unionAll(crowded.select("gid")).distinct().join(groups, "gid").select("rep").distinct())
-    if active.count() <= _BROADCAST_IDS:  # 8 bytes each
-        active = F.broadcast(active)
-
-    def kernel(batches):
-        for rb in util.slices(batches, "text"):
-            sets = shingle_sets(rb.column("text"), size)
-            some = [i for i, s in enumerate(sets) if len(s)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "rep": rb.column("doc_id").take(pa.array(some, pa.int64())), "cls": pa.array([class_of(sets[i]) for i in some], pa.int64()), "n": pa.array([len(sets[i]) for i in some], pa.int32()),
-                    "bits": pa.array([bitmap(sets[i]) for i in some], pa.binary()), "members": pa.array([sets[i].tobytes() for i in some], pa.binary()),
-                }
-            )
-
-    sets = rows.join(active, rows["doc_id"] == active["rep"], "left_semi").mapInArrow(kernel, "rep long, cls long, n int, bits binary, members binary")
-    sets = util.persist(_once(sets))
-
     inside = groups.join(crowded, "gid").where("cls <> least").select(F.least("cls", "least").alias("a"), F.greatest("cls", "least").alias("b"))
-    links = _verified(_neighbours(entries, percent).unionByName(inside).distinct(), sets, percent)
+    links = _verified(_neighbours(entries, percent).unionByName(inside).distinct(), classes, rows, size, percent)
     labels = components(links)
 
     # what is still apart
@@ -341,21 +341,16 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     wide = far.join(side("a"), "a").join(side("b"), "b").where("o_a <> o_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
     l, r = at.alias("l"), at.alias("r")
     within = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.comp") != F.col("r.comp"))).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-    more = _verified(util.persist(wide.unionByName(within).distinct()), sets, percent)
+    more = _verified(util.persist(wide.unionByName(within).distinct()), classes, rows, size, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    named = members.join(classes, "cls", "left")
+    named = members.select("doc_id", "cls", "n").join(classes.select("cls", "rep"), "cls", "left")
     out = named.join(labels, named["rep"] == labels["node"], "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(linked, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _once(sets: DataFrame) -> DataFrame:
-    """One row per class: copies of it hold the same set."""
-    return sets.groupBy("cls").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("members").alias("members"))
-
-
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are first of their component (smallest doc_id), all columns; of repeated rows one stays.
 
