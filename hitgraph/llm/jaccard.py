@@ -64,8 +64,25 @@ def group_of(prefix: np.ndarray, n: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """512 parities: where two differ is at most how many shingles the sets do not share."""
-    return np.packbits(np.bincount((s & np.uint64(511)).astype(_I64), minlength=512).astype(np.uint8) & 1).tobytes()
+    """Parities of the shingles that fall on each bit, as many bits as shingles or more (512 to 65536).
+
+    Where two differ is at most how many shingles the sets do not share, and nearly that if those are few.
+    """
+    bits = min(65_536, max(512, 1 << (len(s) - 1).bit_length())) if len(s) else 512
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(_I64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(b: bytes, size: int = 64) -> np.ndarray:
+    """The bitmap with fewer bits, as bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, size), axis=0)
+
+
+def differ(x: bytes, y: bytes) -> int:
+    size = min(len(x), len(y))
+    return int(_ONES[folded(x, size) ^ folded(y, size)].sum())
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)], _I64)
 
 
 def need(n, m, percent):
@@ -219,10 +236,15 @@ def _pairs_apart(entries: DataFrame, percent: int) -> DataFrame:
     """Round two: all pairs in the lists of shingles whose components differ and that pass the filters."""
 
     def kernel(batches):
-        got = _columns(batches, "gid", "n", "key", "pos", "indexed", "comp")
-        if got is None:
+        held: list[pa.RecordBatch] = [rb for rb in batches if rb.num_rows]
+        if not held:
             return
-        gid, n, key, pos, indexed, comp = got
+        gid, n, key, pos, indexed, comp = _columns(held, "gid", "n", "key", "pos", "indexed", "comp")
+        plain = np.zeros(64, np.uint8)
+        given = [b for rb in held for b in rb.column("bits").to_pylist()]
+        bits = np.stack([plain if b is None else folded(b) for b in given])
+        lone = np.array([b is not None for b in given])
+        held.clear()
         n = n.astype(_I64)
         size = len(key)
         begin = np.searchsorted(key, key, side="left")
@@ -241,6 +263,11 @@ def _pairs_apart(entries: DataFrame, percent: int) -> DataFrame:
             ok = indexed[y] & (comp[x] != comp[y])
             x, y = x[ok], y[ok]
             ok = _fits(n[x], pos[x], n[y], pos[y], percent)
+            x, y = x[ok], y[ok]
+            ok = np.zeros(len(x), bool)
+            for k in range(0, len(x), 100_000):
+                z = slice(k, k + 100_000)
+                ok[z] = (_ONES[bits[x[z]] ^ bits[y[z]]].sum(1) <= n[x[z]] + n[y[z]] - 2 * need(n[x[z]], n[y[z]], percent)) | ~(lone[x[z]] & lone[y[z]])
             x, y = gid[x[ok]], gid[y[ok]]
             p = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
             yield pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(p[:, 0])), "b": pa.array(np.ascontiguousarray(p[:, 1]))})
@@ -274,8 +301,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
     def sieve(batches):
         for rb in batches:
             n, m = rb.column("n_a").to_numpy().astype(_I64), rb.column("n_b").to_numpy().astype(_I64)
-            x, y = (np.frombuffer(b"".join(rb.column(c).to_pylist()), np.uint8).reshape(-1, 64) for c in ("bits_a", "bits_b"))
-            apart = np.unpackbits(x ^ y, axis=1).sum(1, dtype=_I64)
+            apart = np.array([differ(x, y) for x, y in zip(rb.column("bits_a").to_pylist(), rb.column("bits_b").to_pylist())], _I64)
             yield rb.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(apart <= n + m - 2 * need(n, m, percent)))
 
     close = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "bits_a", "bits_b")
@@ -335,7 +361,10 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     mixed = mixed.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.abs(F.col("gid")) - 1).alias("comp"))
     placed = util.persist(entries.select("gid", "n", "key", "pos", "indexed").join(mixed, "gid"))
     several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = placed.join(several, "key", "left_semi").repartition(parts, "key").sortWithinPartitions("key", "n", "gid")
+    # a group's classes may have bitmaps of their own, so a group of several is not sieved yet: it has none
+    shown = groups.join(classes.select("cls", "bits"), "cls").groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.min("bits").alias("bits"))
+    shown = shown.select("gid", F.when(F.col("k") == 1, F.col("bits")).alias("bits"))
+    open_ = placed.join(several, "key", "left_semi").join(shown, "gid").repartition(parts, "key").sortWithinPartitions("key", "n", "gid")
     far = _pairs_apart(open_, percent)
     side = lambda p: at.select(F.col("gid").alias(p), F.col("cls").alias(f"c_{p}"), F.col("comp").alias(f"o_{p}"))
     wide = far.join(side("a"), "a").join(side("b"), "b").where("o_a <> o_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
