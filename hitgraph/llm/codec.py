@@ -22,8 +22,8 @@ _HEAD = struct.Struct("<4sIIIIIII")  # magic, ids, lanes, vocabulary, documents,
 TOP = 24  # bits of the frequencies' total
 MASK48 = U64((1 << 48) - 1)
 SLOTS = 1 << 18
-#: Rows of about so many ids between two refreshes of the order-0 distribution.
-REFRESH = 8192
+#: Ids between two refreshes of the order-0 distribution: so many, or an eighth of those seen.
+REFRESH = 4096
 
 
 class _Model:
@@ -34,7 +34,7 @@ class _Model:
         self.hits = np.ones((32, 3), np.int64)  # by kind of context: order 2, order 1, neither came true
         self.hits[:, 2] = 4
         self.seen = np.zeros(vocab, np.int64)
-        self.fresh = 0
+        self.fresh = self.total = 0
         self.last = np.full(lanes, vocab, np.int64)  # vocab: none yet
         self.before = np.full(lanes, vocab, np.int64)
         self.refresh()
@@ -49,11 +49,22 @@ class _Model:
         freq[0] += (1 << TOP) - int(freq.sum())
         self.cum = np.zeros(self.vocab + 1, np.int64)
         np.cumsum(freq, out=self.cum[1:])
+        # where each 64th of the range begins to look for its symbol
+        self.look = np.repeat(np.arange(self.vocab, dtype=np.int32), np.diff((self.cum + 63) >> 6))
         # the mix, in 4096ths; order 0 keeps a 32nd at least
         share = self.hits[:, :2] * 3840 // self.hits.sum(1, keepdims=True) + 1
         self.share = share.astype(np.int64) << (TOP - 12)
         self.fresh = 0
 
+    def symbol(self, at: np.ndarray) -> np.ndarray:
+        """The symbol whose stretch of order 0 holds each place."""
+        x = self.look[at >> 6].astype(np.int64)
+        more = np.flatnonzero(self.cum[x + 1] <= at)
+        while len(more):
+            x[more] += 1
+            more = more[self.cum[x[more] + 1] <= at[more]]
+        return x
+
     def predict(self, n: int):
         a, b = self.last[:n], self.before[:n]
         slot = (a * 40503 + b * 65599 + (b >> 3)) & (SLOTS - 1)
@@ -79,7 +90,8 @@ class _Model:
         self.before[:n] = a
         self.last[:n] = ids
         self.fresh += n
-        if self.fresh >= REFRESH:
+        self.total += n
+        if self.fresh >= max(REFRESH, self.total >> 3):
             self.refresh()
 
 
@@ -187,8 +199,7 @@ def decode_block(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         step = size[:m] >> U64(TOP)
         v = np.minimum((code[:m] // step).astype(np.int64), (1 << TOP) - 1)
         rest = np.maximum(v - base, 0)
-        x0 = np.searchsorted(model.cum, (((rest + 1) << TOP) - 1) // w0, side="right") - 1
-        x0 = np.minimum(x0, vocab - 1)
+        x0 = model.symbol(np.minimum((((rest + 1) << TOP) - 1) // w0, (1 << TOP) - 1))
         c, d = (model.cum[x0] * w0) >> TOP, (model.cum[x0 + 1] * w0) >> TOP
         is2, is1 = v < w2, (v >= w2) & (v < base)
         x = np.where(is2, p2, np.where(is1, p1, x0)).astype(np.int64)

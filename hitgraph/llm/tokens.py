@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,14 @@ from . import codec, util
 BLOCK_IDS = 1 << 19
 LANES = 4096
 #: Words whose ids a worker remembers at most.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 2_000_000
+
+
+#: Classes of Latin-1 characters in lower case: 0 white space, 1 letter, 2 number, 3 other.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 1
+_KIND[[*range(48, 58), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = 2
+_KIND[[*range(9, 14), 32, 0x85, 0xA0]] = 0
 
 
 class Encoder:
@@ -28,9 +35,6 @@ class Encoder:
     pre-tokenizer does it, and each new word goes through the library; all other texts go through it whole.
     """
 
-    _WORDS = re.compile(
-        rb"'(?:s|t|re|ve|m|ll|d)|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
-    )
     _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str) -> None:
@@ -47,51 +51,126 @@ class Encoder:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         norm = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.by_words = norm == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern", {}).get("Regex") == self._SPLIT and steps[0].get("invert") is True
+        self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pool: list[np.ndarray] = []
+        """Words are known by a 64-bit hash, in a table with open addressing."""
+        self.hash = np.zeros(1 << 16, np.uint64)
+        self.number = np.full(1 << 16, -1, np.int32)
+        self.known = 0
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if not new:
-            return
-        coded = self.library.encode_batch([w.decode("latin-1") for w in new], add_special_tokens=False)
-        ids = [e.ids for e in coded]
-        n = len(self.known)
-        self.known.update(zip(new, range(n, n + len(new))))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in ids])])
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the words, -1 for unknown ones."""
+        mask = np.uint64(len(self.hash) - 1)
+        at = (h & mask).astype(np.int64)
+        out = self.number[at]
+        again = np.flatnonzero((out >= 0) & (self.hash[at] != h))
+        while len(again):
+            at[again] = (at[again] + 1) & int(mask)
+            got = self.number[at[again]]
+            out[again] = got
+            again = again[(got >= 0) & (self.hash[at[again]] != h[again])]
+        return out
+
+    def insert(self, h: np.ndarray, number: np.ndarray) -> None:
+        mask = len(self.hash) - 1
+        at = (h & np.uint64(mask)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            free = todo[self.number[at[todo]] < 0]
+            _, one = np.unique(at[free], return_index=True)
+            won = free[one]
+            self.hash[at[won]], self.number[at[won]] = h[won], number[won]
+            lost = np.ones(len(h), bool)
+            lost[won] = False
+            todo = todo[lost[todo]]
+            at[todo] = (at[todo] + 1) & mask
+
+    def learn(self, h: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> None:
+        """The words go through the library, once each."""
+        h, one = np.unique(h, return_index=True)
+        words = [raw[a:b].decode("latin-1") for a, b in zip(start[one].tolist(), end[one].tolist())]
+        # many words in one call, a number between any two: numbers are words of their own
+        mark = self.library.encode("0", add_special_tokens=False).ids
+        digit = [w in "0123456789²³¹¼½¾" for w in words]
+        plain = [w for w, d in zip(words, digit) if not d]
+        coded = self.batch([" 0 ".join(plain[i : i + 128]) for i in range(0, len(plain), 128)], add_special_tokens=False)
+        alone = iter(self.batch([w for w, d in zip(words, digit) if d], add_special_tokens=False))
+        flat = np.array(list(chain.from_iterable(chain(e.ids, mark) for e in coded)), np.uint32)
+        ends = np.flatnonzero(flat == mark[0])
+        if len(mark) != 1 or len(ends) != len(plain):
+            raise ValueError("the library cuts words otherwise")
+        pieces = iter(np.split(flat, ends + 1)) if any(digit) else None
+        if pieces is None:
+            size = np.diff(np.concatenate([[-1], ends])) - 1
+            flat = np.delete(flat, ends)
+        else:
+            parts = [np.array(next(alone).ids, np.uint32) if d else next(pieces)[:-1] for d in digit]
+            size, flat = np.array([len(p) for p in parts]), np.concatenate(parts)
+        number = np.arange(self.known, self.known + len(h), dtype=np.int32)
+        self.known += len(h)
+        if self.known * 3 > len(self.hash):
+            old, kept = self.hash[self.number >= 0], self.number[self.number >= 0]
+            slots = 1 << (self.known * 4).bit_length()
+            self.hash, self.number = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+            self.insert(old, kept)
+        self.insert(h, number)
+        self.flat = np.concatenate([self.flat, flat])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number by text), without added special tokens."""
-        if len(self.known) > MOST_WORDS:
+        if self.known > MOST_WORDS:
             self.forget()
-        simple: list[list[bytes]] = []
+        simple: list[bytes] = []
         odd: dict[int, np.ndarray] = {}
         for i, t in enumerate(texts):
-            found: list[bytes] = []
+            found = b""
             if t:
                 try:
                     if not self.by_words or any(s in t for s in self.special):
                         raise UnicodeError
-                    found = self._WORDS.findall(t.lower().encode("latin-1"))
+                    found = t.lower().encode("latin-1")
                 except UnicodeError:
                     odd[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
             simple.append(found)
-        words = [w for x in simple for w in x]
-        self.learn(words)
-        k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        size = self.begin[k + 1] - self.begin[k] if len(k) else np.zeros(0, np.int64)
+        whole = b"\n".join([*simple, b"\n\n"])
+        raw = np.frombuffer(whole, np.uint8)
+        edge = np.concatenate([[0], np.cumsum([len(x) + 1 for x in simple])])
+        kind = _KIND[raw]
+        begin = np.empty(len(raw) + 1, bool)
+        begin[0] = begin[-1] = True
+        begin[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        quote = np.flatnonzero(raw[:-2] == 39)
+        if len(quote):
+            quote = quote[begin[quote]]
+            one, two = raw[quote + 1], raw[quote + 2]
+            n = np.isin(one, np.frombuffer(b"stmd", np.uint8)).astype(np.int64)
+            for x, y in (b"re", b"ve", b"ll"):
+                n[(one == x) & (two == y)] = 2
+            quote, n = quote[n > 0], n[n > 0]
+            begin[quote + 1] = False
+            begin[(quote + 2)[n == 2]] = False
+            begin[quote + n + 1] = True
+        at = np.flatnonzero(begin)
+        word = kind[at[:-1]] > 0
+        start, end = at[:-1][word], at[1:][word]
+        h = util.word_hashes(raw, start, end)
+        k = self.find(h)
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            self.learn(h[new], whole, start[new], end[new])
+            k[new] = self.find(h[new])
+        size = self.begin[k + 1] - self.begin[k]
         total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
-        ids = self.flat[np.repeat(self.begin[k] - total[:-1], size) + np.arange(total[-1])] if len(k) else np.zeros(0, np.uint32)
-        edge = total[np.concatenate([[0], np.cumsum([len(x) for x in simple], dtype=np.int64)])]
-        n = np.diff(edge)
+        ids = self.flat[np.repeat(self.begin[k] - total[:-1], size) + np.arange(total[-1])]
+        cut = total[np.searchsorted(start, edge)]
+        n = np.diff(cut)
         if odd:
-            parts = [odd.get(i, ids[edge[i] : edge[i + 1]]) for i in range(len(texts))]
+            parts = [odd.get(i, ids[cut[i] : cut[i + 1]]) for i in range(len(texts))]
             return np.concatenate(parts), np.array([len(p) for p in parts])
         return ids, n
 
