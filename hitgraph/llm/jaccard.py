@@ -26,6 +26,8 @@ PERCENT = 90
 #: Frequent shingles in the order's table at most: it decides only the order, so any table gives the same links.
 FREQUENT = 100_000
 _FLUSH = 2_000_000
+#: Bytes of the bitmap that list entries carry.
+SMALL = 32
 _BROADCAST_IDS = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -101,12 +103,13 @@ def _first_scan(docs: DataFrame, size: int) -> DataFrame:
             v, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             some = n >= 4
-            return pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(some.sum(), np.int32)), "a": pa.array(v[some].view(_I64)), "b": pa.array(n[some].astype(_I64)), "n": pa.array(np.zeros(some.sum(), np.int32)), "bits": pa.nulls(some.sum(), pa.binary())})
+            return pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(some.sum(), np.int32)), "a": pa.array(v[some].view(_I64)), "b": pa.array(n[some].astype(_I64)), "n": pa.array(np.zeros(some.sum(), np.int32)), "bits": pa.nulls(some.sum(), pa.binary()), "small": pa.nulls(some.sum(), pa.binary())})
 
         for rb in util.slices(batches, "text"):
             sets = shingle_sets(rb.column("text"), size)
+            bits = [bitmap(s) for s in sets]
             yield pa.RecordBatch.from_pydict(
-                {"kind": pa.array(np.zeros(len(sets), np.int32)), "a": rb.column("doc_id"), "b": pa.array([class_of(s) if len(s) else 0 for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "bits": pa.array([bitmap(s) for s in sets], pa.binary())}
+                {"kind": pa.array(np.zeros(len(sets), np.int32)), "a": rb.column("doc_id"), "small": pa.array([folded(b, SMALL).tobytes() for b in bits], pa.binary()), "b": pa.array([class_of(s) if len(s) else 0 for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "bits": pa.array(bits, pa.binary())}
             )
             seen = {class_of(s): s for s in sets if len(s)}
             held.extend(seen.values())
@@ -117,7 +120,9 @@ def _first_scan(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(kernel, "kind int, a long, b long, n int, bits binary")
+    names = ["kind", "a", "b", "n", "bits", "small"]
+    ordered = lambda batches: (rb.select(names) for rb in kernel(batches))
+    return docs.select("doc_id", "text").mapInArrow(ordered, "kind int, a long, b long, n int, bits binary, small binary")
 
 
 class Order:
@@ -240,9 +245,9 @@ def _pairs_apart(entries: DataFrame, percent: int) -> DataFrame:
         if not held:
             return
         gid, n, key, pos, indexed, comp = _columns(held, "gid", "n", "key", "pos", "indexed", "comp")
-        plain = np.zeros(64, np.uint8)
+        plain = bytes(SMALL)
         given = [b for rb in held for b in rb.column("bits").to_pylist()]
-        bits = np.stack([plain if b is None else folded(b) for b in given])
+        bits = np.frombuffer(b"".join(plain if b is None else b for b in given), np.uint8).reshape(-1, SMALL)
         lone = np.array([b is not None for b in given])
         held.clear()
         n = n.astype(_I64)
@@ -337,10 +342,10 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
 
     first = util.persist(_first_scan(rows, size))
-    members = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n", "bits")
+    members = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n", "bits", "small")
     top = first.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.desc("c"), "a").limit(FREQUENT).toPandas()
     frequent = top.sort_values(["c", "a"])["a"].to_numpy(_I64).view(np.uint64)
-    classes = util.persist(members.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    classes = util.persist(members.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("small").alias("small")))
 
     entries = _second_scan(rows, size, percent, frequent)
     entries = util.persist(_meeting(entries.repartitionByRange(parts, "key", "n", "gid").sortWithinPartitions("key", "n", "gid", "pos")))
@@ -362,7 +367,7 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     placed = util.persist(entries.select("gid", "n", "key", "pos", "indexed").join(mixed, "gid"))
     several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     # a group's classes may have bitmaps of their own, so a group of several is not sieved yet: it has none
-    shown = groups.join(classes.select("cls", "bits"), "cls").groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.min("bits").alias("bits"))
+    shown = groups.join(classes.select("cls", "small"), "cls").groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.min("small").alias("bits"))
     shown = shown.select("gid", F.when(F.col("k") == 1, F.col("bits")).alias("bits"))
     open_ = placed.join(several, "key", "left_semi").join(shown, "gid").repartition(parts, "key").sortWithinPartitions("key", "n", "gid")
     far = _pairs_apart(open_, percent)
