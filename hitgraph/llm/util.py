@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text that a kernel works on at once; one longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 1_000_000
+#: Bytes of an Arrow batch between Spark and a Python worker, unless the session sets its own.
+BATCH = "4m"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -24,6 +26,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_hitgraph_shipped", False):
         return
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") == "":
+        spark.conf.set(key, BATCH)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     path = os.path.join(tempfile.mkdtemp(), "hitgraph_src.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
