@@ -27,7 +27,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_hitgraph_shipped", False):
         return
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") == "":
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, BATCH)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     path = os.path.join(tempfile.mkdtemp(), "hitgraph_src.zip")
