@@ -7,7 +7,8 @@ enough).  Classes with equal prefix and size are one group; groups that meet at
 position filters are pairs; pairs expand to their classes and are verified on whole sets.
 
 Only components are asked for, so a pair whose classes are already connected needs no verification.  Round one takes
-the neighbours in each shingle's list (sorted by size); round two all pairs that are still in different components.
+the neighbours in each shingle's list (sorted by size), round two two partners of each class in other components,
+round three all pairs that are still in different components.
 No link between different components is lost, and copies never expand into all pairs.
 """
 
@@ -237,8 +238,8 @@ def _neighbours(entries: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _pairs_apart(entries: DataFrame, percent: int) -> DataFrame:
-    """Round two: all pairs in the lists of shingles whose components differ and that pass the filters."""
+def _pairs_apart(entries: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs in the lists of shingles whose components differ and that pass the filters: all, or the last `most` of each."""
 
     def kernel(batches):
         held: list[pa.RecordBatch] = [rb for rb in batches if rb.num_rows]
@@ -273,7 +274,11 @@ def _pairs_apart(entries: DataFrame, percent: int) -> DataFrame:
             for k in range(0, len(x), 100_000):
                 z = slice(k, k + 100_000)
                 ok[z] = (_ONES[bits[x[z]] ^ bits[y[z]]].sum(1) <= n[x[z]] + n[y[z]] - 2 * need(n[x[z]], n[y[z]], percent)) | ~(lone[x[z]] & lone[y[z]])
-            x, y = gid[x[ok]], gid[y[ok]]
+            x, y = x[ok], y[ok]
+            if most is not None and len(x):
+                ok = np.searchsorted(x, x, side="right") - np.arange(len(x)) <= most
+                x, y = x[ok], y[ok]
+            x, y = gid[x], gid[y]
             p = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
             yield pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(p[:, 0])), "b": pa.array(np.ascontiguousarray(p[:, 1]))})
             at = stop
@@ -329,6 +334,25 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
     return util.persist(links)
 
 
+def _still_apart(entries: DataFrame, groups: DataFrame, labels: DataFrame, shown: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs of classes in different components that meet at a shingle, or within a group of several classes."""
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = groups.join(labels, groups["rep"] == labels["node"], "left").select("gid", "cls", F.coalesce("component", "rep").alias("comp"))
+    at = util.persist(at)
+    mixed = at.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # a group over several components differs from every other: its own name, never a doc_id in use with it
+    mixed = mixed.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.abs(F.col("gid")) - 1).alias("comp"))
+    placed = util.persist(entries.select("gid", "n", "key", "pos", "indexed").join(mixed, "gid"))
+    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    open_ = placed.join(several, "key", "left_semi").join(shown, "gid").repartition(parts, "key").sortWithinPartitions("key", "n", "gid")
+    far = _pairs_apart(open_, percent, most)
+    side = lambda p: at.select(F.col("gid").alias(p), F.col("cls").alias(f"c_{p}"), F.col("comp").alias(f"o_{p}"))
+    wide = far.join(side("a"), "a").join(side("b"), "b").where("o_a <> o_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
+    l, r = at.alias("l"), at.alias("r")
+    within = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.comp") != F.col("r.comp"))).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
+    return util.persist(wide.unionByName(within).distinct())
+
+
 def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with, over others too).
 
@@ -358,26 +382,15 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     links = _verified(_neighbours(entries, percent).unionByName(inside).distinct(), classes, rows, size, percent)
     labels = components(links)
 
-    # what is still apart
-    at = groups.join(labels, groups["rep"] == labels["node"], "left").select("gid", "cls", F.coalesce("component", "rep").alias("comp"))
-    at = util.persist(at)
-    mixed = at.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    # a group over several components differs from every other: its own name, never a doc_id in use with it
-    mixed = mixed.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.abs(F.col("gid")) - 1).alias("comp"))
-    placed = util.persist(entries.select("gid", "n", "key", "pos", "indexed").join(mixed, "gid"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    # a group's classes may have bitmaps of their own, so a group of several is not sieved yet: it has none
     shown = groups.join(classes.select("cls", "small"), "cls").groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.min("small").alias("bits"))
-    shown = shown.select("gid", F.when(F.col("k") == 1, F.col("bits")).alias("bits"))
-    open_ = placed.join(several, "key", "left_semi").join(shown, "gid").repartition(parts, "key").sortWithinPartitions("key", "n", "gid")
-    far = _pairs_apart(open_, percent)
-    side = lambda p: at.select(F.col("gid").alias(p), F.col("cls").alias(f"c_{p}"), F.col("comp").alias(f"o_{p}"))
-    wide = far.join(side("a"), "a").join(side("b"), "b").where("o_a <> o_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
-    l, r = at.alias("l"), at.alias("r")
-    within = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.comp") != F.col("r.comp"))).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-    more = _verified(util.persist(wide.unionByName(within).distinct()), classes, rows, size, percent)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    # a group of several classes is not sieved in the lists
+    shown = util.persist(shown.select("gid", F.when(F.col("k") == 1, F.col("bits")).alias("bits")))
+    for most in (2, None):
+        pairs = _still_apart(entries, groups, labels, shown, percent, most)
+        more = _verified(pairs, classes, rows, size, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
 
     named = members.select("doc_id", "cls", "n").join(classes.select("cls", "rep"), "cls", "left")
     out = named.join(labels, named["rep"] == labels["node"], "left")
