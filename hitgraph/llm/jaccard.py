@@ -26,7 +26,7 @@ SIZE = 3
 PERCENT = 90
 #: Frequent shingles in the order's table at most: it decides only the order, so any table gives the same links.
 FREQUENT = 100_000
-_FLUSH = 2_000_000
+_FLUSH = 500_000
 #: Bytes of the bitmap that list entries carry.
 SMALL = 32
 _BROADCAST_IDS = 1_000_000
@@ -120,6 +120,7 @@ def _first_scan(docs: DataFrame, size: int) -> DataFrame:
                 total = 0
         if held:
             yield flush()
+        util.release()
 
     names = ["kind", "a", "b", "n", "bits", "small"]
     ordered = lambda batches: (rb.select(names) for rb in kernel(batches))
@@ -170,16 +171,19 @@ def _second_scan(docs: DataFrame, size: int, percent: int, frequent: np.ndarray)
                     seen.clear()
                     groups.clear()
                 seen.add((gid, c))
-                p = [] if gid in groups else prefix.view(_I64).tolist()
+                p = prefix[:0] if gid in groups else prefix
                 groups.add(gid)
-                short = n - need(n, n, percent) + 1
-                cols["gid"] += [gid] * (len(p) + 1)
-                cols["cls"] += [c] * (len(p) + 1)
-                cols["n"] += [n] * (len(p) + 1)
-                cols["key"] += [gid, *p]
-                cols["pos"] += range(-1, len(p))
-                cols["indexed"] += [False, *[i < short for i in range(len(p))]]
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.bool_() if k == "indexed" else pa.int32() if k in ("n", "pos") else pa.int64()) for k, v in cols.items()})
+                k = len(p) + 1
+                pos = np.arange(-1, len(p), dtype=np.int32)
+                cols["gid"].append(np.full(k, gid))
+                cols["cls"].append(np.full(k, c))
+                cols["n"].append(np.full(k, n, np.int32))
+                cols["key"].append(np.concatenate([[gid], p.view(_I64)]))
+                cols["pos"].append(pos)
+                cols["indexed"].append((pos >= 0) & (pos < n - need(n, n, percent) + 1))
+            if cols["gid"]:
+                yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v)) for k, v in cols.items()})
+        util.release()
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(kernel, "gid long, cls long, n int, key long, pos int, indexed boolean")
 
@@ -262,7 +266,7 @@ def _pairs_apart(entries: DataFrame, percent: int, most: int | None) -> DataFram
         total = np.cumsum(many)
         at = 0
         while at < size:
-            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 2_000_000, side="right")))
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 500_000, side="right")))
             m = many[at:stop]
             x = np.repeat(np.arange(at, stop), m)
             y = np.repeat(a[at:stop] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
@@ -271,8 +275,8 @@ def _pairs_apart(entries: DataFrame, percent: int, most: int | None) -> DataFram
             ok = _fits(n[x], pos[x], n[y], pos[y], percent)
             x, y = x[ok], y[ok]
             ok = np.zeros(len(x), bool)
-            for k in range(0, len(x), 100_000):
-                z = slice(k, k + 100_000)
+            for k in range(0, len(x), 20_000):
+                z = slice(k, k + 20_000)
                 ok[z] = (_ONES[bits[x[z]] ^ bits[y[z]]].sum(1) <= n[x[z]] + n[y[z]] - 2 * need(n[x[z]], n[y[z]], percent)) | ~(lone[x[z]] & lone[y[z]])
             x, y = x[ok], y[ok]
             if most is not None and len(x):
@@ -282,6 +286,7 @@ def _pairs_apart(entries: DataFrame, percent: int, most: int | None) -> DataFram
             p = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
             yield pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(p[:, 0])), "b": pa.array(np.ascontiguousarray(p[:, 1]))})
             at = stop
+        util.release()
 
     return entries.mapInArrow(kernel, "a long, b long").distinct()
 

@@ -57,6 +57,17 @@ def persist(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that a kernel no longer holds back to the machine: Python workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
 def need(df: DataFrame, *cols: str) -> DataFrame:
     """Just these columns; extra ones, whatever their names, do not disturb an operator."""
     return df.select(*[df[c] for c in cols])
