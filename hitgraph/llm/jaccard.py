@@ -7,8 +7,8 @@ enough).  Classes with equal prefix and size are one group; groups that meet at
 position filters are pairs; pairs expand to their classes and are verified on whole sets.
 
 Only components are asked for, so a pair whose classes are already connected needs no verification.  Round one takes
-the neighbours in each shingle's list (sorted by size), round two two partners of each class in other components,
-round three all pairs that are still in different components.
+the neighbours in each shingle's list (sorted by size), round two all pairs that are still in different
+components, but of crowded lists two partners of each class, round three the rest of those lists.
 No link between different components is lost, and copies never expand into all pairs.
 """
 
@@ -243,7 +243,10 @@ def _neighbours(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_apart(entries: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Pairs in the lists of shingles whose components differ and that pass the filters: all, or the last `most` of each."""
+    """Pairs (a, b) in the lists of shingles whose components differ and that pass the filters.
+
+    A list with over `most` such pairs an entry gives the last two of each entry only, and its shingle as `over`.
+    """
 
     def kernel(batches):
         held: list[pa.RecordBatch] = [rb for rb in batches if rb.num_rows]
@@ -279,16 +282,18 @@ def _pairs_apart(entries: DataFrame, percent: int, most: int | None) -> DataFram
                 z = slice(k, k + 20_000)
                 ok[z] = (_ONES[bits[x[z]] ^ bits[y[z]]].sum(1) <= n[x[z]] + n[y[z]] - 2 * need(n[x[z]], n[y[z]], percent)) | ~(lone[x[z]] & lone[y[z]])
             x, y = x[ok], y[ok]
+            full = np.zeros(len(x), bool)
             if most is not None and len(x):
-                ok = np.searchsorted(x, x, side="right") - np.arange(len(x)) <= most
-                x, y = x[ok], y[ok]
-            x, y = gid[x], gid[y]
-            p = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(p[:, 0])), "b": pa.array(np.ascontiguousarray(p[:, 1]))})
+                full = (np.bincount(list_no[x]) > most * np.bincount(list_no, minlength=1)[: int(list_no[x].max()) + 1])[list_no[x]]
+                ok = ~full | (np.searchsorted(x, x, side="right") - np.arange(len(x)) <= 2)
+                x, y, full = x[ok], y[ok], full[ok]
+            over, x, y = key[x], gid[x], gid[y]
+            p = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), np.where(full, over, 0), full], 1), axis=0)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(p[:, 0])), "b": pa.array(np.ascontiguousarray(p[:, 1])), "over": pa.array(np.ascontiguousarray(p[:, 2]), mask=p[:, 3] == 0)})
             at = stop
         util.release()
 
-    return entries.mapInArrow(kernel, "a long, b long").distinct()
+    return entries.mapInArrow(kernel, "a long, b long, over long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -339,8 +344,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
     return util.persist(links)
 
 
-def _still_apart(entries: DataFrame, groups: DataFrame, labels: DataFrame, shown: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Pairs of classes in different components that meet at a shingle, or within a group of several classes."""
+def _still_apart(entries: DataFrame, groups: DataFrame, labels: DataFrame, shown: DataFrame, percent: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, keys of lists that gave not all of them): pairs of classes in different components that meet at a shingle, or within a group of several classes."""
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = groups.join(labels, groups["rep"] == labels["node"], "left").select("gid", "cls", F.coalesce("component", "rep").alias("comp"))
     at = util.persist(at)
@@ -350,20 +355,22 @@ def _still_apart(entries: DataFrame, groups: DataFrame, labels: DataFrame, shown
     placed = util.persist(entries.select("gid", "n", "key", "pos", "indexed").join(mixed, "gid"))
     several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_ = placed.join(several, "key", "left_semi").join(shown, "gid").repartition(parts, "key").sortWithinPartitions("key", "n", "gid")
-    far = _pairs_apart(open_, percent, most)
+    met = util.persist(_pairs_apart(open_, percent, most))
+    far = met.select("a", "b").distinct()
     side = lambda p: at.select(F.col("gid").alias(p), F.col("cls").alias(f"c_{p}"), F.col("comp").alias(f"o_{p}"))
     wide = far.join(side("a"), "a").join(side("b"), "b").where("o_a <> o_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
     l, r = at.alias("l"), at.alias("r")
     within = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.comp") != F.col("r.comp"))).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-    return util.persist(wide.unionByName(within).distinct())
+    return util.persist(wide.unionByName(within).distinct()), met.where("over is not null").select(F.col("over").alias("key")).distinct()
 
 
-def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, crowded: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with, over others too).
 
     Texts without words have no set and link with nothing; fewer words than a shingle make one shingle; repeated rows
     are linked copies; a null doc_id keeps its row, links with nothing and has a null component.  A doc_id on several
     different texts is one document, whose texts' links all count.
+    crowded: pairs an entry beyond which a list waits for the last round; it decides the cost, not the result.
     """
     spark = docs.sparkSession
     util.ship(spark)
@@ -390,12 +397,16 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     shown = groups.join(classes.select("cls", "small"), "cls").groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.min("small").alias("bits"))
     # a group of several classes is not sieved in the lists
     shown = util.persist(shown.select("gid", F.when(F.col("k") == 1, F.col("bits")).alias("bits")))
-    for most in (2, None):
-        pairs = _still_apart(entries, groups, labels, shown, percent, most)
+    for most in (crowded, None):
+        pairs, over = _still_apart(entries, groups, labels, shown, percent, most)
         more = _verified(pairs, classes, rows, size, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
+        over = util.persist(over)
+        if over.isEmpty():
+            break
+        entries = entries.join(over, "key", "left_semi")
 
     named = members.select("doc_id", "cls", "n").join(classes.select("cls", "rep"), "cls", "left")
     out = named.join(labels, named["rep"] == labels["node"], "left")

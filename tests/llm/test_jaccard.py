@@ -27,8 +27,8 @@ def brute(texts, size, percent):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-def same(spark, texts, size=3, percent=90):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(documents(spark, texts), size, percent).collect()}
+def same(spark, texts, size=3, percent=90, crowded=4):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(documents(spark, texts), size, percent, crowded).collect()}
     want = brute(texts, size, percent)
     assert [(i, got[i], want[i]) for i in range(len(texts)) if got[i] != want[i]] == []
 
@@ -51,6 +51,7 @@ def test_near_copies_against_brute_force(spark):
     rng.shuffle(texts)
     same(spark, texts)
     same(spark, texts, 2, 60)
+    same(spark, texts, 2, 60, crowded=0)
 
 
 def test_whole_small_table(spark, sf):
