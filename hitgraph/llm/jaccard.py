@@ -364,13 +364,13 @@ def _still_apart(entries: DataFrame, groups: DataFrame, labels: DataFrame, shown
     return util.persist(wide.unionByName(within).distinct()), met.where("over is not null").select(F.col("over").alias("key")).distinct()
 
 
-def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, crowded: int = 4) -> DataFrame:
+def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, crowd: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with, over others too).
 
     Texts without words have no set and link with nothing; fewer words than a shingle make one shingle; repeated rows
     are linked copies; a null doc_id keeps its row, links with nothing and has a null component.  A doc_id on several
     different texts is one document, whose texts' links all count.
-    crowded: pairs an entry beyond which a list waits for the last round; it decides the cost, not the result.
+    crowd: pairs an entry beyond which a list waits for the last round; it decides the cost, not the result.
     """
     spark = docs.sparkSession
     util.ship(spark)
@@ -397,7 +397,7 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     shown = groups.join(classes.select("cls", "small"), "cls").groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.min("small").alias("bits"))
     # a group of several classes is not sieved in the lists
     shown = util.persist(shown.select("gid", F.when(F.col("k") == 1, F.col("bits")).alias("bits")))
-    for most in (crowded, None):
+    for most in (crowd, None):
         pairs, over = _still_apart(entries, groups, labels, shown, percent, most)
         more = _verified(pairs, classes, rows, size, percent)
         if not more.isEmpty():
