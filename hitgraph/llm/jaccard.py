@@ -149,7 +149,7 @@ class Order:
 
 
 def _second_scan(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Prefix entries of each group once a task (pos >= 0), and the classes of each group (pos -1)."""
+    """Prefix entries of each group once a task (pos >= 0, cls 0), and the classes of each group (pos -1)."""
 
     def kernel(batches):
         order = Order(frequent)
@@ -176,7 +176,7 @@ def _second_scan(docs: DataFrame, size: int, percent: int, frequent: np.ndarray)
                 k = len(p) + 1
                 pos = np.arange(-1, len(p), dtype=np.int32)
                 cols["gid"].append(np.full(k, gid))
-                cols["cls"].append(np.full(k, c))
+                cols["cls"].append(np.where(pos < 0, _I64(c), _I64(0)))
                 cols["n"].append(np.full(k, n, np.int32))
                 cols["key"].append(np.concatenate([[gid], p.view(_I64)]))
                 cols["pos"].append(pos)
@@ -222,21 +222,21 @@ def _fits(n, i, m, j, percent):
 
 
 def _neighbours(entries: DataFrame, percent: int) -> DataFrame:
-    """Round one: each entry with the last indexed one before it in its shingle's list."""
+    """Round one: groups (a, b), each entry with the last indexed one before it in its shingle's list."""
 
     def kernel(batches):
-        got = _columns(batches, "cls", "n", "key", "pos", "indexed")
+        got = _columns(batches, "gid", "n", "key", "pos", "indexed")
         if got is None:
             return
-        cls, n, key, pos, indexed = got
+        gid, n, key, pos, indexed = got
         last = np.maximum.accumulate(np.where(indexed, np.arange(len(key)), -1))
         y = np.concatenate([[-1], last[:-1]])
         x = np.flatnonzero(y >= 0)
         y = y[x]
-        ok = (key[x] == key[y]) & (cls[x] != cls[y]) & (n[y] <= n[x])
+        ok = (key[x] == key[y]) & (gid[x] != gid[y]) & (n[y] <= n[x])
         x, y = x[ok], y[ok]
         ok = _fits(n[x].astype(_I64), pos[x], n[y].astype(_I64), pos[y], percent)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(cls[x[ok]]), "b": pa.array(cls[y[ok]])})
+        yield pa.RecordBatch.from_pydict({"a": pa.array(gid[x[ok]]), "b": pa.array(gid[y[ok]])})
 
     pairs = entries.mapInArrow(kernel, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -252,6 +252,14 @@ def _pairs_apart(entries: DataFrame, percent: int, most: int | None) -> DataFram
         held: list[pa.RecordBatch] = [rb for rb in batches if rb.num_rows]
         if not held:
             return
+        key, comp = _columns(held, "key", "comp")
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        several = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        stays = np.repeat(several, np.diff(np.append(starts, len(key))))
+        if not stays.any():
+            return
+        cut = np.cumsum([0, *(rb.num_rows for rb in held)])
+        held = [rb.filter(pa.array(stays[i:j])) for rb, i, j in zip(held, cut[:-1], cut[1:])]
         gid, n, key, pos, indexed, comp = _columns(held, "gid", "n", "key", "pos", "indexed", "comp")
         plain = bytes(SMALL)
         given = [b for rb in held for b in rb.column("bits").to_pylist()]
@@ -344,17 +352,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
     return util.persist(links)
 
 
-def _still_apart(entries: DataFrame, groups: DataFrame, labels: DataFrame, shown: DataFrame, percent: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+def _still_apart(entries: DataFrame, groups: DataFrame, labels: DataFrame, percent: int, most: int | None) -> tuple[DataFrame, DataFrame]:
     """(pairs, keys of lists that gave not all of them): pairs of classes in different components that meet at a shingle, or within a group of several classes."""
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = groups.join(labels, groups["rep"] == labels["node"], "left").select("gid", "cls", F.coalesce("component", "rep").alias("comp"))
+    at = groups.join(labels, groups["rep"] == labels["node"], "left").select("gid", "cls", F.coalesce("component", "rep").alias("comp"), "small")
     at = util.persist(at)
-    mixed = at.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    # a group over several components differs from every other: its own name, never a doc_id in use with it
-    mixed = mixed.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.abs(F.col("gid")) - 1).alias("comp"))
-    placed = util.persist(entries.select("gid", "n", "key", "pos", "indexed").join(mixed, "gid"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = placed.join(several, "key", "left_semi").join(shown, "gid").repartition(parts, "key").sortWithinPartitions("key", "n", "gid")
+    mixed = at.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"), F.min("small").alias("bits"))
+    # a group over several components differs from every other: its own name, never a doc_id in use with it;
+    # a group of several classes is not sieved in the lists
+    mixed = mixed.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.abs(F.col("gid")) - 1).alias("comp"), F.when(F.col("k") == 1, F.col("bits")).alias("bits"))
+    open_ = entries.select("gid", "n", "key", "pos", "indexed").join(mixed, "gid").repartition(parts, "key").sortWithinPartitions("key", "n", "gid")
     met = util.persist(_pairs_apart(open_, percent, most))
     far = met.select("a", "b").distinct()
     side = lambda p: at.select(F.col("gid").alias(p), F.col("cls").alias(f"c_{p}"), F.col("comp").alias(f"o_{p}"))
@@ -385,20 +392,19 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 
     entries = _second_scan(rows, size, percent, frequent)
     entries = util.persist(_meeting(entries.repartitionByRange(parts, "key", "n", "gid").sortWithinPartitions("key", "n", "gid", "pos")))
-    groups = entries.where("pos < 0").select("gid", "cls").distinct().join(classes.select("cls", "rep"), "cls")
+    groups = entries.where("pos < 0").select("gid", "cls").distinct().join(classes.select("cls", "rep", "small"), "cls")
     groups = util.persist(groups)
     entries = entries.where("pos >= 0")
-    crowded = groups.groupBy("gid").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    least = groups.groupBy("gid").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("k"))
 
-    inside = groups.join(crowded, "gid").where("cls <> least").select(F.least("cls", "least").alias("a"), F.greatest("cls", "least").alias("b"))
-    links = _verified(_neighbours(entries, percent).unionByName(inside).distinct(), classes, rows, size, percent)
+    inside = groups.join(least.where("k > 1"), "gid").where("cls <> least").select(F.least("cls", "least").alias("a"), F.greatest("cls", "least").alias("b"))
+    first_of = lambda p: least.select(F.col("gid").alias(p), F.col("least").alias(f"c_{p}"))
+    near = _neighbours(entries, percent).join(first_of("a"), "a").join(first_of("b"), "b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
+    links = _verified(near.unionByName(inside).distinct(), classes, rows, size, percent)
     labels = components(links)
 
-    shown = groups.join(classes.select("cls", "small"), "cls").groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.min("small").alias("bits"))
-    # a group of several classes is not sieved in the lists
-    shown = util.persist(shown.select("gid", F.when(F.col("k") == 1, F.col("bits")).alias("bits")))
     for most in (crowd, None):
-        pairs, over = _still_apart(entries, groups, labels, shown, percent, most)
+        pairs, over = _still_apart(entries, groups, labels, percent, most)
         more = _verified(pairs, classes, rows, size, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
