@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nulls, stats
-from ..operators import evalml, evidence, graph, ids, plotdata, ranks, tables
+from ..operators import axes, evalml, evidence, graph, ids, linear, plotdata, ranks, tables
 from ..sources import files
 from .shared import materialize
 
@@ -520,3 +520,28 @@ def _(spark, d):
 @query("complex_members", "SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS member FROM part")
 def _(spark, d):
     return files.split_members(table(spark, d, "part").select("p_brand", F.regexp_replace("p_name", " ", ";").alias("names")), "p_brand", "names")
+
+
+@query("axis_window", f"WITH b AS (SELECT least(min(p_size), min(p_retailprice)) AS lo, greatest(max(p_size), max(p_retailprice)) AS hi FROM part) SELECT {q6('lo - 0.05e0 * (hi - lo)')} AS lo, {q6('hi + 0.05e0 * (hi - lo)')} AS hi FROM b")
+def _(spark, d):
+    return axes.window(table(spark, d, "part"), ["p_size", "p_retailprice"]).select(nulls.q6(F.col("lo")).alias("lo"), nulls.q6(F.col("hi")).alias("hi"))
+
+
+@query("volcano", f"""WITH r AS (SELECT concat('P', p_partkey) AS label, (p_size - 25) * 1e0 AS effect, (p_partkey % 100) / 100e0 AS p, (p_partkey % 10) / 100e0 AS fdr FROM part), h AS (SELECT *, CASE WHEN effect < -5 AND fdr < 5e-2 THEN 'down' WHEN effect > 5 AND fdr < 5e-2 THEN 'up' WHEN label LIKE '%77%' THEN 'ctrl' ELSE 'a' END AS hit FROM r),
+ k AS (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY p, label) AS i FROM h) SELECT label, effect, {q6('-log10(CASE WHEN p = 0 THEN (SELECT min(p) FROM r WHERE p > 0) ELSE p END)')} AS y, hit, CASE WHEN hit IN ('up', 'down') AND i <= 5 THEN label ELSE '' END AS text FROM k""")
+def _(spark, d):
+    r = table(spark, d, "part").selectExpr("concat('P', p_partkey) as label", "(p_size - 25) * 1e0 as effect", "(p_partkey % 100) / 100e0 as p", "(p_partkey % 10) / 100e0 as fdr")
+    return axes.volcano(r, "label", "effect", "p", "fdr", control="77", effect_cut=5.0).withColumn("y", nulls.q6(F.col("y")))
+
+
+@query("centred_gram", f"WITH x AS (SELECT l_linenumber AS i, l_partkey AS j, CAST(sum(l_quantity) AS BIGINT) * 1e0 AS v FROM lineitem GROUP BY 1, 2), w AS (SELECT j, avg(v) AS m FROM x GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT i) FROM x)), c AS (SELECT i, x.j, v - m AS v FROM x JOIN w ON x.j = w.j) SELECT a.i AS a, b.i AS b, {q6('sum(a.v * b.v)')} AS g FROM c a JOIN c b ON a.j = b.j GROUP BY 1, 2")
+def _(spark, d):
+    x = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("j")).agg(F.sum("l_quantity").cast("long").cast("double").alias("v"))
+    return linear.centred_gram(x).select("a", "b", nulls.q6(F.col("g")).alias("g"))
+
+
+@query("svd_rows")
+def _(spark, d):
+    e, n = nations(spark, d)
+    p = graph.diffusion(graph.stochastic(e, n), n)
+    return linear.svd_rows(p.select(F.col("source").alias("i"), F.col("id").alias("j"), F.ln(F.col("p") + 1.0 / 25).alias("v")), 3)
