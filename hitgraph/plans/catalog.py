@@ -538,10 +538,3 @@ def _(spark, d):
 def _(spark, d):
     x = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("j")).agg(F.sum("l_quantity").cast("long").cast("double").alias("v"))
     return linear.centred_gram(x).select("a", "b", nulls.q6(F.col("g")).alias("g"))
-
-
-@query("svd_rows")
-def _(spark, d):
-    e, n = nations(spark, d)
-    p = graph.diffusion(graph.stochastic(e, n), n)
-    return linear.svd_rows(p.select(F.col("source").alias("i"), F.col("id").alias("j"), F.ln(F.col("p") + 1.0 / 25).alias("v")), 3)
