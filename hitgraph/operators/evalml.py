@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialize
+
 
 def hash_order(key: Column, seed: int = 0) -> Column:
     """A reproducible shuffle key that any SQL engine computes."""
@@ -71,3 +73,35 @@ def kmeans_step(points: DataFrame, key: str, vector: str, centres: list[tuple[in
     options = F.array(*[F.struct(squared_distance(F.col(vector), F.array(*[F.lit(float(x)) for x in c])).alias("d2"), F.lit(i).cast("long").alias("centre")) for i, c in centres])
     best = F.array_min(options)
     return points.select(key, best["centre"].alias("centre"), best["d2"].alias("d2"))
+
+
+def kmeans(points: DataFrame, key: str, vector: str, centres: list[tuple[int, list[float]]], most: int = 50) -> tuple[DataFrame, list[float]]:
+    """Assignments (key, centre, d2) and the cost of each step, from given centres until the cost stays; an empty one stays put."""
+    costs: list[float] = []
+    while True:
+        at = kmeans_step(points, key, vector, centres)
+        costs.append(at.agg(F.sum("d2")).first()[0] or 0.0)
+        if len(costs) > most or len(costs) > 1 and costs[-1] >= costs[-2]:
+            return at, costs
+        each = points.join(at, key).select("centre", F.posexplode(F.col(vector)).alias("p", "x")).groupBy("centre", "p").agg(F.avg(F.col("x").cast("double")).alias("x"))
+        moved = {r["centre"]: [e["x"] for e in r["v"]] for r in each.groupBy("centre").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("v")).collect()}
+        centres = [(i, moved.get(i, c)) for i, c in centres]
+
+
+def forest_cv(df: DataFrame, key: str, vector: str, target: str, folds: int = 3, trees: int = 500, seed: int = 0) -> DataFrame:
+    """key, p: the geometric mean over folds of the forest's probability of class 1; each fold's forest scores every row.
+
+    target: 0 or 1.  Folds are stratified and repeatable; a forest tries sqrt(features + 1) features a split.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = stratified_folds(df, target, key, folds, seed).select(key, "fold", F.col(target).cast("double").alias("label"), array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("features"))
+    rows = materialize(rows)
+    width = len(rows.first()["features"])
+    model = RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(max(1, int((width + 1) ** 0.5))), seed=seed, probabilityCol="chance")
+    scored = None
+    for k in range(folds):
+        got = model.fit(rows.where(F.col("fold") != k)).transform(rows).select(key, F.ln(vector_to_array("chance")[1]).alias("l"))
+        scored = got if scored is None else scored.unionByName(got)
+    return scored.groupBy(key).agg(F.exp(F.avg("l")).alias("p"))

@@ -102,3 +102,24 @@ def gene_multigraph(nodes: DataFrame, edges: DataFrame, genes: DataFrame, gene_t
     s, t = n.select(F.col("id").alias("source"), F.col("gene").alias("gs"), F.col("other").alias("os")), n.select(F.col("id").alias("target"), F.col("gene").alias("gt"), F.col("other").alias("ot"))
     e = edges.join(s, "source").join(t, "target").where("(gs and gt) or (gs and ot) or (os and gt)")
     return e.groupBy(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"), "relation").agg(F.max_by("attribute", "ordinal").alias("attribute"))
+
+
+def mashup(graphs: list[DataFrame], nodes: DataFrame, k: int = 10, steps: int = 15, restart: float = 0.5) -> DataFrame:
+    """(id, component, value, sigma): rows of U * sqrt(sigma) of the graphs' diffusion states, ln(p + 1/n), side by side.
+
+    graphs: edges (src, dst, w) over the same nodes.  A state that a walk does not reach counts as p = 0, so the matrix
+    is dense: n^2 cells a graph, which is what the method asks for.
+    """
+    n = nodes.count()
+    each = []
+    for g, edges in enumerate(graphs):
+        states = diffusion(stochastic(edges, nodes), nodes, steps, restart)
+        pairs = nodes.select(F.col("id").alias("source")).join(nodes, how="cross")
+        full = pairs.join(states, ["source", "id"], "left").select(F.col("id").alias("i"), F.struct(F.lit(g).alias("graph"), "source").alias("j"), F.ln(F.coalesce("p", F.lit(0.0)) + 1.0 / max(n, 1)).alias("v"))
+        each.append(full)
+    from . import linear
+
+    cells = each[0]
+    for more in each[1:]:
+        cells = cells.unionByName(more)
+    return linear.svd_rows(cells, k)

@@ -90,14 +90,33 @@ def _orthogonal(thin: DataFrame, k: int) -> DataFrame:
     return _times(thin, vector * scale)
 
 
+def _few_rows(cells: DataFrame, names: list, k: int) -> DataFrame:
+    """svd_rows of a matrix with few rows, by their products, which the driver decomposes."""
+    a, b = cells.select(F.col("i").alias("a"), "j", F.col("v").alias("va")), cells.select(F.col("i").alias("b"), "j", F.col("v").alias("vb"))
+    at = {x: p for p, x in enumerate(names)}
+    g = np.zeros((len(names), len(names)))
+    for r in a.join(b, "j").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("g")).collect():
+        g[at[r["a"]], at[r["b"]]] = r["g"]
+    value, vector = np.linalg.eigh(g)
+    k = min(k, len(names))
+    sigma, vector = np.sqrt(np.maximum(value[::-1][:k], 0.0)), vector[:, ::-1][:, :k]
+    image = vector * _signs(vector) * np.sqrt(sigma) if len(names) else vector
+    rows = [(x, c + 1, float(image[p, c]), float(sigma[c])) for x, p in at.items() for c in range(k)]
+    return cells.sparkSession.createDataFrame(rows, f"id {cells.schema['i'].dataType.simpleString()}, component long, value double, sigma double")
+
+
 def svd_rows(cells: DataFrame, k: int = 10, extra: int = 6, rounds: int = 8) -> DataFrame:
     """(id, component, value, sigma): rows of U * sqrt(sigma) of the k largest singular values, by subspace iteration.
 
     Each round is two joins of the cells with a thin matrix; the driver sees (k + extra)^2 numbers.  The start comes from
-    a hash of the ids, so results repeat.  A component's sign makes its largest entry positive.
+    a hash of the ids, so results repeat.  A component's sign makes its largest entry positive.  Up to MOST_SAMPLES rows
+    give their products in one step instead.
     """
     k0, wide = k, k + extra
     cells = materialize(cells.where("v <> 0").select("i", "j", F.col("v").cast("double").alias("v")))
+    few = [r[0] for r in cells.select("i").distinct().orderBy("i").limit(MOST_SAMPLES + 1).collect()]
+    if len(few) <= MOST_SAMPLES:
+        return _few_rows(cells, few, k)
     ids = cells.select(F.col("j").alias("id")).distinct()
     start = [(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(2_000_003)) / 1_000_001.0 - 1.0).alias(f"c{c}") for c in range(wide)]
     right = _orthogonal(ids.select("id", *start), wide)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from . import ranks
 
 
 def finite(x: str):
@@ -22,9 +22,25 @@ def histogram(df: DataFrame, x: str, low: float, step: float, bins: int) -> Data
 
 
 def box(df: DataFrame, group: list[str], x: str) -> DataFrame:
-    """Five numbers by group, percentiles of type 6.  Values of a group are gathered: meant for bounded groups."""
-    s = df.groupBy(*group).agg(stats.sorted_present(F.col(x)).alias("_v"))
-    return s.select(*group, F.array_min("_v").alias("lo"), *[stats.percentile6(F.col("_v"), p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))], F.array_max("_v").alias("hi"))
+    """Five numbers by group, percentiles of type 6: place p(n + 1) among the sorted values, interpolated and clamped.
+
+    Values are counted and ranked by one range shuffle and picked by place, so no group is gathered.
+    """
+    r = ranks.ranked(df.where(finite(x)).select(*group, F.col(x).cast("double").alias("_v")).withColumn("_g", F.lit(0)), [*group, "_g"], "_v")
+    n = F.col("group_size")
+
+    def at(place):
+        """The value in this place: aggregate."""
+        return F.max(F.when((F.col("rank_min") <= place) & (place < F.col("rank_min") + F.col("ties")), F.col("_v")))
+
+    def percentile(p: float):
+        place = p * (n + 1)
+        low = F.least(F.greatest(F.floor(place), F.lit(1)), n)
+        return at(low), at(F.least(low + 1, n)), F.max(F.when((place <= 1) | (place >= n), 0.0).otherwise(place - F.floor(place)))
+
+    quartiles = [(name, percentile(p)) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    s = r.groupBy(*group).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), *[c.alias(f"_{name}{i}") for name, q in quartiles for i, c in enumerate(q)])
+    return s.select(*group, "lo", *[(F.col(f"_{name}0") + F.col(f"_{name}2") * (F.col(f"_{name}1") - F.col(f"_{name}0"))).alias(name) for name, _ in quartiles], "hi")
 
 
 def kde(df: DataFrame, x: str, points: int = 51, bandwidth: float | None = None) -> DataFrame:

@@ -5,68 +5,17 @@ Where both engines read one text alike it is written once (`same`); the other qu
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nulls, stats
 from ..operators import axes, evalml, evidence, graph, ids, linear, plotdata, ranks, tables
 from ..sources import files
+from . import matrices, plots  # noqa: F401  they add their queries
+from .registry import CUT, COMB, NATIONS, ORACLE, PV, QUERIES, SCORES, TABLES, nations, p_values, q6, query, same, table  # noqa: F401
 from .shared import materialize
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-_Q6 = "floor(({}) * 1e6 + 0.5e0) / 1e6"
-
-
-def q6(x: str) -> str:
-    return _Q6.format(x)
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
-def same(name: str, sql: str, spark_sql: str | None = None) -> None:
-    """A query whose SQL both engines read; spark_sql where Spark's spelling differs."""
-    text = spark_sql or sql
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        used = [t for t in _TABLES if re.search(rf"\b{t}\b", text)]
-        body = re.sub(r"\b(" + "|".join(used) + r")\b(?!\s*\()", r"{\1}", text) if used else text
-        return spark.sql(body, **{t: table(spark, sf_dir, t) for t in used})
-
-    QUERIES[name] = run
-    ORACLE[name] = sql
-
-
-_SCORES = "s AS (SELECT l_linenumber AS screen, l_partkey AS gene, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5e0) AS BIGINT)) AS BIGINT) AS score FROM lineitem GROUP BY 1, 2)"
-_PV = _SCORES + ", pv AS (SELECT screen, gene, score, power(rank() OVER (PARTITION BY screen ORDER BY score) * 1e0 / count(*) OVER (PARTITION BY screen), 3) AS p FROM s)"
-#: Fisher's closed form in DuckDB.
-_COMB = _PV + ", f AS (SELECT screen % 3 AS pathogen, gene, -sum(ln(p)) AS x, count(p) AS k FROM pv GROUP BY 1, 2), comb AS (SELECT pathogen, gene, k, exp(-x) * list_sum(list_transform(range(0, k), lambda i: x ** i / factorial(i::INT))) AS p FROM f)"
-_CUT = _COMB + ", r AS (SELECT p, count(*) OVER (ORDER BY p) AS last, count(*) OVER () AS m FROM comb), c AS (SELECT coalesce(max(CASE WHEN p <= last * 5e-2 / m THEN p END), 0e0) AS cutoff FROM r)"
-
-
-def p_values(spark, sf_dir):
-    return evidence.rank_p(evidence.screen_scores(table(spark, sf_dir, "lineitem")))
-
-
-@query("combined_evidence", f"WITH {_CUT}, h AS (SELECT gene, count(*) FILTER (WHERE p <= cutoff) AS n_hits FROM comb, c GROUP BY 1) SELECT n_hits, count(*) AS genes FROM h GROUP BY 1")
+@query("combined_evidence", f"WITH {CUT}, h AS (SELECT gene, count(*) FILTER (WHERE p <= cutoff) AS n_hits FROM comb, c GROUP BY 1) SELECT n_hits, count(*) AS genes FROM h GROUP BY 1")
 def _(spark, d):
     return evidence.combined_evidence(table(spark, d, "lineitem"))
 
@@ -75,38 +24,38 @@ ORACLE["pathogen_count_summary"] = ORACLE["combined_evidence"]
 QUERIES["pathogen_count_summary"] = QUERIES["combined_evidence"]
 
 
-@query("fisher_combine", f"WITH {_COMB} SELECT pathogen::BIGINT AS pathogen, gene, k, {q6('p')} AS p6 FROM comb")
+@query("fisher_combine", f"WITH {COMB} SELECT pathogen::BIGINT AS pathogen, gene, k, {q6('p')} AS p6 FROM comb")
 def _(spark, d):
     ps = p_values(spark, d).withColumn("pathogen", F.expr("cast(screen % 3 as bigint)"))
     return evidence.fisher_combine(ps, ["pathogen", "gene"]).select("pathogen", "gene", "k", nulls.q6(F.col("p")).alias("p6"))
 
 
-@query("bh_cutoff", f"WITH {_CUT} SELECT {q6('cutoff')} AS cutoff FROM c")
+@query("bh_cutoff", f"WITH {CUT} SELECT {q6('cutoff')} AS cutoff FROM c")
 def _(spark, d):
     comb = materialize(evidence.fisher_combine(p_values(spark, d).withColumn("pathogen", F.expr("screen % 3")), ["pathogen", "gene"]))
     return evidence.bh_cutoff(comb, 0.05).select(nulls.q6(F.col("cutoff")).alias("cutoff"))
 
 
-@query("bh_adjust", f"WITH {_COMB}, a AS (SELECT *, p * count(*) OVER (PARTITION BY pathogen) / count(*) OVER (PARTITION BY pathogen ORDER BY p) AS raw FROM comb) SELECT pathogen::BIGINT AS pathogen, gene, {q6('least(1e0, min(raw) OVER (PARTITION BY pathogen ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS padj FROM a")
+@query("bh_adjust", f"WITH {COMB}, a AS (SELECT *, p * count(*) OVER (PARTITION BY pathogen) / count(*) OVER (PARTITION BY pathogen ORDER BY p) AS raw FROM comb) SELECT pathogen::BIGINT AS pathogen, gene, {q6('least(1e0, min(raw) OVER (PARTITION BY pathogen ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS padj FROM a")
 def _(spark, d):
     comb = evidence.fisher_combine(p_values(spark, d).withColumn("pathogen", F.expr("cast(screen % 3 as bigint)")), ["pathogen", "gene"])
     return evidence.bh_adjust(comb, ["pathogen"]).select("pathogen", "gene", nulls.q6(F.col("padj")).alias("padj"))
 
 
-@query("norm_rank", f"WITH {_SCORES} SELECT screen, gene, {q6('rank() OVER (PARTITION BY screen ORDER BY score) * 1e0 / count(*) OVER (PARTITION BY screen)')} AS nr FROM s")
+@query("norm_rank", f"WITH {SCORES} SELECT screen, gene, {q6('rank() OVER (PARTITION BY screen ORDER BY score) * 1e0 / count(*) OVER (PARTITION BY screen)')} AS nr FROM s")
 def _(spark, d):
     r = ranks.with_rank(evidence.screen_scores(table(spark, d, "lineitem")), ["screen"], "score")
     return r.select("screen", "gene", nulls.q6(F.col("rank") / F.col("group_size")).alias("nr"))
 
 
-@query("avg_rank_top100", f"WITH {_SCORES}, r AS (SELECT screen, gene, rank() OVER (PARTITION BY screen ORDER BY score DESC) + (count(*) OVER (PARTITION BY screen, score) - 1) / 2e0 AS ar FROM s) SELECT screen, gene, ar FROM r WHERE ar <= 100")
+@query("avg_rank_top100", f"WITH {SCORES}, r AS (SELECT screen, gene, rank() OVER (PARTITION BY screen ORDER BY score DESC) + (count(*) OVER (PARTITION BY screen, score) - 1) / 2e0 AS ar FROM s) SELECT screen, gene, ar FROM r WHERE ar <= 100")
 def _(spark, d):
     s = evidence.screen_scores(table(spark, d, "lineitem")).withColumn("down", -F.col("score"))
     return ranks.with_rank(s, ["screen"], "down", "avg").where("rank <= 100").select("screen", "gene", F.col("rank").alias("ar"))
 
 
 _HALF = "SELECT l_partkey AS id, {} AS p FROM lineitem WHERE l_linenumber {} GROUP BY 1"
-@query("outer_min_p", f"WITH {_PV}, a AS (SELECT gene AS id, min(p) AS p FROM pv WHERE screen <= 3 GROUP BY 1), b AS (SELECT gene AS id, min(p) AS p FROM pv WHERE screen >= 3 GROUP BY 1) SELECT coalesce(a.id, b.id) AS id, {q6('least(a.p, b.p)')} AS p FROM a FULL JOIN b ON a.id = b.id")
+@query("outer_min_p", f"WITH {PV}, a AS (SELECT gene AS id, min(p) AS p FROM pv WHERE screen <= 3 GROUP BY 1), b AS (SELECT gene AS id, min(p) AS p FROM pv WHERE screen >= 3 GROUP BY 1) SELECT coalesce(a.id, b.id) AS id, {q6('least(a.p, b.p)')} AS p FROM a FULL JOIN b ON a.id = b.id")
 def _(spark, d):
     pv = materialize(p_values(spark, d))
     side = lambda c: pv.where(c).select(F.col("gene").alias("id"), "p")
@@ -129,7 +78,7 @@ def _(spark, d):
 # projections and derivations
 same("unpivot_directions", "SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT p_partkey, 'price' AS what, p_retailprice AS v FROM part")
 same("label_derivation", "SELECT c_custkey, concat('C-', substr(c_name, 10), '/', lower(c_mktsegment)) AS label, replace(c_mktsegment, 'A', '_') AS recoded FROM customer")
-same("hit_class_labels", f"WITH {_PV} SELECT screen, gene, CASE WHEN gene IN (1, 2, 3, 4) THEN 'receptor' WHEN p < 1e-2 THEN 'enriched' WHEN p > 99e-2 THEN 'depleted' ELSE 'no' END AS hit, CASE WHEN row_number() OVER (PARTITION BY screen ORDER BY score, gene) <= 10 THEN CAST(gene AS VARCHAR(20)) ELSE '' END AS label FROM pv")
+same("hit_class_labels", f"WITH {PV} SELECT screen, gene, CASE WHEN gene IN (1, 2, 3, 4) THEN 'receptor' WHEN p < 1e-2 THEN 'enriched' WHEN p > 99e-2 THEN 'depleted' ELSE 'no' END AS hit, CASE WHEN row_number() OVER (PARTITION BY screen ORDER BY score, gene) <= 10 THEN CAST(gene AS VARCHAR(20)) ELSE '' END AS label FROM pv")
 same("neglog_zero_floor", f"WITH m AS (SELECT min(l_discount) AS low FROM lineitem WHERE l_discount > 0) SELECT l_orderkey, l_linenumber, {q6('-log10(CASE WHEN l_discount = 0 THEN low ELSE l_discount END)')} AS y FROM lineitem CROSS JOIN m")
 same("binary_target", "SELECT o_orderkey, CAST(CASE WHEN o_totalprice < 100000 THEN 1 ELSE 0 END AS DOUBLE) AS target FROM orders")
 same("log_odds", f"SELECT o_orderkey, {q6('log10((o_totalprice / 1e6) / (1 - o_totalprice / 1e6))')} AS odds FROM orders WHERE o_totalprice > 0 AND o_totalprice < 1000000")
@@ -155,7 +104,7 @@ def _(spark, d):
 same("node_subset", "SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') OR n_name IN ('BRAZIL', 'CANADA')")
 same("edge_subset", "WITH k AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey IN (1, 2)) SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_nationkey IN (SELECT id FROM k) AND s_nationkey IN (SELECT id FROM k)")
 same("mixed_edges", "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE (c_acctbal > 0 AND n_regionkey <> 1) OR (c_acctbal <= 0 AND n_regionkey = 1)")
-same("row_countif_filter", f"WITH {_PV} SELECT gene, count(CASE WHEN p < 1e-2 THEN 1 END) AS n FROM pv GROUP BY 1 HAVING count(CASE WHEN p < 1e-2 THEN 1 END) >= 1")
+same("row_countif_filter", f"WITH {PV} SELECT gene, count(CASE WHEN p < 1e-2 THEN 1 END) AS n FROM pv GROUP BY 1 HAVING count(CASE WHEN p < 1e-2 THEN 1 END) >= 1")
 same("filter_compare", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_discount BETWEEN 5e-2 AND 7e-2 AND l_returnflag = 'R'")
 same("filter_substring", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%green%' OR p_type LIKE 'PROMO%'")
 same("dropna_any", "SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL")
@@ -225,7 +174,7 @@ same("group_count", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM linei
 same("distinct_count", "SELECT l_returnflag, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1")
 same("max_abs", "SELECT c_nationkey, max(abs(c_acctbal)) AS m FROM customer GROUP BY 1")
 same("hit_pivot", "SELECT l_linenumber, coalesce(min(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 0) AS a, coalesce(min(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 0) AS n, coalesce(min(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0) AS r FROM lineitem GROUP BY 1")
-same("geo_mean_folds", f"WITH {_PV} SELECT gene, {q6('exp(avg(ln(p)))')} AS g FROM pv GROUP BY 1")
+same("geo_mean_folds", f"WITH {PV} SELECT gene, {q6('exp(avg(ln(p)))')} AS g FROM pv GROUP BY 1")
 same("column_bounds", "SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_extendedprice) AS e0, max(l_extendedprice) AS e1 FROM lineitem")
 same("column_moments", f"SELECT l_returnflag, {q6('avg(l_quantity)')} AS m, {q6('var_samp(l_quantity)')} AS v, {q6('stddev_samp(l_quantity)')} AS s FROM lineitem GROUP BY 1")
 same("stacked_bar", "WITH a AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_linenumber, l_returnflag, CAST(sum(n) OVER (PARTITION BY l_linenumber ORDER BY l_returnflag) AS BIGINT) AS top FROM a")
@@ -284,10 +233,10 @@ def _(spark, d):
 
 
 # windows, sorts, sets
-same("first_rank", f"WITH {_SCORES} SELECT screen, gene, row_number() OVER (PARTITION BY screen ORDER BY score, gene) AS r FROM s")
+same("first_rank", f"WITH {SCORES} SELECT screen, gene, row_number() OVER (PARTITION BY screen ORDER BY score, gene) AS r FROM s")
 same("random_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY (o_orderkey * 2654435761) % 4294967296, o_orderkey) AS r FROM orders")
 same("zscore", f"WITH m AS (SELECT avg(c_acctbal) AS a, stddev_samp(c_acctbal) AS s FROM customer) SELECT c_custkey, {q6('(c_acctbal - a) / s')} AS z FROM customer CROSS JOIN m")
-same("clamp_max_below_one", f"WITH {_PV}, m AS (SELECT max(CASE WHEN p < 1 THEN p END) AS top FROM pv) SELECT screen, gene, {q6('CASE WHEN p = 1 THEN top ELSE p END')} AS p FROM pv CROSS JOIN m")
+same("clamp_max_below_one", f"WITH {PV}, m AS (SELECT max(CASE WHEN p < 1 THEN p END) AS top FROM pv) SELECT screen, gene, {q6('CASE WHEN p = 1 THEN top ELSE p END')} AS p FROM pv CROSS JOIN m")
 same("running_cdf", "WITH a AS (SELECT l_quantity AS q, count(*) AS n FROM lineitem GROUP BY 1) SELECT q, CAST(sum(n) OVER (ORDER BY q) AS BIGINT) AS upto FROM a")
 same("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
 same("frequency_filter", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 3")
@@ -319,25 +268,12 @@ def _(spark, d):
     return graph.canonical_pairs(table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit(1.0).alias("w")))
 
 
-# graph over nations: customer's nation x supplier's nation by order line, thinned so that it is not complete
-_NATIONS = """e AS (SELECT least(c_nationkey, s_nationkey) AS src, greatest(c_nationkey, s_nationkey) AS dst, count(*) * 1e0 AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
- g AS (SELECT * FROM e WHERE (7 * src + 11 * dst) % 6 = 0 AND dst < 23), b AS (SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g), deg AS (SELECT src, sum(w) AS degree FROM b GROUP BY 1),
- m AS (SELECT b.src, b.dst, w / degree AS w FROM b JOIN deg ON b.src = deg.src UNION ALL SELECT n_nationkey, n_nationkey, 1e0 FROM nation WHERE n_nationkey NOT IN (SELECT src FROM deg))"""
-
-
-def nations(spark, d):
-    t = lambda n: table(spark, d, n)
-    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    e = j.where("c_nationkey <> s_nationkey").groupBy(F.least("c_nationkey", "s_nationkey").alias("src"), F.greatest("c_nationkey", "s_nationkey").alias("dst")).agg((F.count(F.lit(1)) * 1.0).cast("double").alias("w"))
-    return e.where("(7 * src + 11 * dst) % 6 = 0 and dst < 23"), t("nation").select(F.col("n_nationkey").alias("id"))
-
-
-@query("stochastic_edges", f"WITH {_NATIONS} SELECT src, dst, {q6('w')} AS w FROM m")
+@query("stochastic_edges", f"WITH {NATIONS} SELECT src, dst, {q6('w')} AS w FROM m")
 def _(spark, d):
     return graph.stochastic(*nations(spark, d)).select("src", "dst", nulls.q6(F.col("w")).alias("w"))
 
 
-@query("stochastic_drop_isolated", f"WITH {_NATIONS} SELECT b.src, b.dst, {q6('w / degree')} AS w FROM b JOIN deg ON b.src = deg.src")
+@query("stochastic_drop_isolated", f"WITH {NATIONS} SELECT b.src, b.dst, {q6('w / degree')} AS w FROM b JOIN deg ON b.src = deg.src")
 def _(spark, d):
     return graph.stochastic(*nations(spark, d), drop_isolated=True).select("src", "dst", nulls.q6(F.col("w")).alias("w"))
 
@@ -354,7 +290,7 @@ _WALK = _iterate("SELECT id, sum(p) AS p FROM (SELECT m.dst AS id, 0.5e0 * m.w *
 _ONE = "SELECT n_nationkey AS id, CASE WHEN n_nationkey = 3 THEN 1e0 ELSE 0e0 END AS p FROM nation"
 
 
-@query("rwr_single", f"WITH {_NATIONS}, {_WALK.replace('{start}', _ONE)} SELECT id, {q6('p')} AS p FROM p15")
+@query("rwr_single", f"WITH {NATIONS}, {_WALK.replace('{start}', _ONE)} SELECT id, {q6('p')} AS p FROM p15")
 def _(spark, d):
     e, n = nations(spark, d)
     p0 = n.select("id", F.when(F.col("id") == 3, 1.0).otherwise(0.0).alias("p"))
@@ -364,7 +300,7 @@ def _(spark, d):
 _DATA = "SELECT n_nationkey AS id, coalesce(v, 0e0) / (SELECT sum(n_regionkey + 1) FROM nation WHERE n_nationkey % 2 = 0) AS p FROM nation LEFT JOIN (SELECT n_nationkey AS k, (n_regionkey + 1) * 1e0 AS v FROM nation WHERE n_nationkey % 2 = 0) t ON k = n_nationkey"
 
 
-@query("propagate", f"WITH {_NATIONS}, {_WALK.replace('{start}', _DATA)} SELECT id, {q6('p')} AS p FROM p15")
+@query("propagate", f"WITH {NATIONS}, {_WALK.replace('{start}', _DATA)} SELECT id, {q6('p')} AS p FROM p15")
 def _(spark, d):
     e, n = nations(spark, d)
     data = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") + 1).cast("double").alias("p"))
@@ -374,13 +310,13 @@ def _(spark, d):
 _CENTRAL = _iterate("SELECT m.dst AS id, sum(m.w * q.p) AS p FROM m JOIN {p} q ON m.src = q.id GROUP BY 1", "SELECT n_nationkey AS id, 1e0 / count(*) OVER () AS p FROM nation", 20)
 
 
-@query("eigen_centrality", f"WITH {_NATIONS}, {_CENTRAL} SELECT id, {q6('p / sum(p) OVER ()')} AS p FROM p20")
+@query("eigen_centrality", f"WITH {NATIONS}, {_CENTRAL} SELECT id, {q6('p / sum(p) OVER ()')} AS p FROM p20")
 def _(spark, d):
     e, n = nations(spark, d)
     return graph.centrality(graph.stochastic(e, n), n, 20).select("id", nulls.q6(F.col("p")).alias("p"))
 
 
-@query("rwr_degree_normalised", f"WITH {_NATIONS}, {_WALK.replace('{start}', _ONE)}, u AS (SELECT n_nationkey AS id, 1e0 / 25 AS q FROM nation) SELECT p15.id, {q6('CASE WHEN p = 0 THEN 0e0 ELSE p * (ln(p) - ln(q)) END')} AS kl, {q6('p / q')} AS lrt FROM p15 JOIN u ON u.id = p15.id")
+@query("rwr_degree_normalised", f"WITH {NATIONS}, {_WALK.replace('{start}', _ONE)}, u AS (SELECT n_nationkey AS id, 1e0 / 25 AS q FROM nation) SELECT p15.id, {q6('CASE WHEN p = 0 THEN 0e0 ELSE p * (ln(p) - ln(q)) END')} AS kl, {q6('p / q')} AS lrt FROM p15 JOIN u ON u.id = p15.id")
 def _(spark, d):
     e, n = nations(spark, d)
     p = materialize(graph.walk(graph.stochastic(e, n), n.select("id", F.when(F.col("id") == 3, 1.0).otherwise(0.0).alias("p"))))
@@ -392,13 +328,13 @@ def _(spark, d):
 _DIFF = _iterate("SELECT source, id, sum(p) AS p FROM (SELECT q.source, m.dst AS id, 0.5e0 * m.w * q.p AS p FROM m JOIN {p} q ON m.src = q.id UNION ALL SELECT source, id, 0.5e0 * p FROM p0) t GROUP BY 1, 2", "SELECT n_nationkey AS source, n_nationkey AS id, 1e0 AS p FROM nation", 15)
 
 
-@query("diffusion_matrix", f"WITH {_NATIONS}, {_DIFF} SELECT source, id, {q6('p')} AS p FROM p15")
+@query("diffusion_matrix", f"WITH {NATIONS}, {_DIFF} SELECT source, id, {q6('p')} AS p FROM p15")
 def _(spark, d):
     e, n = nations(spark, d)
     return graph.diffusion(graph.stochastic(e, n), n).select("source", "id", nulls.q6(F.col("p")).alias("p"))
 
 
-@query("sparse_mv", f"WITH {_NATIONS} SELECT dst AS id, {q6('sum(w * (src + 1))')} AS p FROM m GROUP BY 1")
+@query("sparse_mv", f"WITH {NATIONS} SELECT dst AS id, {q6('sum(w * (src + 1))')} AS p FROM m GROUP BY 1")
 def _(spark, d):
     e, n = nations(spark, d)
     return graph.multiply(graph.stochastic(e, n), n.select("id", (F.col("id") + 1).cast("double").alias("p"))).select("id", nulls.q6(F.col("p")).alias("p"))
@@ -495,12 +431,12 @@ def _(spark, d):
     return evalml.kmeans_step(e, "vec_id", "embedding", centres).select("vec_id", "centre")
 
 
-@query("qnorm", f"WITH {_PV} SELECT screen, gene, {q6(stats.qnorm_sql('p'))} AS z FROM pv WHERE p < 1")
+@query("qnorm", f"WITH {PV} SELECT screen, gene, {q6(stats.qnorm_sql('p'))} AS z FROM pv WHERE p < 1")
 def _(spark, d):
     return p_values(spark, d).where("p < 1").select("screen", "gene", nulls.q6(stats.qnorm("p")).alias("z"))
 
 
-@query("gsea_es", f"""WITH {_SCORES}, g AS (SELECT gene, max(score) AS stat FROM s GROUP BY 1), k AS (SELECT gene, stat, p_brand AS brand, row_number() OVER (ORDER BY stat DESC, gene) AS pos, count(*) OVER () AS n FROM g JOIN part ON p_partkey = gene),
+@query("gsea_es", f"""WITH {SCORES}, g AS (SELECT gene, max(score) AS stat FROM s GROUP BY 1), k AS (SELECT gene, stat, p_brand AS brand, row_number() OVER (ORDER BY stat DESC, gene) AS pos, count(*) OVER () AS n FROM g JOIN part ON p_partkey = gene),
  h AS (SELECT brand, pos, n, sum(stat) OVER (PARTITION BY brand ORDER BY pos) * 1e0 / sum(stat) OVER (PARTITION BY brand) AS hit, (sum(stat) OVER (PARTITION BY brand ORDER BY pos) - stat) * 1e0 / sum(stat) OVER (PARTITION BY brand) AS hit0, row_number() OVER (PARTITION BY brand ORDER BY pos) AS i, count(*) OVER (PARTITION BY brand) AS m FROM k)
  SELECT brand, {q6('CASE WHEN max(hit - (pos - i) * 1e0 / (n - m)) >= -min(hit0 - (pos - i) * 1e0 / (n - m)) THEN max(hit - (pos - i) * 1e0 / (n - m)) ELSE min(hit0 - (pos - i) * 1e0 / (n - m)) END')} AS es FROM h GROUP BY 1""")
 def _(spark, d):

@@ -15,7 +15,7 @@ def rows(df: pd.DataFrame) -> list[str]:
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()
-    for t in catalog._TABLES:
+    for t in catalog.TABLES:
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return c
 

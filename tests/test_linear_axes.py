@@ -22,7 +22,8 @@ def test_pca_and_loadings(spark):
     assert linear.pca(c.limit(0)).count() == 0
 
 
-def test_svd_rows(spark):
+def test_svd_rows(spark, monkeypatch):
+    monkeypatch.setattr(linear, "MOST_SAMPLES", 10)  # more rows than that take the iteration
     r = np.random.default_rng(2)
     m = r.normal(size=(30, 6)) @ r.normal(size=(6, 20))
     u, s, _ = np.linalg.svd(m, full_matrices=False)
