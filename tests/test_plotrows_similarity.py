@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hitgraph.operators import evalml, graph, plotdata, plotrows, similarity
+from hitgraph.plans import matrices
 
 
 def test_colours(spark):
@@ -84,3 +85,11 @@ def test_gsea_against_loops(spark):
         best = max(path) if max(path) >= -min(path) else min(path)
         assert np.isclose(x.es, best) and 0 < x.p <= 1 and x.p <= x.padj + 1e-12
     assert got["top"].p < 0.1 < got["mixed"].p
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_gsea_sets_stay_in_bounds_as_tables_grow(spark, scale):
+    d = f"/root/testdata/{scale}"
+    sets = matrices._gene_sets(spark, d)
+    got = similarity.gsea(matrices._ranked_z(spark, d).where("comparison = 1"), sets, permutations=5).collect()
+    assert {r.set for r in got} == {r.set for r in sets.select("set").distinct().collect()} and len(got) >= 25
