@@ -8,12 +8,13 @@ slots.  Aligning page after page gives the host's wrapper:
     ("t", tag)  ("x", constant text or None for a slot)  ("+", nodes)  ("?", nodes)
 
 A page is parsed by its host's wrapper; one that does not fit is aligned with it, and the wider wrapper parses it.
-The slots that lie in the article give the main text.  Where a page has no article, texts that the wrapper holds
-constant are the site's own and only slots count.
+The slots that lie in the article give the main text.  Where a page has no article, the texts that stand on every page
+of the host are the site's own and drop; they are counted over all its pages, and only if two of them differ.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -284,8 +285,15 @@ def main_text(tokens: list[tuple[str, str]], slots: list[bool]) -> str:
     return "\n".join(blocks)
 
 
-def extract_page(page: str | None, wrapper: list) -> tuple[str, list]:
-    """(main text, the wrapper, wider if it had to be)."""
+def text_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def extract_page(page: str | None, wrapper: list, constant: set[int] | None = None) -> tuple[str, list]:
+    """(main text, the wrapper, wider if it had to be).
+
+    constant: hashes of the host's own texts, which drop where there is no article; None: those that the wrapper holds.
+    """
     if not page:
         return "", wrapper
     tokens = stream(page)
@@ -299,6 +307,8 @@ def extract_page(page: str | None, wrapper: list) -> tuple[str, list]:
             slots = [kind == "x" for kind, _ in tokens]
         elif len(json.dumps(wider)) < 65_536:
             wrapper = wider
+    if constant is not None:
+        slots = [kind == "x" and text_hash(v) not in constant for kind, v in tokens]
     return main_text(tokens, slots), wrapper
 
 
@@ -325,6 +335,31 @@ def host_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return chosen.groupBy("host").applyInPandas(kernel, "host string, wrapper string")
 
 
+def host_constants(pages: DataFrame) -> DataFrame:
+    """(host, constant): hashes of the texts that stand on each of the host's different pages, of which it has two at least.
+
+    Pages with the same texts in the same order count once.  Only hosts that have a page without an article are counted.
+    """
+    rows = pages.select(_host(pages).alias("host"), pages["html"].alias("html")).where("html is not null and html <> ''")
+
+    def kernel(batches) -> Iterator[pa.RecordBatch]:
+        for rb in util.slices(batches, "html"):
+            bare, prints, hashes = [], [], []
+            for page in rb.column("html").to_pylist():
+                tokens = stream(page)
+                texts = [text_hash(v) for kind, v in tokens if kind == "x"]
+                bare.append(not any(kind == "o" and v in ("article", "main") for kind, v in tokens))
+                prints.append(hashlib.blake2b(repr(texts).encode(), digest_size=16).digest())
+                hashes.append(sorted(set(texts)))
+            yield pa.RecordBatch.from_pydict({"host": rb.column("host"), "bare": pa.array(bare, pa.bool_()), "print": pa.array(prints, pa.binary()), "hashes": pa.array(hashes, pa.list_(pa.int64()))})
+
+    facts = util.persist(rows.mapInArrow(kernel, "host string, bare boolean, print binary, hashes array<long>"))
+    different = facts.join(facts.where("bare").select("host").distinct(), "host", "left_semi").groupBy("host", "print").agg(F.min("hashes").alias("hashes"))
+    n = different.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("k"))
+    return held.join(n, "host").where("k = n").groupBy("host").agg(F.collect_list("hash").alias("constant"))
+
+
 def extract(pages: DataFrame, sample: int = SAMPLE, most: int = MOST_BROADCAST) -> DataFrame:
     """One row per page: page_id, url, main text, its code points.
 
@@ -333,10 +368,10 @@ def extract(pages: DataFrame, sample: int = SAMPLE, most: int = MOST_BROADCAST)
     """
     spark = pages.sparkSession
     util.ship(spark)
-    wrappers = util.persist(host_wrappers(pages, sample))
+    wrappers = util.persist(host_wrappers(pages, sample).join(host_constants(pages), "host", "left"))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"), _host(pages).alias("host"))
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    fixed = {r.host: r.wrapper for r in wrappers.collect()} if size <= most else None
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + 8 * F.coalesce(F.size("constant"), F.lit(0)))).first()[0] or 0
+    fixed = {r.host: (r.wrapper, r.constant) for r in wrappers.collect()} if size <= most else None
     if fixed is None:
         salts = 32
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
@@ -346,13 +381,15 @@ def extract(pages: DataFrame, sample: int = SAMPLE, most: int = MOST_BROADCAST)
     def kernel(batches) -> Iterator[pa.RecordBatch]:
         for rb in util.slices(batches, "html"):
             wide: dict[str, list] = {}
+            own: dict[str, set[int]] = {}
             hosts, html_ = rb.column("host").to_pylist(), rb.column("html").to_pylist()
-            given = rb.column("wrapper").to_pylist() if fixed is None else None
+            given = list(zip(rb.column("wrapper").to_pylist(), rb.column("constant").to_pylist())) if fixed is None else None
             texts = []
             for i, (h, page) in enumerate(zip(hosts, html_)):
                 if h not in wide:
-                    wide[h] = json.loads((given[i] if fixed is None else fixed.get(h)) or "[]")
-                t, wide[h] = extract_page(page, wide[h])
+                    wrapper, constant = given[i] if fixed is None else fixed.get(h, (None, None))
+                    wide[h], own[h] = json.loads(wrapper or "[]"), set(constant or ())
+                t, wide[h] = extract_page(page, wide[h], own[h])
                 texts.append(t)
             yield pa.RecordBatch.from_pydict({"page_id": rb.column("page_id"), "url": rb.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 

@@ -47,3 +47,14 @@ def test_empty_null_repeated(spark):
         got = sorted((r.page_id or -1, r.text, r.n_chars) for r in wrappers.extract(df, most=most).collect())
         assert got == [(-1, "V\nfive", 6), (1, "", 0), (2, "", 0), (3, "T & U\none two three\nfour", 24), (3, "T & U\none two three\nfour", 24)]
     assert wrappers.extract(df.limit(0)).count() == 0
+
+
+def test_hosts_without_article(spark):
+    page = lambda *ps: "<body>" + "".join(f"<div><p>{p}</p></div><section>s</section>" for p in ps) + "</body>"
+    rows = [(0, "http://one/a", page("alone")), (1, "http://copies/a", page("same")), (2, "http://copies/b", page("same"))]
+    # drawn pages may all hold "often", one page of the host does not
+    rows += [(10 + i, f"http://many/{i}", page("site", "often" if i else "seldom", f"story {i}")) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {0: "alone\ns", 1: "same\ns", 2: "same\ns"} | {10 + i: f"{'often' if i else 'seldom'}\nstory {i}" for i in range(40)}
+    for most in (1 << 20, 0):
+        assert {r.page_id: r.text for r in wrappers.extract(df, most=most).collect()} == want
