@@ -5,7 +5,8 @@ of five words (an item of fewer words is one shingle).  A window of an item's le
 shingles, each weighted by how often the window holds it.  Fingerprints of one length are cut into four blocks of
 16 bits: two that differ in at most RADIUS bits agree on some block up to RADIUS // 4 bits, so looking up each block
 in a table of all such neighbours finds every fingerprint within the radius.  A candidate counts if the weighted
-Jaccard similarity of the shingles, computed exactly, reaches the threshold.
+Jaccard similarity of the shingles, computed exactly, reaches the threshold.  A text of fewer words than the item is
+its own one window.
 
 Only windows that hold at least one shingle of the benchmark are fingerprinted: all others have similarity 0.
 """
@@ -126,7 +127,18 @@ def leaks_of(items: Items, h: np.ndarray, off: np.ndarray, threshold: float) ->
         hits = begin[items.holds(shingle, k)]
         if not len(hits):
             continue
+        held = np.unique(doc[hits])
+        words = off[held + 1] - off[held]
         for n in sorted({int(x) for x, s in zip(items.length, items.size) if s == k}):
+            # shorter texts, each as one window; with fewer shingles than this none reaches the threshold
+            short = held[(words < n) & ((words - k + 1) / (n - k + 1) >= threshold)]
+            if len(short):
+                own = [util.grams(h, np.arange(off[d], off[d + 1] - k + 1), k) for d in short]
+                for w, i in zip(*items.near(np.array([pack(signs(x).sum(0)[None])[0] for x in own], np.uint64), n)):
+                    s = similarity(Counter(own[w].tolist()), items.weights[i])
+                    key = (int(short[w]), int(i))
+                    if s >= threshold and s > best.get(key, (0.0, 0))[0]:
+                        best[key] = (s, 0)
             # all windows of n words with a hit inside, piece by piece
             lo = np.maximum(hits - (n - k), off[doc[hits]])
             hi = np.minimum(hits, off[doc[hits] + 1] - n)

@@ -72,3 +72,22 @@ def test_every_print_within_the_radius_is_found():
     apart = np.array([[bin(int(p) ^ int(q)).count("1") for q in items.prints] for p in prints])
     assert set(zip(w.tolist(), i.tolist())) == {(int(a), int(b)) for a, b in np.argwhere(apart <= dc.RADIUS)}
     assert dc.words_of(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0, 0]
+
+
+def test_texts_shorter_than_the_item(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"v{rng.randrange(300)}" for _ in range(n))) for i, n in enumerate((59, 59, 40, 12, 5, 4))]
+    texts = [" ".join(x.split()[a : len(x.split()) - z]) for _, x in items for a, z in ((0, 0), (0, 1), (1, 0), (2, 3), (5, 6), (0, 12))]
+    whole = brute(texts, items)
+    for d, t in enumerate(texts):
+        w = words(t)
+        for i, x in items:
+            v = words(x)
+            k = min(5, len(v))
+            grams = lambda s: Counter(tuple(s[a : a + k]) for a in range(len(s) - k + 1))
+            if k <= len(w) < len(v) and (s := dc.similarity(grams(w), grams(v))) >= 0.8:
+                whole[d, i] = (s, 0)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in dc.leaks(documents(spark, texts), bench).collect()}
+    assert got == whole and (1, 0) in got and got[1, 0] == (54 / 55, 0)
+    assert {r.doc_id for r in dc.without_leaks(documents(spark, texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in whole}
