@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hitgraph.operators import evalml, graph, plotdata, plotrows, similarity
-from hitgraph.plans import matrices
+from hitgraph.plans import catalog, matrices
 
 
 def test_colours(spark):
@@ -93,3 +93,18 @@ def test_gsea_sets_stay_in_bounds_as_tables_grow(spark, scale):
     sets = matrices._gene_sets(spark, d)
     got = similarity.gsea(matrices._ranked_z(spark, d).where("comparison = 1"), sets, permutations=5).collect()
     assert {r.set for r in got} == {r.set for r in sets.select("set").distinct().collect()} and len(got) >= 25
+
+
+def _vectors(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    return {r.vec_id: np.array(r.embedding, float) for r in rows}
+
+
+def test_queries_meet_all_other_rows(spark, sf):
+    v = _vectors(spark, sf)
+    want = {(a, b) for a in v if a % 50 == 0 for b in v if a != b}
+    d2 = catalog.QUERIES["sq_euclid_full"](spark, sf).collect()
+    cos = catalog.QUERIES["cosine_full"](spark, sf).collect()
+    assert len(d2) == len(cos) == len(want) and {(r.a, r.b) for r in d2} == {(r.a, r.b) for r in cos} == want
+    assert all(np.isclose(r.d2, ((v[r.a] - v[r.b]) ** 2).sum(), atol=2e-6) for r in d2)
+    assert all(np.isclose(r.cosine, v[r.a] @ v[r.b] / (np.linalg.norm(v[r.a]) * np.linalg.norm(v[r.b])), atol=2e-6) for r in cos)
