@@ -68,6 +68,19 @@ def knn(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int, mo
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def knn_blocks(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int, most: int = 100_000) -> DataFrame:
+    """knn of any number of queries, in blocks by hash of some most / 2 queries each."""
+    n = queries.count()
+    if n <= most:
+        return knn(queries, points, key, vector, k, most)
+    blocks = -(-2 * n // most)
+    out = None
+    for b in range(blocks):
+        got = knn(queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), points, key, vector, k, most)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def kmeans_step(points: DataFrame, key: str, vector: str, centres: list[tuple[int, list[float]]]) -> DataFrame:
     """Assign each point to its nearest centre (ties: lower number); centres are a bounded literal."""
     options = F.array(*[F.struct(squared_distance(F.col(vector), F.array(*[F.lit(float(x)) for x in c])).alias("d2"), F.lit(i).cast("long").alias("centre")) for i, c in centres])

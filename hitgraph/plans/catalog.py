@@ -424,6 +424,12 @@ def _(spark, d):
     return evalml.knn(e.where("vec_id < 50"), e, "vec_id", "embedding", 15).select("query", "neighbour", "rank")
 
 
+@query("knn_graph_full")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    return evalml.knn_blocks(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 15).select("query", "neighbour", "rank")
+
+
 @query("kmeans_step", f"WITH c AS (SELECT vec_id AS k, embedding AS v FROM embeddings WHERE vec_id < 10), r AS (SELECT vec_id, k, row_number() OVER (PARTITION BY vec_id ORDER BY {_D2.format(a='embedding', b='v')}, k) AS i FROM embeddings, c) SELECT vec_id, k AS centre FROM r WHERE i = 1")
 def _(spark, d):
     e = table(spark, d, "embeddings")

@@ -56,6 +56,13 @@ def _(spark, d):
     return plotrows.segment_endpoints(edges, e.select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y")), "vec_id", "x", "y")
 
 
+@query("segment_endpoints_full")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    edges = evalml.knn_blocks(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5).select(F.col("query").alias("u"), F.col("neighbour").alias("v"), "rank")
+    return plotrows.segment_endpoints(edges, e.select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y")), "vec_id", "x", "y")
+
+
 _SHARE = "CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) * 1e0 / (max({c}) OVER () - min({c}) OVER ()) ELSE 0e0 END"
 
 
