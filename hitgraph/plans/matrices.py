@@ -140,7 +140,7 @@ def _(spark, d):
 @query("rf_cv")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("target"))
-    return evalml.forest_cv(e, "vec_id", "embedding", "target", trees=50)
+    return evalml.forest_cv(e, "vec_id", "embedding", "target")
 
 
 @query("profile_assembly", f"""WITH {PV}, {NATIONS}, picked AS (SELECT gene, count(*) AS n, max(-log10(p)) AS top FROM pv WHERE p < 0.5e0 GROUP BY 1 HAVING count(*) > 1), x AS (SELECT gene, top, coalesce(degree, 0e0) AS d, degree IS NOT NULL AS in_graph FROM picked LEFT JOIN deg ON deg.src = gene % 25),

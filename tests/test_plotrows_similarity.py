@@ -120,3 +120,10 @@ def test_neighbours_of_all_stated_queries(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     blocks = evalml.knn_blocks(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 15, most=8)
     assert {(r.query, r["rank"]): r.neighbour for r in blocks.collect()} == got
+
+
+def test_forest_query_takes_the_default_trees(spark, sf, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(evalml, "forest_cv", lambda *a, **b: seen.update(b))
+    catalog.QUERIES["rf_cv"](spark, sf)
+    assert seen.get("trees", 500) == 500
