@@ -25,3 +25,8 @@ def test_query(spark, sf, duck, name):
     got, want = catalog.QUERIES[name](spark, sf).toPandas(), duck.execute(catalog.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_members_of_a_very_long_text(spark, tmp_path):
+    spark.createDataFrame([(1, "a\nb\n" + "\n".join(map(str, range(1_000_005)))), (2, "a"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalog.QUERIES["gmt_explode"](spark, str(tmp_path)).count() == 1_000_005
