@@ -17,8 +17,12 @@ from . import codec, util
 #: A block is closed when it holds so many ids; one longer document is a block of its own.
 BLOCK_IDS = 1 << 19
 LANES = 4096
-#: Words whose ids a worker remembers at most.
-MOST_WORDS = 2_000_000
+#: Words whose ids a worker remembers, some 60 bytes each, between two batches; then it forgets all.
+MOST_WORDS = 1_000_000
+#: Letters of a word that goes through the library in a call of its own.
+LONG = 64
+#: Masks of a word's first bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 #: Classes of Latin-1 characters in lower case: 0 white space, 1 letter, 2 number, 3 other.
@@ -55,74 +59,97 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Words are known by a 64-bit hash, in a table with open addressing."""
-        self.hash = np.zeros(1 << 16, np.uint64)
-        self.number = np.full(1 << 16, -1, np.int32)
+        """Words of up to 16 bytes are known by those bytes in a table with open addressing, longer ones in a dict."""
+        self.slot = np.full(1 << 16, -1, np.int32)
         self.known = 0
-        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of the words, -1 for unknown ones."""
-        mask = np.uint64(len(self.hash) - 1)
-        at = (h & mask).astype(np.int64)
-        out = self.number[at]
-        again = np.flatnonzero((out >= 0) & (self.hash[at] != h))
+        self.low, self.high, self.size = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint8)
+        self.flat, self.begin = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64)
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+
+    def key(self, raw: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of words of up to 16 bytes, as two numbers each; raw has 16 bytes more behind the last word."""
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))
+        return eight[start] & _FIRST[np.minimum(size, 8)], eight[start + 8] & _FIRST[np.maximum(size, 8) - 8]
+
+    def find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of the words, -1 for unknown ones; the bytes themselves are compared."""
+        mask = len(self.slot) - 1
+        at = (util.mix(low ^ util.mix(high + size.astype(np.uint64))) & np.uint64(mask)).astype(np.int64)
+        out = self.slot[at]
+        other = lambda k, i: (k >= 0) & ((self.low[k] != low[i]) | (self.high[k] != high[i]) | (self.size[k] != size[i]))
+        again = np.flatnonzero(other(out, slice(None)))
         while len(again):
-            at[again] = (at[again] + 1) & int(mask)
-            got = self.number[at[again]]
+            at[again] = (at[again] + 1) & mask
+            got = self.slot[at[again]]
             out[again] = got
-            again = again[(got >= 0) & (self.hash[at[again]] != h[again])]
+            again = again[other(got, again)]
         return out
 
-    def insert(self, h: np.ndarray, number: np.ndarray) -> None:
-        mask = len(self.hash) - 1
-        at = (h & np.uint64(mask)).astype(np.int64)
-        todo = np.arange(len(h))
+    def insert(self, number: np.ndarray) -> None:
+        mask = len(self.slot) - 1
+        at = (util.mix(self.low[number] ^ util.mix(self.high[number] + self.size[number].astype(np.uint64))) & np.uint64(mask)).astype(np.int64)
+        todo = np.arange(len(number))
         while len(todo):
-            free = todo[self.number[at[todo]] < 0]
+            free = todo[self.slot[at[todo]] < 0]
             _, one = np.unique(at[free], return_index=True)
             won = free[one]
-            self.hash[at[won]], self.number[at[won]] = h[won], number[won]
-            lost = np.ones(len(h), bool)
+            self.slot[at[won]] = number[won]
+            lost = np.ones(len(number), bool)
             lost[won] = False
             todo = todo[lost[todo]]
             at[todo] = (at[todo] + 1) & mask
 
-    def learn(self, h: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> None:
-        """The words go through the library, once each."""
-        h, one = np.unique(h, return_index=True)
-        words = [raw[a:b].decode("latin-1") for a, b in zip(start[one].tolist(), end[one].tolist())]
+    def add(self, words: list[bytes]) -> np.ndarray:
+        """Numbers for words that are all new and all different; they go through the library, once each."""
+        flat, size = self.through_library([w.decode("latin-1") for w in words])
+        number = np.arange(self.known, self.known + len(words), dtype=np.int32)
+        self.known += len(words)
+        grown = lambda x, n: x if len(x) >= n else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+        self.low, self.high, self.size = (grown(x, self.known) for x in (self.low, self.high, self.size))
+        self.begin = grown(self.begin, self.known + 1)
+        total = int(self.begin[self.known - len(words)])
+        self.flat = grown(self.flat, total + len(flat))
+        self.flat[total : total + len(flat)] = flat
+        self.begin[self.known - len(words) + 1 : self.known + 1] = total + np.cumsum(size)
+        return number
+
+    def learn(self, raw: bytes, start: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> None:
+        """New words of up to 16 bytes, repeated ones among them."""
+        order = np.lexsort((size, high, low))
+        first = np.ones(len(order), bool)
+        x, y = order[1:], order[:-1]
+        first[1:] = (low[x] != low[y]) | (high[x] != high[y]) | (size[x] != size[y])
+        one = order[first]
+        number = self.add([raw[a : a + n] for a, n in zip(start[one].tolist(), size[one].tolist())])
+        self.low[number], self.high[number], self.size[number] = low[one], high[one], size[one]
+        if self.known * 3 > len(self.slot):
+            every = np.sort(np.concatenate([self.slot[self.slot >= 0], number]))
+            self.slot = np.full(1 << (self.known * 4).bit_length(), -1, np.int32)
+            self.insert(every)
+        else:
+            self.insert(number)
+
+    def through_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the words, how many each has)."""
         # many words in one call, a number between any two: numbers are words of their own
         mark = self.library.encode("0", add_special_tokens=False).ids
-        digit = [w in "0123456789²³¹¼½¾" for w in words]
-        plain = [w for w, d in zip(words, digit) if not d]
+        alone = [w in "0123456789²³¹¼½¾" or len(w) > LONG for w in words]
+        plain = [w for w, d in zip(words, alone) if not d]
         coded = self.batch([" 0 ".join(plain[i : i + 128]) for i in range(0, len(plain), 128)], add_special_tokens=False)
-        alone = iter(self.batch([w for w, d in zip(words, digit) if d], add_special_tokens=False))
         flat = np.array(list(chain.from_iterable(chain(e.ids, mark) for e in coded)), np.uint32)
         ends = np.flatnonzero(flat == mark[0])
         if len(mark) != 1 or len(ends) != len(plain):
             raise ValueError("the library cuts words otherwise")
-        pieces = iter(np.split(flat, ends + 1)) if any(digit) else None
-        if pieces is None:
-            size = np.diff(np.concatenate([[-1], ends])) - 1
-            flat = np.delete(flat, ends)
-        else:
-            parts = [np.array(next(alone).ids, np.uint32) if d else next(pieces)[:-1] for d in digit]
-            size, flat = np.array([len(p) for p in parts]), np.concatenate(parts)
-        number = np.arange(self.known, self.known + len(h), dtype=np.int32)
-        self.known += len(h)
-        if self.known * 3 > len(self.hash):
-            old, kept = self.hash[self.number >= 0], self.number[self.number >= 0]
-            slots = 1 << (self.known * 4).bit_length()
-            self.hash, self.number = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
-            self.insert(old, kept)
-        self.insert(h, number)
-        self.flat = np.concatenate([self.flat, flat])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+        if not any(alone):
+            return np.delete(flat, ends), np.diff(np.concatenate([[-1], ends])) - 1
+        pieces = iter(np.split(flat, ends + 1))
+        parts = [np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint32) if d else next(pieces)[:-1] for w, d in zip(words, alone)]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number by text), without added special tokens."""
-        if self.known > MOST_WORDS:
+        if self.known > MOST_WORDS or len(self.flat) > 8 * MOST_WORDS or self.long_bytes > 16 * MOST_WORDS:
             self.forget()
         simple: list[bytes] = []
         odd: dict[int, np.ndarray] = {}
@@ -136,7 +163,7 @@ class Encoder:
                 except UnicodeError:
                     odd[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
             simple.append(found)
-        whole = b"\n".join([*simple, b"\n\n"])
+        whole = b"\n".join([*simple, b"\n" * 16])
         raw = np.frombuffer(whole, np.uint8)
         edge = np.concatenate([[0], np.cumsum([len(x) + 1 for x in simple])])
         kind = _KIND[raw]
@@ -157,12 +184,24 @@ class Encoder:
         at = np.flatnonzero(begin)
         word = kind[at[:-1]] > 0
         start, end = at[:-1][word], at[1:][word]
-        h = util.word_hashes(raw, start, end)
-        k = self.find(h)
-        new = np.flatnonzero(k < 0)
+        size = end - start
+        k = np.full(len(start), -1, np.int32)
+        short = np.flatnonzero(size <= 16)
+        at, n = start[short], size[short].astype(np.uint8)
+        low, high = self.key(whole, at, n)
+        k[short] = self.find(low, high, n)
+        new = np.flatnonzero(k[short] < 0)
         if len(new):
-            self.learn(h[new], whole, start[new], end[new])
-            k[new] = self.find(h[new])
+            self.learn(whole, at[new], low[new], high[new], n[new])
+            k[short[new]] = self.find(low[new], high[new], n[new])
+        rest = np.flatnonzero(size > 16)
+        if len(rest):
+            words = [whole[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist())]
+            new = list({w: None for w in words if w not in self.long})
+            if new:
+                self.long.update(zip(new, self.add(new).tolist()))
+                self.long_bytes += sum(map(len, new))
+            k[rest] = [self.long[w] for w in words]
         size = self.begin[k + 1] - self.begin[k]
         total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
@@ -220,6 +259,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, vo
             seq, start = seq + 1, start + len(ids)
             for h in held:
                 h.clear()
+            util.release()
             return out
 
         size = 0

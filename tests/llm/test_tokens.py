@@ -49,6 +49,27 @@ def test_ids_match_the_library(library):
         assert n == [len(w) for w in want] and np.concatenate(ids).tolist() == [x for w in want for x in w]
 
 
+def test_words_that_any_polynomial_hash_confuses(library):
+    """A Thue-Morse word and its complement, and words that differ behind their first 8 or 16 bytes."""
+    texts = []
+    for n in (64, 1024, 4096):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        texts += [word, word.translate(str.maketrans("ab", "ba")), f"{word} {word}", ""]
+    texts += ["abcdefgh abcdefgi abcdefg abcdefghabcdefgh abcdefghabcdefgi abcdefghabcdefghx abcdefghabcdefghy abcdefghabcdefg"]
+    coder = tokens.Encoder(tokens.default_tokenizer())
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        ids, n = coder.encode(texts)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
+def test_forgetting_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 3)
+    coder = tokens.Encoder(tokens.default_tokenizer())
+    for t in TEXTS + EXTRA:
+        assert coder.encode([t, t])[0].tolist() == 2 * library.encode(t or "", add_special_tokens=False).ids
+
+
 def test_codec_round_trip_and_damage():
     rng = np.random.default_rng(1)
     for n, vocab, lanes in ((0, 10, None), (1, 10, None), (5, 49408, None), (127, 3, 1), (1000, 49408, 7), (5000, 2, None), (40_000, 300, 64), (9000, 65_536, 9)):
