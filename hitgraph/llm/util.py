@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -169,10 +170,13 @@ class Rolling:
 
 
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words [start, end) of the bytes."""
+    """64-bit hashes of the words [start, end) of the bytes; a long word's is a digest, as sums of powers meet there."""
     if not len(start):
         return np.zeros(0, U64)
-    return Rolling(_BYTE[raw]).of(start, end)
+    out = Rolling(_BYTE[raw]).of(start, end)
+    for k in np.flatnonzero(end - start > 256).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def grams(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
