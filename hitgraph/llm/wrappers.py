@@ -7,9 +7,14 @@ slots.  Aligning page after page gives the host's wrapper:
 
     ("t", tag)  ("x", constant text or None for a slot)  ("+", nodes)  ("?", nodes)
 
-A page is parsed by its host's wrapper; one that does not fit is aligned with it, and the wider wrapper parses it.
-The slots that lie in the article give the main text.  Where a page has no article, the texts that stand on every page
-of the host are the site's own and drop; they are counted over all its pages, and only if two of them differ.
+The wrapper of a host is fixed before pages are read.  Its text nodes are labelled once: main (in an article or main
+element), open (elsewhere), none (in a part that is marked as no main text; marks by class name count only where the
+article keeps text without that part).  A page is parsed by its host's wrapper, so each of its texts gets the label of
+the node that matched it; a page that does not fit is aligned with the wrapper for itself alone, so no page's result
+depends on another row of its batch.  Main text is what main nodes matched.  On a page where they match nothing it is
+what open nodes matched, but for the site's own texts: those that stand on every page of the host, counted over all its
+pages, and only if two of them differ.  Of a page's places of such a text those go that are matched by a node that has
+it on half of the pages; all of them if there is none.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import hashlib
 import html
 import json
 import re
+import sys
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -43,16 +49,33 @@ _INLINE = {
 }
 _ENDED_BY = {"p": {"p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "form", "nav", "aside", "header", "footer", "main", "figure", "dl", "hr", "address"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _DROPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "math"}
+#: Names of parts that are no main text; a name's last word counts, those of containers aside.
 _DROPPED_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar\w*|footer|header|breadcrumbs?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|social|comments?|replies|disqus|related|recommended|pagination|toolbar|widget|hidden)(?:$|[\s_-])", re.I
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar\w*|footer|header|breadcrumbs?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|social|comments?|replies|disqus|related|recommended|pagination|toolbar|widget|hidden"
 )
+_CONTAINER_WORDS = re.compile(r"\d*|area|bar|block|body|box|button|buttons|col|column|container|content|form|group|holder|icons|inner|item|items|links|list|outer|panel|posts|row|section|signup|slot|thread|unit|widget|wrap|wrapper")
+#: Blocks of text: only these names drop them.
+_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "figcaption"}
+_BLOCK_WORDS = re.compile(r"ads?|advert\w*|sponsored|cookies?|consent|notices?|comments?|breadcrumbs?|hidden")
 _DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 
 
+def _named(value: str, block: bool) -> bool:
+    """Whether a class or id names a part that is no main text."""
+    for name in value.lower().split():
+        words = re.split(r"[-_]+", name)
+        while len(words) > 1 and _CONTAINER_WORDS.fullmatch(words[-1]):
+            words.pop()
+        if (_BLOCK_WORDS if block else _DROPPED_WORDS).fullmatch(words[-1]):
+            return True
+    return False
+
+
 def stream(page: str) -> list[tuple[str, str]]:
-    """("o", tag), ("c", tag), ("x", text): balanced; tags carry a mark '!' if all inside is no main text."""
+    """("o", tag), ("c", tag), ("x", text): balanced; tags carry a mark if all inside is no main text: '!', or '~' by name."""
     out: list[tuple[str, str]] = []
     opened: list[str] = []
+    count: dict[str, int] = {}
     text: list[str] = []
     at, n = 0, len(page)
 
@@ -67,6 +90,7 @@ def stream(page: str) -> list[tuple[str, str]]:
         flush()
         while len(opened) > k:
             out.append(("c", opened.pop()))
+            count[out[-1][1].rstrip("!~")] -= 1
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -90,15 +114,16 @@ def stream(page: str) -> list[tuple[str, str]]:
                 text.append(" ")
             continue
         if m.group(1):
-            for k in range(len(opened) - 1, -1, -1):
-                if opened[k].rstrip("!") == name:
-                    close(k)
-                    break
+            if count.get(name):
+                for k in range(len(opened) - 1, -1, -1):
+                    if opened[k].rstrip("!~") == name:
+                        close(k)
+                        break
             else:
                 flush()
             continue
         for k in range(len(opened) - 1, -1, -1):
-            inner = opened[k].rstrip("!")
+            inner = opened[k].rstrip("!~")
             if name in _ENDED_BY.get(inner, ()):
                 close(k)
             elif inner not in ("p", "dt", "dd", "td", "th"):
@@ -106,11 +131,13 @@ def stream(page: str) -> list[tuple[str, str]]:
         flush()
         if name in _VOID:
             continue
-        drop = name in _DROPPED
+        drop, named = name in _DROPPED, False
         for a in _ATTR.finditer(m.group(3) or ""):
             key, value = (a.group(1) or a.group(3)).lower(), (a.group(2) or "").strip("\"'")
-            drop |= key == "hidden" or key in ("class", "id") and bool(_DROPPED_WORDS.search(value)) or key == "role" and value.lower() in _DROPPED_ROLES
-        tag = name + "!" * drop
+            drop |= key == "hidden" or key == "role" and value.lower() in _DROPPED_ROLES
+            named |= key in ("class", "id") and _named(value, name in _BLOCKS)
+        tag = name + ("!" if drop else "~" if named and name not in ("html", "body", "article", "main") else "")
+        count[name] = count.get(name, 0) + 1
         opened.append(tag)
         out.append(("o", tag))
     close(0)
@@ -119,43 +146,29 @@ def stream(page: str) -> list[tuple[str, str]]:
 
 def fold(tokens: list[tuple[str, str]]) -> list:
     """Wrapper nodes of one page: repeats next to each other become one group."""
-    nodes: list = []
+    levels: list[list[list]] = [[]]  # units (elements, groups, texts) of the elements that are open
     for kind, v in tokens:
-        nodes.append(["x", v] if kind == "x" else ["t", v if kind == "o" else "/" + v])
-        if kind == "c":
-            _fold_tail(nodes)
-    return nodes
+        if kind == "x":
+            levels[-1].append([["x", v]])
+        elif kind == "o":
+            levels.append([[["t", v]]])
+        else:
+            unit = [n for u in levels.pop() for n in u] + [["t", "/" + v]]
+            beside = levels[-1]
+            last = beside[-1] if len(beside) > (len(levels) > 1) else None
+            if last and last[0][0] == "+" and last[0][1][0] == unit[0]:
+                beside[-1] = [["+", merge(last[0][1], unit)]]
+            elif last and last[0] == unit[0]:
+                beside[-1] = [["+", merge(last, unit)]]
+            else:
+                beside.append(unit)
+    return [n for u in levels[0] for n in u]
 
 
 def _shape(nodes: list) -> str:
     return "".join("#" if n[0] == "x" else f"<{n[1]}>" if n[0] == "t" else f"{n[0]}({_shape(n[1])})" for n in nodes)
 
 
-def _element_start(nodes: list, end: int) -> int:
-    """Where the element begins that ends at the close tag nodes[end]."""
-    depth = 0
-    for k in range(end, -1, -1):
-        if nodes[k][0] == "t":
-            depth += 1 if nodes[k][1][0] == "/" else -1
-            if depth == 0:
-                return k
-    return -1
-
-
-def _fold_tail(nodes: list) -> None:
-    b = _element_start(nodes, len(nodes) - 1)
-    if b <= 0:
-        return
-    unit = nodes[b:]
-    before = nodes[b - 1]
-    if before[0] == "+" and before[1][0] == unit[0]:
-        nodes[b - 1 :] = [["+", merge(before[1], unit)]]
-    elif before[0] == "t" and before[1] == "/" + unit[0][1]:
-        a = _element_start(nodes, b - 1)
-        if a >= 0:
-            nodes[a:] = [["+", merge(nodes[a:b], unit)]]
-
-
 def merge(a: list, b: list) -> list:
     """The least wrapper of this kind that both sequences satisfy."""
     key = lambda n: "#" if n[0] == "x" else n[1] if n[0] == "t" else "=" + _first(n)
@@ -226,6 +239,7 @@ def _both(x: list, y: list) -> list:
 
 def infer(pages: list[str]) -> list:
     """The wrapper of some pages of a host."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
     out: list | None = None
     for p in pages:
         nodes = fold(stream(p))
@@ -233,14 +247,71 @@ def infer(pages: list[str]) -> list:
     return out or []
 
 
-def parse(wrapper: list, tokens: list[tuple[str, str]]) -> list[bool] | None:
-    """Whether each token was matched by a slot (else by template); None if the page does not fit."""
-    slots = [False] * len(tokens)
-    end = _match(wrapper, tokens, 0, slots)
-    return slots if end == len(tokens) else None
+def pack(wrapper: list) -> str:
+    """The wrapper as flat JSON, however deep its groups are."""
+    out, todo = [], [iter(wrapper)]
+    while todo:
+        n = next(todo[-1], None)
+        if n is None:
+            todo.pop()
+            out.append([")"])
+        elif n[0] in "+?":
+            out.append([n[0]])
+            todo.append(iter(n[1]))
+        else:
+            out.append(n[:2])
+    return json.dumps(out[:-1])
+
+
+def unpack(flat: str) -> list:
+    levels: list[list] = [[]]
+    for n in json.loads(flat):
+        if n[0] == ")":
+            levels.pop()
+        else:
+            levels[-1].append(n)
+            if n[0] in "+?":
+                n.append([])
+                levels.append(n[1])
+    return levels[0]
+
+
+_NONE, _OPEN, _MAIN = 0, 1, 2
+
+
+def label(wrapper: list) -> list[int]:
+    """Numbers the wrapper's text nodes and gives each its label; marks by name count in an article that keeps text without them."""
+    texts: list[tuple[bool, bool, int]] = []  # in a part that is dropped, in one that is so by name, the outermost article it is in
+    drop = named = within = article = 0
+    todo = [iter(wrapper)]
+    while todo:
+        n = next(todo[-1], None)
+        if n is None:
+            todo.pop()
+        elif n[0] in "+?":
+            todo.append(iter(n[1]))
+        elif n[0] == "x":
+            n[2:] = [len(texts)]
+            texts.append((drop > 0, named > 0, article if within else 0))
+        else:
+            step, tag = (-1, n[1][1:]) if n[1][0] == "/" else (1, n[1])
+            drop += step * (tag[-1] == "!")
+            named += step * (tag[-1] == "~")
+            if tag in ("article", "main"):
+                article += step == 1 and not within
+                within += step
+    keeps = {a for d, m, a in texts if not d and not m}
+    return [_NONE if d or m and a in keeps else _MAIN if a else _NONE if m else _OPEN for d, m, a in texts]
 
 
-def _match(nodes: list, tokens: list, at: int, slots: list[bool]) -> int:
+def parse(wrapper: list, tokens: list[tuple[str, str]]) -> list[int] | None:
+    """The number of the node that matched each text (-1 for tags); None if the page does not fit."""
+    nodes = [-1] * len(tokens)
+    end = _match(wrapper, tokens, 0, nodes)
+    return nodes if end == len(tokens) else None
+
+
+def _match(nodes: list, tokens: list, at: int, found: list[int]) -> int:
     for n in nodes:
         kind = n[0]
         if kind == "t":
@@ -252,64 +323,60 @@ def _match(nodes: list, tokens: list, at: int, slots: list[bool]) -> int:
         elif kind == "x":
             if at >= len(tokens) or tokens[at][0] != "x" or n[1] is not None and tokens[at][1] != n[1]:
                 return -1
-            slots[at] = n[1] is None
+            found[at] = n[2]
             at += 1
         else:
-            got = _match(n[1], tokens, at, slots)
+            got = _match(n[1], tokens, at, found)
             if got < 0:
                 if kind == "+":
                     return -1
                 continue
             at = got
             while kind == "+":
-                got = _match(n[1], tokens, at, slots)
+                got = _match(n[1], tokens, at, found)
                 if got <= at:
                     break
                 at = got
     return at
 
 
-def main_text(tokens: list[tuple[str, str]], slots: list[bool]) -> str:
-    """The blocks of the article, one a line."""
-    mains = [k for k, (kind, v) in enumerate(tokens) if kind == "o" and v in ("article", "main")]
-    blocks, drop, depth, within = [], 0, 0, 0
-    for k, (kind, v) in enumerate(tokens):
-        if kind == "x":
-            if not drop and (within or not mains and slots[k]):
-                blocks.append(v)
-            continue
-        step = 1 if kind == "o" else -1
-        drop += step * (v[-1] == "!")
-        within += step * (v in ("article", "main"))
-        depth += step
-    return "\n".join(blocks)
-
-
 def text_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def extract_page(page: str | None, wrapper: list, constant: set[int] | None = None) -> tuple[str, list]:
-    """(main text, the wrapper, wider if it had to be).
+class Host:
+    """The fixed wrapper of a host, read once, and the texts of its site: (node, hash)."""
+
+    def __init__(self, wrapper: list, site: set[tuple[int, int]] = frozenset()) -> None:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # Python's own frames only, none of C's stack
+        self.wrapper, self.labels = wrapper, label(wrapper)
+        self.site, self.anywhere = site, {h for _, h in site}
+
+    def read(self, page: str) -> tuple[bool, list[tuple[int, int, str]]]:
+        """(does it fit, (label, node, text) of each text in page order)."""
+        tokens = stream(page)
+        nodes, labels = parse(self.wrapper, tokens), self.labels
+        fits = nodes is not None
+        if not fits:
+            for own in (lambda: unpack(pack(merge(self.wrapper, fold(tokens)))), lambda: [["x", v] if kind == "x" else ["t", "/" * (kind == "c") + v] for kind, v in tokens]):
+                wider = own()
+                labels = label(wider)
+                nodes = parse(wider, tokens)
+                if nodes is not None:  # the page's own tokens always fit
+                    break
+        return fits, [(labels[k], k, v) for k, (kind, v) in zip(nodes, tokens) if kind == "x"]
 
-    constant: hashes of the host's own texts, which drop where there is no article; None: those that the wrapper holds.
-    """
-    if not page:
-        return "", wrapper
-    tokens = stream(page)
-    slots = parse(wrapper, tokens) if wrapper else None
-    if slots is None:
-        wider = merge(wrapper, fold(tokens)) if wrapper else fold(tokens)
-        slots = parse(wider, tokens)
-        if slots is None:  # an order that the wider wrapper reads otherwise: the page's own tree has no constants
-            slots = [kind == "x" for kind, _ in tokens]
-        elif not wrapper:
-            slots = [kind == "x" for kind, _ in tokens]
-        elif len(json.dumps(wider)) < 65_536:
-            wrapper = wider
-    if constant is not None:
-        slots = [kind == "x" and text_hash(v) not in constant for kind, v in tokens]
-    return main_text(tokens, slots), wrapper
+    def main_text(self, page: str | None) -> str:
+        """The blocks of the article, one a line."""
+        if not page:
+            return ""
+        fits, texts = self.read(page)
+        blocks = [v for kind, _, v in texts if kind == _MAIN]
+        if not blocks:
+            rest = [(k, v, text_hash(v) if self.anywhere else 0) for kind, k, v in texts if kind == _OPEN]
+            placed = {h for k, _, h in rest if fits and (k, h) in self.site}
+            blocks = [v for k, v, h in rest if h not in self.anywhere or h in placed and (k, h) not in self.site]
+        return "\n".join(blocks)
 
 
 def _host(pages: DataFrame):
@@ -330,70 +397,96 @@ def host_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         some = pdf.sort_values(["page_id"])["html"].tolist()
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(infer(some))]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [pack(infer(some))]})
 
     return chosen.groupBy("host").applyInPandas(kernel, "host string, wrapper string")
 
 
-def host_constants(pages: DataFrame) -> DataFrame:
-    """(host, constant): hashes of the texts that stand on each of the host's different pages, of which it has two at least.
+def _given(rows: DataFrame, by_host: DataFrame, most: int):
+    """(rows, a lookup by host or None): small tables go by broadcast, others by a join, each host salted."""
+    sizes = [F.length(c) if t == "string" else 24 * F.coalesce(F.size(c), F.lit(0)) for c, t in by_host.dtypes]
+    size = by_host.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
+    if size <= most:
+        return rows, rows.sparkSession.sparkContext.broadcast({r[0]: tuple(r)[1:] for r in by_host.collect()})
+    salts = 32
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
+    by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(by_host, ["host", "salt"], "left"), None
+
+
+class _Hosts:
+    """Hosts of a task, read when first met, forgotten when they get many."""
+
+    def __init__(self, fixed) -> None:
+        self.fixed, self.known, self.held = fixed, {}, 0
+
+    def of(self, rb: pa.RecordBatch, i: int) -> Host:
+        host = rb.column("host")[i].as_py()
+        if host not in self.known:
+            if self.fixed is not None:
+                wrapper, *site = self.fixed.value.get(host, (None, None))
+            else:
+                wrapper, *site = (rb.column(c)[i].as_py() for c in ("wrapper", "site") if c in rb.schema.names)
+            self.held += len(wrapper or "")
+            if self.held > MOST_BROADCAST:
+                self.known.clear()
+                self.held = len(wrapper or "")
+            pairs = [(x["node"], x["hash"]) if isinstance(x, dict) else tuple(x) for x in (site[0] if site else None) or ()]
+            self.known[host] = Host(unpack(wrapper or "[]"), set(pairs))
+        return self.known[host]
+
+
+def host_sites(rows: DataFrame, wrappers: DataFrame, most: int) -> DataFrame:
+    """(host, site): hashes of the texts that stand on each of the host's different pages, of which it has two at least.
 
-    Pages with the same texts in the same order count once.  Only hosts that have a page without an article are counted.
+    Each with the nodes that match it on half of the pages, and with node -1.  Pages with the same texts in the same order
+    count once.  Only hosts that have a page without a text in an article are counted.
     """
-    rows = pages.select(_host(pages).alias("host"), pages["html"].alias("html")).where("html is not null and html <> ''")
+    joined, fixed = _given(rows.where("html is not null and html <> ''"), wrappers, most)
 
     def kernel(batches) -> Iterator[pa.RecordBatch]:
+        hosts = _Hosts(fixed)
         for rb in util.slices(batches, "html"):
-            bare, prints, hashes = [], [], []
-            for page in rb.column("html").to_pylist():
-                tokens = stream(page)
-                texts = [text_hash(v) for kind, v in tokens if kind == "x"]
-                bare.append(not any(kind == "o" and v in ("article", "main") for kind, v in tokens))
-                prints.append(hashlib.blake2b(repr(texts).encode(), digest_size=16).digest())
-                hashes.append(sorted(set(texts)))
-            yield pa.RecordBatch.from_pydict({"host": rb.column("host"), "bare": pa.array(bare, pa.bool_()), "print": pa.array(prints, pa.binary()), "hashes": pa.array(hashes, pa.list_(pa.int64()))})
-
-    facts = util.persist(rows.mapInArrow(kernel, "host string, bare boolean, print binary, hashes array<long>"))
-    different = facts.join(facts.where("bare").select("host").distinct(), "host", "left_semi").groupBy("host", "print").agg(F.min("hashes").alias("hashes"))
+            bare, prints, pairs = [], [], []
+            for i, page in enumerate(rb.column("html").to_pylist()):
+                fits, texts = hosts.of(rb, i).read(page)
+                hashes = [text_hash(v) for _, _, v in texts]
+                bare.append(not any(kind == _MAIN for kind, _, _ in texts))
+                prints.append(hashlib.blake2b(repr(hashes).encode(), digest_size=16).digest())
+                pairs.append([{"node": k, "hash": h} for k, h in sorted({(k if fits else -1, h) for (_, k, _), h in zip(texts, hashes)})])
+            kind = pa.list_(pa.struct([("node", pa.int32()), ("hash", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"host": rb.column("host"), "bare": pa.array(bare, pa.bool_()), "print": pa.array(prints, pa.binary()), "pairs": pa.array(pairs, kind)})
+
+    facts = util.persist(joined.mapInArrow(kernel, "host string, bare boolean, print binary, pairs array<struct<node:int,hash:long>>"))
+    different = facts.join(facts.where("bare").select("host").distinct(), "host", "left_semi").groupBy("host", "print").agg(F.min("pairs").alias("pairs"))
     n = different.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("k"))
-    return held.join(n, "host").where("k = n").groupBy("host").agg(F.collect_list("hash").alias("constant"))
+    each = different.select("host", F.explode(F.array_distinct(F.transform("pairs", lambda p: p["hash"]))).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("k"))
+    every = each.join(n, "host").where("k = n").select("host", "hash", "n")
+    nodes = different.select("host", F.explode("pairs").alias("p")).where("p.node >= 0").groupBy("host", F.col("p.hash").alias("hash"), F.col("p.node").alias("node")).agg(F.count(F.lit(1)).alias("k"))
+    often = nodes.join(every, ["host", "hash"]).where("2 * k >= n").select("host", "hash", "node")
+    site = every.select("host", "hash", F.lit(-1).alias("node")).unionByName(often)
+    return site.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("site"))
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE, most: int = MOST_BROADCAST) -> DataFrame:
     """One row per page: page_id, url, main text, its code points.
 
     Null and empty pages give empty texts; a null url belongs to host ''; repeated rows give repeated rows.  Pages
-    are read whole.  Wrappers are broadcast up to `most` bytes; beyond that they are joined, each host salted.
+    are read whole, however long or deeply nested.  Wrappers are broadcast up to `most` bytes; beyond that they are
+    joined, each host salted.
     """
-    spark = pages.sparkSession
-    util.ship(spark)
-    wrappers = util.persist(host_wrappers(pages, sample).join(host_constants(pages), "host", "left"))
+    util.ship(pages.sparkSession)
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"), _host(pages).alias("host"))
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + 8 * F.coalesce(F.size("constant"), F.lit(0)))).first()[0] or 0
-    fixed = {r.host: (r.wrapper, r.constant) for r in wrappers.collect()} if size <= most else None
-    if fixed is None:
-        salts = 32
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-        wrappers = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.join(wrappers, ["host", "salt"], "left")
+    wrappers = util.persist(host_wrappers(pages, sample))
+    joined, fixed = _given(rows, util.persist(wrappers.join(host_sites(rows, wrappers, most), "host", "left")), most)
 
     def kernel(batches) -> Iterator[pa.RecordBatch]:
+        hosts = _Hosts(fixed)
         for rb in util.slices(batches, "html"):
-            wide: dict[str, list] = {}
-            own: dict[str, set[int]] = {}
-            hosts, html_ = rb.column("host").to_pylist(), rb.column("html").to_pylist()
-            given = list(zip(rb.column("wrapper").to_pylist(), rb.column("constant").to_pylist())) if fixed is None else None
-            texts = []
-            for i, (h, page) in enumerate(zip(hosts, html_)):
-                if h not in wide:
-                    wrapper, constant = given[i] if fixed is None else fixed.get(h, (None, None))
-                    wide[h], own[h] = json.loads(wrapper or "[]"), set(constant or ())
-                t, wide[h] = extract_page(page, wide[h], own[h])
-                texts.append(t)
+            texts = [hosts.of(rb, i).main_text(page) for i, page in enumerate(rb.column("html").to_pylist())]
             yield pa.RecordBatch.from_pydict({"page_id": rb.column("page_id"), "url": rb.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return rows.mapInArrow(kernel, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(kernel, "page_id long, url string, text string, n_chars long")
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:

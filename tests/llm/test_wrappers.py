@@ -7,27 +7,55 @@ A = "<html><body><nav><ul><li>x</li><li>y</li></ul></nav><article><h1>T &amp; U<
 B = "<html><body><nav><ul><li>x</li></ul></nav><div class='ad'>buy</div><article><h1>V</h1><p>five</p></article><footer>f</footer></body></html>"
 
 
+def text(page, *others):
+    return wrappers.Host(wrappers.infer([*others, page])).main_text(page)
+
+
 def test_inference_aligns_pages():
     w = wrappers.infer([A, B])
     shape = wrappers._shape(w)
-    assert "+(<li>#</li>)" in shape and "?(<div!>#</div!>)" in shape and "+(<p>#</p>)" in shape
+    assert "+(<li>#</li>)" in shape and "?(<div~>#</div~>)" in shape and "+(<p>#</p>)" in shape
+    assert wrappers.unpack(wrappers.pack(w)) == w
+    host = wrappers.Host(w)
     for p in (A, B):
         assert wrappers.parse(w, wrappers.stream(p)) is not None
     assert wrappers.parse(w, wrappers.stream("<html><body><table><tr><td>1</table>")) is None
-    assert wrappers.extract_page(A, w)[0] == "T & U\none two three\nfour"
-    assert wrappers.extract_page(B, [])[0] == "V\nfive"
+    assert host.main_text(A) == "T & U\none two three\nfour"
+    assert text(B) == "V\nfive"
+
+
+def test_the_text_is_what_the_wrapper_says():
+    """The labels of the wrapper's nodes decide; a page that does not fit widens it for itself alone."""
+    host = wrappers.Host(wrappers.infer([A, B]))
+    odd = "<html><body><nav><ul><li>x</li></ul></nav><article><h1>V</h1><table><tr><td>cell</td></tr></table><p>six</p></article></body></html>"
+    before = [host.main_text(p) for p in (A, B, odd)]
+    assert before[2] == "V\ncell\nsix" and not host.read(odd)[0]
+    assert [host.main_text(p) for p in (odd, odd, B, A)] == [before[2], before[2], before[1], before[0]]
+    host.labels = [0] * len(host.labels)
+    assert host.main_text(A) == host.main_text(B) == ""
+
 
+def test_names_inside_an_article():
+    keep = "<article><div class='share-price'>a</div><div class='menu-of-the-week'>b</div><p class='social'>c</p>%s</article>"
+    for part in ("<div class='ad'>x</div>", "<div id='ad-slot-3'>x</div>", "<section class='post comments-list'>x</section>", "<div class='cookie-notice'>x</div>", "<p class='notice'>x</p>", "<div role='navigation'>x</div>"):
+        assert text(f"<body>{keep % part}</body>") == "a\nb\nc", part
+    # an article that has nothing else is no advert
+    assert text("<body><article><div class='promo'><p>all</p></div></article></body>") == "all"
 
-def test_without_article_constants_drop():
-    pages = [f"<body><section><p>Site name</p></section><div><p>story {i}</p><p>more {i}</p></div></body>" for i in range(4)]
-    w = wrappers.infer(pages)
-    assert wrappers.extract_page(pages[2], w)[0] == "story 2\nmore 2"
+
+def test_deep_and_long_pages():
+    deep = "<body><article>" + "<div>" * 5000 + "one" + "</div>" * 5000 + "<p>two</p></article></body>"
+    deeper = deep.replace("<div>one", "<div><p>three</p>one")
+    host = wrappers.Host(wrappers.infer([deep, deeper]))
+    assert host.main_text(deep) == "one\ntwo" and host.main_text(deeper) == "three\none\ntwo"
+    long = "<body><article>" + "".join(f"<p>word {i}</p>" for i in range(40_000)) + "</article></body>"
+    assert text(long).count("\n") == 39_999
 
 
 def test_parts_that_are_no_main_text():
     p = """<body><article><header>h</header><p>a</p><script>var t="</p>";</script><aside>s</aside><form>q</form><!-- c <p>no</p> -->
     <section class="comments"><p>reader</p></section><div class="notice">n</div><p>b&nbsp;&lt;c&gt; &am</p></article>"""
-    assert wrappers.extract_page(p, [])[0] == "a\nb <c> &am"
+    assert text(p) == "a\nb <c> &am"
 
 
 def test_query_on_pages(spark, sf):
@@ -58,3 +86,14 @@ def test_hosts_without_article(spark):
     want = {0: "alone\ns", 1: "same\ns", 2: "same\ns"} | {10 + i: f"{'often' if i else 'seldom'}\nstory {i}" for i in range(40)}
     for most in (1 << 20, 0):
         assert {r.page_id: r.text for r in wrappers.extract(df, most=most).collect()} == want
+
+
+def test_site_texts_are_those_of_one_node(spark):
+    """A paragraph that equals a text of the site stays: the wrapper tells the two places apart.  File layout changes nothing."""
+    page = lambda i: f"<body><section><p>Site</p></section><div><h2>story {i}</h2><p>{'Site' if i == 3 else f'more {i}'}</p></div></body>"
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(12)] + [(20, "http://h/20", "<body><table><tr><td>Site</td><td>else</td></tr></table></body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"story {i}\n{'Site' if i == 3 else f'more {i}'}" for i in range(12)} | {20: "else"}
+    for d in (df, df.orderBy(df.page_id.desc()).coalesce(1), df.repartition(7)):
+        assert {r.page_id: r.text for r in wrappers.extract(d).collect()} == want
+    assert {r.page_id: r.text for r in wrappers.extract(df, most=0).collect()} == want
