@@ -28,8 +28,9 @@ SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 _MARK = "\ud800"
 _CLASSES: list[np.ndarray] = []
 CHUNK_SYMBOLS = 2048
-#: States kept at most before the transducer is compiled anew (memory: 4 bytes by symbol and state).
+#: States that a transducer holds, and cells (4 bytes) of its table of states by symbols.
 MOST_STATES = 250_000
+MOST_CELLS = 1 << 25
 
 
 def classes() -> np.ndarray:
@@ -53,10 +54,15 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class _Full(Exception):
+    """The states are as many as a worker may hold."""
+
+
 class Transducer:
     """States of the word machine, compiled when reached.  Symbols: byte, byte + 256 for a word's last, 512 special."""
 
     def __init__(self, path: str) -> None:
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -77,6 +83,8 @@ class Transducer:
         self.spell, self.token = spell, {s: i for i, s in spell.items()}
         self.begins = {s[:k] for s in spell.values() for k in range(1, len(s))}  # proper prefixes of tokens
         self.longest = max(map(len, spell.values()))
+        if self.longest >= 64:  # a change of the count is less than the bytes of a token
+            raise ValueError("tokens are too long for the packed transitions")
         self.apart: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.clear()
@@ -134,13 +142,15 @@ class Transducer:
         """Add the transitions that are missing."""
         for s, y in {*zip(state.tolist(), symbol.tolist())}:
             if self.column[y] < 0:
+                if self.n_columns >= self.table.shape[1] and 2 * self.table.size > MOST_CELLS:
+                    raise _Full
                 self.column[y] = self.n_columns
                 self.n_columns += 1
                 if self.n_columns > self.table.shape[1]:
                     self.table = np.concatenate([self.table, np.full_like(self.table, -1)], 1)
             to, delta = self.move(s, y)
-            if not -64 <= delta < 64:
-                raise ValueError("a token is too long for the packed transitions")
+            if len(self.states) > MOST_STATES or len(self.states) > len(self.table) and 2 * self.table.size > MOST_CELLS:
+                raise _Full
             if len(self.states) > len(self.table):
                 self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
             self.table[s, self.column[y]] = to << 7 | delta + 64
@@ -156,7 +166,7 @@ class Transducer:
 
     def run(self, symbols: np.ndarray, size: int = CHUNK_SYMBOLS) -> np.ndarray:
         """The change of the count at each symbol."""
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > MOST_STATES // 2:
             self.clear()
         n = len(symbols)
         out = np.zeros(n, np.int8)
@@ -169,19 +179,23 @@ class Transducer:
         sync = np.where(k < len(resets), resets[np.minimum(k, len(resets) - 1)] if len(resets) else n, n)
         sync[0] = 0
         known = sync <= end
+        # each chunk's head up to its first reset, or the whole chunk: a map of states, known for the states it was run from
+        head = np.minimum(sync, end)
         final = np.full(len(begin), -1, np.int64)
-        at = np.flatnonzero(known)
+        at = np.flatnonzero(sync <= end)
         final[at] = self.lanes(symbols, out, sync[at], end[at], np.zeros(len(at), np.int64))
-        while True:  # the scan: heads start in the state that the chunk before ends in
-            todo = np.flatnonzero((final >= 0)[:-1] & (begin[1:] < np.minimum(sync, end)[1:])) + 1
-            todo = todo[begin[todo] >= 0]
+        inner = np.flatnonzero(sync > end)  # inside a word: run from a guess, as the state seldom depends on what is far back
+        start = np.full(len(begin), -1, np.int64)
+        start[0] = start[inner] = 0
+        final[inner] = self.lanes(symbols, out, begin[inner], end[inner], start[inner])
+        while True:  # the scan: maps compose until each chunk was run from the state that the one before ends in
+            todo = np.flatnonzero((begin < head)[1:] & (start[1:] != final[:-1])) + 1
             if not len(todo):
                 return out
-            stop = np.minimum(sync, end)[todo]
-            got = self.lanes(symbols, out, begin[todo], stop, final[todo - 1])
-            open_ = ~known[todo]
-            final[todo[open_]] = got[open_]
-            begin[todo] = n + 1  # done
+            start[todo] = final[todo - 1]
+            got = self.lanes(symbols, out, begin[todo], head[todo], start[todo])
+            whole = sync[todo] > end[todo]
+            final[todo[whole]] = got[whole]
 
     def lanes(self, symbols, out, a, b, state) -> np.ndarray:
         order = np.argsort(a - b, kind="stable")  # longest first
@@ -241,9 +255,21 @@ class Transducer:
         return out[keep], np.concatenate([[0], total[after[ends - 1]]])
 
     def count(self, texts: list[str]) -> np.ndarray:
+        """Tokens by text; texts that need more states than a worker may hold go on by themselves, at last through the library."""
         symbols, off = self.symbols(texts)
         total = np.zeros(len(symbols) + 1, np.int64)
-        np.cumsum(self.run(symbols), out=total[1:])
+        try:
+            np.cumsum(self.run(symbols), out=total[1:])
+        except _Full:
+            self.clear()
+            if len(texts) > 1:
+                half = len(texts) // 2
+                return np.concatenate([self.count(texts[:half]), self.count(texts[half:])])
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            return np.array([len(self.library.encode(texts[0], add_special_tokens=False).ids)])
         return np.diff(total[off])
 
 

@@ -35,6 +35,21 @@ def test_chunk_states_compose():
         assert (m.run(symbols, size) == want).all()
 
 
+def test_long_unbroken_texts(library, monkeypatch):
+    """Chunks inside a word compose; a text that needs more states than allowed is counted all the same."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (9000, 20_000)] + ["ab" * 30_000 + " a", "z" * 50_000, "words " * 10 + "é" * 7000]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counting.Transducer(tokens.default_tokenizer()).count(texts).tolist() == want
+    monkeypatch.setattr(counting, "MOST_STATES", 500)
+    m = counting.Transducer(tokens.default_tokenizer())
+    assert m.count(texts).tolist() == want and m.library is not None and len(m.states) <= 502
+    monkeypatch.undo()
+    monkeypatch.setattr(counting, "MOST_CELLS", 1 << 18)
+    m = counting.Transducer(tokens.default_tokenizer())
+    assert m.count(texts + TEXTS[3:12]).tolist()[: len(texts)] == want and m.table.size <= 1 << 18
+
+
 def test_ids_match_the_library(library):
     texts = TEXTS + EXTRA
     coder = tokens.Encoder(tokens.default_tokenizer())
