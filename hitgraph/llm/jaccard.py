@@ -423,12 +423,12 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are first of their component (smallest doc_id), all columns; of repeated rows one stays.
 
-    Documents without words stay; so do those without a doc_id.
+    Documents without words stay; so do those without a doc_id, and different texts of one doc_id.
     """
-    first = similar_components(docs, size, percent).where("component_id = doc_id").select(F.col("doc_id").alias("_first")).distinct()
+    first = similar_components(docs, size, percent).where("component_id = doc_id").select(F.col("doc_id").alias("_stays")).distinct()
     first = util.persist(first)
     ids = docs["doc_id"].cast("long")
-    stay = docs.join(first, ids == first["_first"], "left_semi").dropDuplicates(["doc_id"])
+    stay = docs.withColumn("_text_hash", F.xxhash64("text")).join(first, ids == first["_stays"], "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
     return stay.unionByName(docs.where(docs["doc_id"].isNull()))
 
 
