@@ -180,11 +180,15 @@ def _spans(rule: Rule, number: int) -> Column:
     p = rule.pattern.replace("\\", "\\\\").replace("'", "\\'")
     hits = f"regexp_extract_all(text, '{p}', 0)"
     groups = f"regexp_extract_all(text, '{p}', {rule.group})"
-    return F.expr(f"""filter(aggregate(
-        zip_with(slice(split(text, '{p}', -1), 1, size({hits})), arrays_zip({hits} as h, {groups} as g), (a, b) -> struct(char_length(a) as gap, char_length(b.h) as len, char_length(b.g) as need)),
-        struct(0L as at, cast(array() as array<struct<start:bigint,kind_no:int,kind:string,stop:bigint,need:int>>) as found),
-        (acc, x) -> struct(acc.at + x.gap + x.len as at, concat(acc.found, array(struct(acc.at + x.gap as start, {number} as kind_no, '{rule.kind}' as kind, acc.at + x.gap + x.len as stop, x.need as need))) as found)
-      ).found, x -> x.need >= {rule.least})""".replace("arrays_zip(" + hits + " as h, " + groups + " as g)", f"zip_with({hits}, {groups}, (h, g) -> struct(h as h, g as g))"))
+    every = f"""zip_with(slice(split(text, '{p}', -1), 1, size({hits})), zip_with({hits}, {groups}, (h, g) -> struct(h as h, g as g)),
+        (a, b) -> struct(char_length(a) as gap, char_length(b.h) as len, char_length(b.g) as need))"""
+    # sums from the left by parts of 256, then inside each part: linear up to some 10 ** 5 matches, and no text is too long
+    parts = f"transform(sequence(0, greatest(size({every}) - 1, 0) div 256), c -> slice({every}, c * 256 + 1, 256))"
+    placed = """aggregate(PARTS, struct(0L as at, cast(array() as array<struct<at:bigint,xs:array<struct<gap:int,len:int,need:int>>>>) as found),
+        (acc, xs) -> struct(acc.at + aggregate(xs, 0L, (n, x) -> n + x.gap + x.len) as at, concat(acc.found, array(struct(acc.at as at, xs as xs))) as found)).found"""
+    inside = f"""aggregate(p.xs, struct(p.at as at, cast(array() as array<struct<start:bigint,kind_no:int,kind:string,stop:bigint,need:int>>) as found),
+        (acc, x) -> struct(acc.at + x.gap + x.len as at, concat(acc.found, array(struct(acc.at + x.gap as start, {number} as kind_no, '{rule.kind}' as kind, acc.at + x.gap + x.len as stop, x.need as need))) as found)).found"""
+    return F.expr(f"filter(flatten(transform({placed.replace('PARTS', parts)}, p -> {inside})), x -> x.need >= {rule.least})")
 
 
 def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
