@@ -1,58 +1,123 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
-Slots are dealt in periods of PERIOD.  A source with w slots a period releases its k-th block at floor(k*P/w), due
-by ceil((k+1)*P/w); in each slot the released block with the earliest deadline goes.  On one resource that meets all
-deadlines, so after any number of slots a source is less than one block off its share.  The pattern of one period
-repeats, so the k-th block's slot is known from k alone and no global loop over blocks is needed.
+A slot takes a part of a block of one source.  Slots are dealt in frames.  What each source has been dealt by the end of
+a frame is its exact share rounded up or down, in integers, known from the frame's number alone; so frames are scheduled
+apart, on any executor, and no error grows with the length of the schedule.  Inside a frame a source with w of its F
+slots releases its k-th at floor(k*F/w), due by ceil((k+1)*F/w); in each slot the released one with the earliest deadline
+goes.  On one resource that meets all deadlines, so inside a frame a source is less than one slot off the line from one
+end to the other, and each end is less than one and a half off its share.  Sources too light for two slots a frame share
+the slots of one or more groups, which deal them on in frames of their own.  A slot holds so few documents that all of
+this together is less than one block, after any number of slots and for any weights.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import util
 
-#: Slots of a period: weights are rounded to this grid, and the pattern is that long.
-PERIOD = 10_000
+#: Slots of a frame.
+FRAME = 10_000
 #: Documents of one source in a block.
 BLOCK = 16
-#: Sources at most: each has a slot in a period, and their weights come to the driver.
-MOST_SOURCES = 5_000
+#: Sources at most: their weights come to the driver.
+MOST_SOURCES = 100_000
 #: Default targets: each source's share of the documents to this power.
 TEMPERATURE = 0.7
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots a period by largest remainder, one at least for a positive weight; they sum to the period."""
-    names = sorted(k for k, w in weights.items() if w > 0)
-    if not names:
-        return {}
-    if len(names) > period:
-        raise ValueError("more sources than slots in a period")
-    total = sum(Fraction(weights[k]) for k in names)
-    exact = {k: Fraction(weights[k]) / total * period for k in names}
-    got = {k: max(1, int(exact[k])) for k in names}
-    left = period - sum(got.values())
-    order = sorted(names, key=lambda k: (got[k] - exact[k], k))
-    i = 0
-    while left > 0:
-        got[order[i % len(order)]] += 1
-        left -= 1
-        i += 1
-    while left < 0:
-        k = max((k for k in names if got[k] > 1), key=lambda k: (got[k] - exact[k], k))
-        got[k] -= 1
-        left += 1
-    return got
-
-
-def pattern(slots: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, block of the period) for each slot, earliest deadline first."""
+class Plan:
+    """Sources and groups as a tree; every child but a node's last light group has two slots a frame at least."""
+
+    def __init__(self, weights: dict[str, float], frame: int = FRAME) -> None:
+        if frame < 8:
+            raise ValueError("a frame has 8 slots at least")
+        self.frame = frame
+        self.names = sorted(k for k, w in weights.items() if w > 0)
+        exact = [Fraction(weights[k]) for k in self.names]
+        scale = math.lcm(*[x.denominator for x in exact]) if exact else 1
+        self.weight = [int(x * scale) for x in exact]  # by child: sources first, then groups
+        self.children: dict[int, list[int]] = {}
+        self.light: dict[int, int | None] = {}
+        self.level: dict[int, int] = {}
+        self.parent: dict[int, int] = {}
+        self.root = self._group(list(range(len(self.names)))) if self.names else None
+        for node in sorted(self.children, reverse=True):  # a group is numbered after all it holds
+            self.level.setdefault(node, 0)
+            for c in self.children[node]:
+                self.level[c], self.parent[c] = self.level[node] + 1, node
+        self.depth = max(self.level.values(), default=1)
+        self._patterns: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _group(self, items: list[int]) -> int:
+        total = sum(self.weight[i] for i in items)
+        items = sorted(items, key=lambda i: (-self.weight[i], i))
+        own = [i for i in items if self.weight[i] * self.frame >= 2 * total]
+        groups, now, held = [], [], 0
+        for i in items[len(own) :]:
+            now.append(i)
+            held += self.weight[i]
+            if held * self.frame >= 2 * total:
+                groups.append(now)
+                now, held = [], 0
+        made = [g[0] if len(g) == 1 else self._group(g) for g in [*groups, *([now] if now else [])]]
+        self.weight.append(total)
+        node = len(self.weight) - 1
+        self.children[node] = own + made
+        self.light[node] = made[-1] if now else None
+        return node
+
+    def slot_documents(self, block: int) -> int:
+        """Documents of a slot, so that all that a source may be off is less than a block."""
+        off = 2 if self.depth == 1 and self.light.get(self.root) is None else math.ceil(2.5 * self.depth)
+        if off > block:
+            raise ValueError("weights so far apart need larger blocks")
+        return block // off
+
+    def dealt(self, node: int, frames: int) -> list[int]:
+        """How many slots each child has by the end of so many frames."""
+        kids, light = self.children[node], self.light[node]
+        total, slots = self.weight[node], frames * self.frame
+        rest = 0 if light is None else (2 * slots * self.weight[light] + total) // (2 * total)
+        heavy = [c for c in kids if c != light]
+        all_heavy = sum(self.weight[c] for c in heavy)
+        parts = {c: divmod((slots - rest) * self.weight[c], all_heavy) for c in heavy}
+        more = slots - rest - sum(q for q, _ in parts.values())
+        up = set(sorted(heavy, key=lambda c: (-parts[c][1], c))[:more])
+        return [rest if c == light else parts[c][0] + (c in up) for c in kids]
+
+    def frame_slots(self, node: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """(child, which of its slots) for each slot of a frame."""
+        first = self.dealt(node, number)
+        many = tuple(b - a for a, b in zip(first, self.dealt(node, number + 1)))
+        if many not in self._patterns:
+            if len(self._patterns) > 500:
+                self._patterns.clear()
+            order = pattern({k: n for k, n in enumerate(many) if n})
+            self._patterns[many] = tuple(np.array(x, np.int64) for x in zip(*order))
+        which, k = self._patterns[many]
+        return np.array(self.children[node], np.int64)[which], np.array(first, np.int64)[which] + k
+
+    def frames(self, need: dict[int, int]) -> dict[int, int]:
+        """Frames of each node until all have the slots they need; `need` (by source) is filled for the groups."""
+        out = {}
+        for node in sorted(self.children):
+            total = self.weight[node]
+            # at the end of frame j a child is off its share by less than two
+            out[node] = max((-(-(need[c] + 2) * total // (self.weight[c] * self.frame)) for c in self.children[node] if need[c]), default=0)
+            need[node] = out[node] * self.frame
+        return out
+
+
+def pattern(slots: dict) -> list[tuple]:
+    """(source, which of its slots) for each slot of a frame, earliest deadline first."""
     period = sum(slots.values())
     release: list[list[tuple[int, str, int]]] = [[] for _ in range(period)]
     for s, w in slots.items():
@@ -81,19 +146,40 @@ def target_weights(docs: DataFrame, power: float = TEMPERATURE, most: int = MOST
 SCHEMA = "doc_id long, source string, block long, slot long, position long"
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """One row per document: source, its block there, the block's slot, and the place in it (from 0).
+def _deal(spark, plan: Plan, level: int, frames: dict[int, int], need: dict[int, int]) -> DataFrame:
+    """(child, k, node, slot): where the nodes of a level put their children's slots, as far as they are needed."""
+    rows = [(n, j) for n, j in frames.items() if plan.level[n] == level and j]
+    every = spark.createDataFrame(rows, "node long, frames long").select("node", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("frame"))
+
+    def kernel(batches):
+        for rb in batches:
+            for node, j in zip(rb.column("node").to_pylist(), rb.column("frame").to_pylist()):
+                child, k = plan.frame_slots(node, j)
+                use = np.flatnonzero(k < _lookup(need, child))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (child[use], k[use], np.full(len(use), node), j * plan.frame + use)], ["child", "k", "node", "slot"])
+
+    return every.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame").mapInArrow(kernel, "child long, k long, node long, slot long")
+
+
+def _lookup(need: dict[int, int], child: np.ndarray) -> np.ndarray:
+    kinds, at = np.unique(child, return_inverse=True)
+    return np.array([need[c] for c in kinds.tolist()], np.int64)[at]
+
+
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
+    """One row per document: source, its block there, its slot in the whole schedule, and the place in it (from 0).
 
     A source's documents are in order of a hash of doc_id, ties by doc_id; repeated rows are documents of their own;
     a null source counts as ''; a source without a positive weight follows after all (slot null).  When a source runs
     out its slots stay empty, so no document is dropped and the others keep their spacing.
 
     Ranks come from one range shuffle of ids and from counts by part and source (parts + sources rows): no task
-    sees a whole source.
+    sees a whole source.  Frames are scheduled by any task; their table has as many rows as slots hold documents.
     """
     spark = docs.sparkSession
     weights = target_weights(docs) if weights is None else weights
-    slots = shares(weights, period)
+    plan = Plan(weights, frame)
+    util.ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["source"], F.lit("")).alias("source")).withColumn("h", F.xxhash64("doc_id"))
     ranged = keyed.repartitionByRange(parts, "source", "h", "doc_id").sortWithinPartitions("source", "h", "doc_id")
@@ -103,25 +189,32 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     # a row for each part and source in it: parts are in order of source, so at most parts + sources rows
     places = F.broadcast(counted.select("part", "source", (before - F.col("first")).alias("shift")))
     ranked = numbered.join(places, ["part", "source"]).select("doc_id", "source", (F.col("at") + F.col("shift")).alias("rank"))
-    table = [(s, k, t, slots[s]) for t, (s, k) in enumerate(pattern(slots))]  # period rows
-    dealt = F.broadcast(spark.createDataFrame(table, "source string, k long, t long, w long"))
-    each = F.broadcast(spark.createDataFrame([(s, w) for s, w in slots.items()], "source string, every long")) if slots else None
-    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long")).withColumn("position", F.col("rank") % block)
-    if each is None:
-        return ranked.select("doc_id", "source", "block", F.lit(None).cast("long").alias("slot"), "position")
-    ranked = ranked.join(each, "source", "left").withColumn("k", F.expr("mod(block, every)"))
-    out = ranked.join(dealt, ["source", "k"], "left")
-    return out.select("doc_id", "source", "block", (F.floor(F.col("block") / F.col("every")).cast("long") * period + F.col("t")).alias("slot"), "position")
-
-
-def in_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
+    if plan.root is None:
+        return ranked.select("doc_id", "source", "block", F.lit(None).cast("long").alias("slot"), (F.col("rank") % block).alias("position"))
+    size = plan.slot_documents(block)
+    held = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    need = {c: -(-held.get(s, 0) // size) for c, s in enumerate(plan.names)}
+    frames = plan.frames(need)
+    leaves = F.broadcast(spark.createDataFrame(list(zip(plan.names, range(len(plan.names)))), "source string, at long"))  # checked: target_weights, or the caller's dict
+    out = ranked.join(leaves, "source", "left").withColumn("slot", F.floor(F.col("rank") / size).cast("long")).withColumn("position", F.col("rank") % size)
+    for level in range(plan.depth - 1, -1, -1):
+        table = _deal(spark, plan, level, frames, need).select("child", "k", F.col("node").alias("up"), F.col("slot").alias("up_slot"))
+        out = out.join(table, (F.col("at") == F.col("child")) & (F.col("slot") == F.col("k")), "left")
+        out = out.withColumn("slot", F.coalesce("up_slot", "slot")).withColumn("at", F.coalesce("up", "at")).drop("child", "k", "up", "up_slot")
+    return out.select("doc_id", "source", "block", F.when(F.col("at") == plan.root, F.col("slot")).alias("slot"), "position")
+
+
+def in_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
     """All documents, all columns, in the order of the schedule: by slot over parts, sorted within each."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # repeated rows of one doc_id share the first one's slot, so the join keeps each row once
-    slot = schedule(docs, weights, block, period).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min(F.struct(F.coalesce("slot", F.lit(2**62)).alias("s"), F.col("position").alias("p"))).alias("_mix_at"))
+    slot = schedule(docs, weights, block, frame).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min(F.struct(F.coalesce("slot", F.lit(2**62)).alias("s"), F.col("position").alias("p"))).alias("_mix_at"))
     joined = docs.join(slot, docs["doc_id"].eqNullSafe(slot["_mix_id"]), "left")
-    ordered = joined.repartitionByRange(parts, "_mix_at.s", "_mix_at.p").sortWithinPartitions("_mix_at.s", "_mix_at.p")
+    # without a slot all documents tie: a hash spreads them
+    place = ["_mix_at.s", "_mix_at.p", F.xxhash64(slot["_mix_id"])]
+    ordered = joined.repartitionByRange(parts, *place).sortWithinPartitions(*place)
     return ordered.select(*[docs[c] for c in docs.columns])
 
 

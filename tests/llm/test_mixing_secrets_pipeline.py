@@ -1,6 +1,7 @@
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,37 +13,64 @@ from hitgraph.llm import jaccard, mixing, quality, secrets, tokens
 from .fixtures import TEXTS, documents
 
 
-def test_pattern_keeps_every_source_within_a_block():
-    slots = mixing.shares({"a": 5, "b": 3, "c": 1, "d": 0.01, "zero": 0}, 1000)
-    assert sum(slots.values()) == 1000 and slots["d"] >= 1 and "zero" not in slots
+def test_pattern_keeps_every_source_within_a_slot():
+    slots = {"a": 500, "b": 300, "c": 199, "d": 1}
     seen = dict.fromkeys(slots, 0)
     for t, (s, k) in enumerate(mixing.pattern(slots), 1):
         assert k == seen[s]
         seen[s] += 1
         assert all(abs(seen[x] - t * w / 1000) < 1 for x, w in slots.items())
     # equal deadlines go by name
-    assert mixing.pattern(mixing.shares({"x": 2, "y": 1}, 3)) == [("x", 0), ("x", 1), ("y", 0)]
+    assert mixing.pattern({"x": 2, "y": 1}) == [("x", 0), ("x", 1), ("y", 0)]
+
+
+def walk(plan, begin, end):
+    """Slots of the root as sources, each with its number there, by a plain walk down the tree."""
+    for j in range(begin, end):
+        for t, (c, k) in enumerate(zip(*(x.tolist() for x in plan.frame_slots(plan.root, j)))):
+            while c in plan.children:
+                inner, number = plan.frame_slots(c, k // plan.frame)
+                c, k = int(inner[k % plan.frame]), int(number[k % plan.frame])
+            yield j * plan.frame + t, c, k
+
+
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 1.7}, {"a": 1, "b": 1e-9}, {f"s{i}": 1 for i in range(300)}, {f"s{i}": 3.0**-i for i in range(12)}, {"big": 1e6} | {f"s{i}": 1 + i % 7 for i in range(200)}])
+def test_deviation_is_less_than_a_block_after_any_number_of_slots(weights):
+    plan = mixing.Plan(weights, 100)
+    size = plan.slot_documents(mixing.BLOCK)
+    total = sum(plan.weight[: len(plan.names)])
+    for begin in (0, 10**6, 10**14):
+        seen: dict[int, int] = {}
+        for slot, c, k in walk(plan, begin, begin + 25):
+            assert seen.get(c, k) == k
+            seen[c] = k + 1
+            for x in seen:
+                assert abs(seen[x] - Fraction((slot + 1) * plan.weight[x], total)) * size < mixing.BLOCK
 
 
 def test_schedule_matches_brute_force(spark):
-    rows = [(i, "t", "en", ["a", "b", None, "c"][i % 7 % 4], 1) for i in range(400)] + [(5, "t", "en", "b", 1)] * 3 + [(None, "t", "en", "a", 1)]
+    rows = [(i, "t", "en", ["a", "b", None, "c", "d"][i % 7 % 5], 1) for i in range(400)] + [(5, "t", "en", "b", 1)] * 3 + [(None, "t", "en", "a", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot long")
-    weights = {"a": 3.0, "b": 1.0, "": 1.0}
-    got = mixing.schedule(df, weights, block=4, period=10).collect()
-    assert len(got) == len(rows)
-    slots = mixing.shares(weights, 10)
-    order = mixing.pattern(slots)
-    hashed = df.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("doc_id").alias("h")).collect()
-    want = []
-    for s in ("a", "b", "", "c"):
-        for rank, r in enumerate(sorted((r.h, -1 if r.doc_id is None else r.doc_id) for r in hashed if r.source == s)):
-            b = rank // 4
-            slot = None if s not in slots else b // slots[s] * 10 + order.index((s, b % slots[s]))
-            want.append((r[1], s, b, slot, rank % 4))
-    key = lambda t: tuple(map(str, t))
-    assert sorted(((-1 if r.doc_id is None else r.doc_id, r.source, r.block, r.slot, r.position) for r in got), key=key) == sorted(want, key=key)
-    mixed = mixing.in_order(df, weights, 4, 10)
-    assert mixed.columns == df.columns and mixed.count() == len(rows)
+    for weights in ({"a": 3.0, "b": 1.0, "": 1.0, "d": 1.3}, {"a": 40.0, "b": 30.0, "": 0.01, "d": 0.003, "none": 7}):
+        got = mixing.schedule(df, weights, block=12, frame=8).collect()
+        assert len(got) == len(rows)
+        plan = mixing.Plan(weights, 8)
+        size = plan.slot_documents(12)
+        hashed = df.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("doc_id").alias("h")).collect()
+        ranks = {s: sorted((r.h, -1 if r.doc_id is None else r.doc_id) for r in hashed if r.source == s) for s in ("a", "b", "", "c", "d")}
+        left = {(c, k) for c, s in enumerate(plan.names) for k in range(-(-len(ranks.get(s, ())) // size))}
+        slots = {}
+        for slot, c, k in walk(plan, 0, 10**9):
+            if (c, k) in left:
+                left.remove((c, k))
+                slots[plan.names[c], k] = slot
+            if not left:
+                break
+        want = [(r[1], s, i // 12, slots.get((s, i // size)), i % size) for s, x in ranks.items() for i, r in enumerate(x)]
+        key = lambda t: tuple(map(str, t))
+        assert sorted(((-1 if r.doc_id is None else r.doc_id, r.source, r.block, r.slot, r.position) for r in got), key=key) == sorted(want, key=key)
+        mixed = mixing.in_order(df, weights, 12, 8)
+        assert mixed.columns == df.columns and mixed.count() == len(rows)
     assert mixing.schedule(df.limit(0)).count() == 0
 
 
