@@ -29,6 +29,8 @@ FRAME = 10_000
 BLOCK = 16
 #: Sources at most: their weights come to the driver.
 MOST_SOURCES = 100_000
+#: Slots whose table is broadcast at most, 32 bytes each; Spark cannot estimate it.
+MOST_BROADCAST = 20_000
 #: Default targets: each source's share of the documents to this power.
 TEMPERATURE = 0.7
 
@@ -200,6 +202,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     out = ranked.join(leaves, "source", "left").withColumn("slot", F.floor(F.col("rank") / size).cast("long")).withColumn("position", F.col("rank") % size)
     for level in range(plan.depth - 1, -1, -1):
         table = _deal(spark, plan, level, frames, need).select("child", "k", F.col("node").alias("up"), F.col("slot").alias("up_slot"))
+        rows = sum(n for c, n in need.items() if plan.level.get(c) == level + 1)
+        table = F.broadcast(table) if rows <= MOST_BROADCAST else table.hint("merge")
         out = out.join(table, (F.col("at") == F.col("child")) & (F.col("slot") == F.col("k")), "left")
         out = out.withColumn("slot", F.coalesce("up_slot", "slot")).withColumn("at", F.coalesce("up", "at")).drop("child", "k", "up", "up_slot")
     return out.select("doc_id", "source", "block", F.when(F.col("at") == plan.root, F.col("slot")).alias("slot"), "position")

@@ -48,7 +48,9 @@ def test_deviation_is_less_than_a_block_after_any_number_of_slots(weights):
                 assert abs(seen[x] - Fraction((slot + 1) * plan.weight[x], total)) * size < mixing.BLOCK
 
 
-def test_schedule_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_schedule_matches_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
     rows = [(i, "t", "en", ["a", "b", None, "c", "d"][i % 7 % 5], 1) for i in range(400)] + [(5, "t", "en", "b", 1)] * 3 + [(None, "t", "en", "a", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot long")
     for weights in ({"a": 3.0, "b": 1.0, "": 1.0, "d": 1.3}, {"a": 40.0, "b": 30.0, "": 0.01, "d": 0.003, "none": 7}):
