@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
+from . import plotrows, ranks
+from .written import materialize
 
 
 def hash_order(key: Column, seed: int = 0) -> Column:
@@ -14,25 +15,26 @@ def hash_order(key: Column, seed: int = 0) -> Column:
 
 
 def stratified_folds(df: DataFrame, stratum: str, key: str, k: int, seed: int = 0) -> DataFrame:
-    """Adds fold: each stratum is shuffled and dealt round-robin."""
-    w = Window.partitionBy(stratum).orderBy(hash_order(F.col(key), seed), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("long"))
+    """Adds fold: each stratum is shuffled and dealt round-robin; key is unique."""
+    dealt = plotrows.places(df.withColumn("_h", hash_order(F.col(key), seed)), [stratum], ["_h", key])
+    return dealt.withColumn("fold", F.pmod(F.col("ordinal"), F.lit(k)).cast("long")).drop("_h", "ordinal")
 
 
 def roc_curve(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """threshold, tpr, fpr, tp, fp: one point for each score, ties together; raises if a class is empty."""
-    by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    w = Window.orderBy(F.desc("threshold"))
-    every = Window.partitionBy()
-    out = by.select("threshold", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(every).alias("_p"), F.sum("neg").over(every).alias("_n"))
+    """threshold, tp, fp, tpr, fpr and the point before: one point for each score, ties together; raises if a class is empty."""
+    by = df.where(F.col(score).isNotNull()).groupBy(F.lit(0).alias("_g"), F.col(score).alias("threshold")).agg(F.count_if(F.col(truth)).alias("_pos"), F.count_if(~F.col(truth)).alias("_neg"))
+    by = ranks.running(by, ["_g"], "threshold", {"tp": ("sum", "_pos"), "fp": ("sum", "_neg")}, descending=True)
+    out = by.crossJoin(F.broadcast(df.where(F.col(score).isNotNull()).agg(F.count_if(F.col(truth)).alias("_p"), F.count_if(~F.col(truth)).alias("_n"))))  # one row
     ok = F.assert_true((F.col("_p") > 0) & (F.col("_n") > 0), "one class is empty")
-    return out.where(ok.isNull()).select("threshold", "tp", "fp", (F.col("tp") / F.col("_p")).alias("tpr"), (F.col("fp") / F.col("_n")).alias("fpr"))
+    share = lambda x, n: (x / F.col(n)).cast("double")
+    return out.where(ok.isNull()).select(
+        "threshold", "tp", "fp", share(F.col("tp"), "_p").alias("tpr"), share(F.col("fp"), "_n").alias("fpr"), share(F.col("tp") - F.col("_pos"), "_p").alias("tpr0"), share(F.col("fp") - F.col("_neg"), "_n").alias("fpr0")
+    )
 
 
 def auc(curve: DataFrame, max_fpr: float = 1.0, standardise: bool = True) -> DataFrame:
-    """One row: trapezoid area up to max_fpr, the last step interpolated; below 1 optionally standardised."""
-    w = Window.orderBy("fpr", "tpr")
-    seg = curve.select(F.coalesce(F.lag("fpr").over(w), F.lit(0.0)).alias("x0"), F.coalesce(F.lag("tpr").over(w), F.lit(0.0)).alias("y0"), F.col("fpr").alias("x1"), F.col("tpr").alias("y1"))
+    """One row: trapezoid area up to max_fpr, the last step interpolated; below 1 optionally standardised.  curve: of roc_curve."""
+    seg = curve.select(F.col("fpr0").alias("x0"), F.col("tpr0").alias("y0"), F.col("fpr").alias("x1"), F.col("tpr").alias("y1"))
     x = F.least("x1", F.lit(max_fpr))
     y = F.when(F.col("x1") > F.col("x0"), F.col("y0") + (F.col("y1") - F.col("y0")) * F.try_divide(x - F.col("x0"), F.col("x1") - F.col("x0"))).otherwise(F.col("y1"))
     area = F.coalesce(F.sum(F.when(F.col("x0") < max_fpr, (x - F.col("x0")) * (F.col("y0") + y) / 2)), F.lit(0.0))
@@ -47,10 +49,51 @@ def youden_threshold(curve: DataFrame) -> DataFrame:
 
 
 def average_precision(df: DataFrame, score: str, truth: str, tie: str) -> DataFrame:
-    """One row; ties are in order of `tie`."""
-    w = Window.orderBy(F.desc(score), tie)
-    r = df.select(F.col(truth).alias("t"), F.row_number().over(w).alias("i"), F.count_if(F.col(truth)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
-    return r.where("t").agg(F.avg(F.col("tp") / F.col("i")).alias("ap"))
+    """One row; ties are in order of `tie`, which is unique."""
+    one = df.where(F.col(score).isNotNull()).select(F.lit(0).alias("_g"), F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")).alias("_o"), F.lit(1).alias("_one"), F.col(truth).cast("int").alias("_true"))
+    r = ranks.running(one, ["_g"], "_o", {"i": ("sum", "_one"), "tp": ("sum", "_true")})
+    return r.where("_true = 1").agg(F.avg(F.col("tp") / F.col("i")).alias("ap"))
+
+
+def two_class_metrics(df: DataFrame, score: str, truth: str, tie: str) -> DataFrame:
+    """One row: auc1, ap1, threshold1 (of the largest tpr - fpr), n_true, n_false."""
+    curve = materialize(roc_curve(df, score, truth))
+    counts = df.where(F.col(score).isNotNull()).agg(F.count_if(F.col(truth)).alias("n_true"), F.count_if(~F.col(truth)).alias("n_false"))
+    parts = [auc(curve).select(F.col("auc").alias("auc1")), average_precision(df, score, truth, tie).select(F.col("ap").alias("ap1")), youden_threshold(curve).select(F.col("threshold").alias("threshold1")), counts]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out
+
+
+def evaluate(df: DataFrame, fold: str, folds: int, metric) -> DataFrame:
+    """fold and the columns of metric(rows of the fold), a row a fold; folds are few and given."""
+    out = None
+    for k in range(folds):
+        got = metric(df.where(F.col(fold) == k)).select(F.lit(k).cast("long").alias(fold), "*")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def split_once(df: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
+    """Adds train: true for that share of the rows by a hash of an integer key; no shuffle."""
+    return df.withColumn("train", hash_order(F.col(key), seed) < ratio * 4294967296)
+
+
+def split_by_group(df: DataFrame, group: str, ratio: float, seed: int = 0) -> DataFrame:
+    """split_once by an integer group: its rows stay together."""
+    return split_once(df, group, ratio, seed)
+
+
+def leave_k_out(df: DataFrame, key: str, k: int = 1, seed: int = 0) -> DataFrame:
+    """Adds fold: k rows in each (the last may have fewer), in shuffled order; k = 1 leaves one out."""
+    at = plotrows.places(df.withColumn("_h", hash_order(F.col(key), seed)), [], ["_h", key])
+    return at.withColumn("fold", F.floor(F.col("ordinal") / k).cast("long")).drop("_h", "ordinal")
+
+
+def premade_folds(df: DataFrame, folds: DataFrame, key: str) -> DataFrame:
+    """Rows with the fold that a table gives their key; others drop."""
+    return df.join(folds.select(key, F.col("fold").cast("long").alias("fold")), key)
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nulls, stats
 from . import ranks
+from .written import materialize
 
 
 def screen_scores(lineitem: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def screen_scores(lineitem: DataFrame) -> DataFrame:
 
 def rank_p(scores: DataFrame) -> DataFrame:
     """Adds p, the cubed normalised rank within the screen."""
-    r = ranks.with_rank(scores, ["screen"], "score")
+    r = ranks.with_rank(materialize(scores), ["screen"], "score")
     return r.withColumn("p", F.pow(F.col("rank") / F.col("group_size"), 3.0)).select("screen", "gene", "score", "p")
 
 
@@ -34,11 +35,14 @@ def bh_cutoff(ps: DataFrame, q: float) -> DataFrame:
 
 
 def bh_adjust(ps: DataFrame, group: list[str]) -> DataFrame:
-    """Adds padj = running minimum of p*m/rank from the largest p down, within the group, at most 1."""
-    w = Window.partitionBy(*group)
-    last = F.count(F.lit(1)).over(w.orderBy("p").rangeBetween(Window.unboundedPreceding, 0))
-    raw = ps.withColumn("_raw", F.col("p") * F.count(F.lit(1)).over(w) / last)
-    return raw.withColumn("padj", F.least(F.lit(1.0), F.min("_raw").over(w.orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0)))).drop("_raw")
+    """Adds padj = running minimum of p*m/rank from the largest p down, within the group, at most 1; NULL where p is.
+
+    By distinct p: few groups are no few tasks.
+    """
+    r = ranks.ranked(ps, group, "p")
+    r = r.select(*group, "p", (F.col("p") * F.col("group_size") / (F.col("rank_min") + F.col("ties") - 1)).alias("_raw"))
+    low = ranks.running(r, group, "p", {"_low": ("min", "_raw")}, descending=True)
+    return ps.join(low.select(*group, "p", F.least(F.lit(1.0), "_low").alias("padj")), [*group, "p"], "left").select(*[F.col(c) for c in ps.columns], "padj")
 
 
 def outer_min_p(pos: DataFrame, neg: DataFrame, key: str) -> DataFrame:
@@ -65,8 +69,6 @@ def score_direction(df: DataFrame, neg: dict[str, str], pos: dict[str, str], row
 def combined_evidence(lineitem: DataFrame, q: float = 0.05) -> DataFrame:
     """Genes by the number of pathogens in which they are significant."""
     ps = rank_p(screen_scores(lineitem)).withColumn("pathogen", F.expr("screen % 3"))
-    from ..plans.shared import materialize
-
     comb = materialize(fisher_combine(ps, ["pathogen", "gene"]))
     cut = bh_cutoff(comb, q)
     hits = comb.crossJoin(F.broadcast(cut)).groupBy("gene").agg(F.count_if(F.col("p") <= F.col("cutoff")).alias("n_hits"))  # cut is one row

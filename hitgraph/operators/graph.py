@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
+from .written import materialize
 
 
 def canonical_pairs(edges: DataFrame) -> DataFrame:

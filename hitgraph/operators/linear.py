@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
+from .written import materialize
 
 #: Samples of a principal component analysis at most: their Gram matrix is collected.
 MOST_SAMPLES = 1000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
+from .written import materialize
 
 
 def ranked(df: DataFrame, group: list[str], value: str, parts: int | None = None) -> DataFrame:
@@ -32,3 +32,23 @@ def with_rank(df: DataFrame, group: list[str], value: str, how: str = "min") ->
     """df with columns rank and group_size; joined on group and value, so a common value is no hot key but for its rows."""
     r = ranked(df, group, value).select(*group, value, F.col(f"rank_{how}").alias("rank"), "group_size")
     return df.join(r, [*group, value])
+
+
+def running(df: DataFrame, group: list[str], order: str, values: dict[str, tuple[str, str]], descending: bool = False) -> DataFrame:
+    """df with running aggregates over each group in the order of a column that is unique in it, the row itself included.
+
+    values: output -> (sum, min or max, column).  One range shuffle; what came before a part is added from a table of at
+    most parts + groups rows, so no task sees a whole group.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a number marks the part, so that it goes through the written table
+    ordered = materialize(df.repartitionByRange(parts, *group, order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *group).orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy(F.desc("_part") if descending else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}
+    both = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+    totals = ordered.groupBy("_part", *group).agg(*[fold[how](c).alias(f"_all_{o}") for o, (how, c) in values.items()])
+    before = totals.select("_part", *group, *[fold[how](f"_all_{o}").over(earlier).alias(f"_before_{o}") for o, (how, _) in values.items()])
+    out = ordered.join(F.broadcast(before), ["_part", *group])
+    return out.select(*df.columns, *[both[how](fold[how](c).over(inside), F.col(f"_before_{o}")).alias(o) for o, (how, c) in values.items()])

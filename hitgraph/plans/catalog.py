@@ -12,7 +12,7 @@ from ..operators import axes, evalml, evidence, graph, ids, linear, plotdata, ra
 from ..sources import files
 from . import matrices, plots  # noqa: F401  they add their queries
 from .registry import CUT, COMB, NATIONS, ORACLE, PV, QUERIES, SCORES, TABLES, nations, p_values, q6, query, same, table  # noqa: F401
-from .shared import materialize
+from ..operators.written import materialize
 
 
 @query("combined_evidence", f"WITH {CUT}, h AS (SELECT gene, count(*) FILTER (WHERE p <= cutoff) AS n_hits FROM comb, c GROUP BY 1) SELECT n_hits, count(*) AS genes FROM h GROUP BY 1")
@@ -418,13 +418,7 @@ def _(spark, d):
 _D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
 
 
-@query("knn_graph", f"WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id < 50), r AS (SELECT query, vec_id AS neighbour, row_number() OVER (PARTITION BY query ORDER BY {_D2.format(a='v', b='embedding')}, vec_id) AS rank FROM q JOIN embeddings ON vec_id <> query) SELECT query, neighbour, rank FROM r WHERE rank <= 15")
-def _(spark, d):
-    e = table(spark, d, "embeddings")
-    return evalml.knn(e.where("vec_id < 50"), e, "vec_id", "embedding", 15).select("query", "neighbour", "rank")
-
-
-@query("knn_graph_full")
+@query("knn_graph", f"WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), r AS (SELECT query, vec_id AS neighbour, row_number() OVER (PARTITION BY query ORDER BY {_D2.format(a='v', b='embedding')}, vec_id) AS rank FROM q JOIN embeddings ON vec_id <> query) SELECT query, neighbour, rank FROM r WHERE rank <= 15")
 def _(spark, d):
     e = table(spark, d, "embeddings")
     return evalml.knn_blocks(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 15).select("query", "neighbour", "rank")

@@ -28,7 +28,7 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 def gmt(lines: DataFrame, column: str = "value") -> DataFrame:
     """(set, member) pairs: the first field names the set, the second is skipped."""
     f = F.split(F.col(column), "\t")
-    return lines.select(f[0].alias("set"), F.explode(F.slice(f, 3, 1_000_000)).alias("member")).where(F.length("member") > 0)
+    return lines.select(f[0].alias("set"), F.explode(F.slice(f, F.lit(3), F.greatest(F.size(f) - 2, F.lit(0)))).alias("member")).where(F.length("member") > 0)
 
 
 def read_gmt(spark: SparkSession, path: str) -> DataFrame:

@@ -103,8 +103,8 @@ def _vectors(spark, sf):
 def test_queries_meet_all_other_rows(spark, sf):
     v = _vectors(spark, sf)
     want = {(a, b) for a in v if a % 50 == 0 for b in v if a != b}
-    d2 = catalog.QUERIES["sq_euclid_full"](spark, sf).collect()
-    cos = catalog.QUERIES["cosine_full"](spark, sf).collect()
+    d2 = catalog.QUERIES["sq_euclid"](spark, sf).collect()
+    cos = catalog.QUERIES["cosine"](spark, sf).collect()
     assert len(d2) == len(cos) == len(want) and {(r.a, r.b) for r in d2} == {(r.a, r.b) for r in cos} == want
     assert all(np.isclose(r.d2, ((v[r.a] - v[r.b]) ** 2).sum(), atol=2e-6) for r in d2)
     assert all(np.isclose(r.cosine, v[r.a] @ v[r.b] / (np.linalg.norm(v[r.a]) * np.linalg.norm(v[r.b])), atol=2e-6) for r in cos)
@@ -113,9 +113,9 @@ def test_queries_meet_all_other_rows(spark, sf):
 def test_neighbours_of_all_stated_queries(spark, sf):
     v = _vectors(spark, sf)
     near = {q: sorted((b for b in v if b != q), key=lambda b: (((v[q] - v[b]) ** 2).sum(), b)) for q in v if q % 50 == 0}
-    got = {(r.query, r["rank"]): r.neighbour for r in catalog.QUERIES["knn_graph_full"](spark, sf).collect()}
+    got = {(r.query, r["rank"]): r.neighbour for r in catalog.QUERIES["knn_graph"](spark, sf).collect()}
     assert got == {(q, i + 1): b for q, o in near.items() for i, b in enumerate(o[:15])}
-    ends = {(r.u, r["rank"]): r.v for r in catalog.QUERIES["segment_endpoints_full"](spark, sf).collect()}
+    ends = {(r.u, r["rank"]): r.v for r in catalog.QUERIES["segment_endpoints"](spark, sf).collect()}
     assert ends == {(q, i + 1): b for q, o in near.items() for i, b in enumerate(o[:5])}
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     blocks = evalml.knn_blocks(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 15, most=8)
