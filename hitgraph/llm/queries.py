@@ -17,4 +17,4 @@ QUERIES = {
     "op10_token_counts": counting.op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {"op6_secret_scan": secrets.SQL}
+ORACLE: dict[str, str] = {"op4_repeated_strings": repeats.SQL, "op6_secret_scan": secrets.SQL, "op9_jaccard_join": jaccard.SQL}

@@ -294,5 +294,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return texts.join(spans, texts["row"] == spans["run_row"], "left").select("doc_id", "row", "text", "runs").mapInArrow(kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+#: The same for DuckDB: every window by itself.
+SQL = """WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+ p AS (SELECT doc_id, h, n, unnest(range(0, n, 1000)) AS q FROM t WHERE n >= 200), z AS (SELECT doc_id, q, n, substr(h, 2 * q + 1, 2400) AS x FROM p),
+ w AS (SELECT doc_id, q + j AS i, md5(substr(x, 2 * j + 1, 400)) AS m FROM (SELECT doc_id, q, n, x, unnest(range(0, 1000)) AS j FROM z) WHERE q + j <= n - 200),
+ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS c FROM w) WHERE c > 1),
+ g AS (SELECT doc_id, i, sum(CASE WHEN i - b <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM r)),
+ s AS (SELECT doc_id, g, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY 1, 2),
+ k AS (SELECT s.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0))) AS x FROM s JOIN t ON t.doc_id = s.doc_id),
+ o AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(x, '' ORDER BY a) AS x, max(b) AS last FROM k GROUP BY 1)
+ SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM t LEFT JOIN o ON o.doc_id = t.doc_id"""
+
+
 def op4_repeated_strings(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
