@@ -116,8 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: fl
 
     schema = "doc_id long, quality double, " + ", ".join(f"f{j} double" for j in range(len(FEATURES)))
     # the sample is bounded by fit_rows, so this side is safe to broadcast
-    pdf = util.need(docs, "doc_id", "text").join(F.broadcast(small), "doc_id").mapInArrow(kernel, schema).toPandas()
-    pdf = pdf.sort_values(list(pdf.columns)).drop_duplicates("doc_id").reset_index(drop=True)
+    rows = util.need(docs, "doc_id", "text").join(F.broadcast(small), "doc_id").mapInArrow(kernel, schema)
+    # of one doc_id's rows one reaches the driver
+    each = rows.groupBy("doc_id").agg(F.min(F.struct("quality", *[f"f{j}" for j in range(len(FEATURES))])).alias("r")).select("doc_id", "r.*")
+    pdf = each.toPandas().sort_values("doc_id").reset_index(drop=True)
     x, y = pdf[[f"f{j}" for j in range(len(FEATURES))]].to_numpy(float), pdf["quality"].to_numpy(float)
     signs = np.array([s for _, s in FEATURES])
     held = np.arange(len(x)) % 5 == 4
