@@ -13,6 +13,7 @@ Only windows that hold at least one shingle of the benchmark are fingerprinted:
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -191,6 +192,17 @@ def _passes(benchmark: DataFrame, a_pass: int) -> list[tuple[list[int], list[str
     return out
 
 
+_BUILT: dict[str, Items] = {}
+
+
+def _items(name: str, ids: list[int], texts: list[str]) -> Items:
+    """The items of a pass, built once by each Python worker."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Items(ids, texts)
+    return _BUILT[name]
+
+
 SCHEMA = "doc_id long, item_id long, first_word long, similarity double"
 
 
@@ -204,8 +216,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, a
     out = docs.sparkSession.createDataFrame([], SCHEMA)
     for ids, texts in _passes(benchmark, a_pass):
 
-        def kernel(batches, ids=ids, texts=texts):
-            items = Items(ids, texts)
+        def kernel(batches, ids=ids, texts=texts, name=uuid.uuid4().hex):
+            items = _items(name, ids, texts)
             for rb in util.slices(batches, "text"):
                 h, off = words_of(rb.column("text"))
                 got = leaks_of(items, h, off, threshold)
@@ -221,8 +233,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     util.ship(docs.sparkSession)
     for ids, texts in _passes(benchmark, a_pass):
 
-        def kernel(batches, ids=ids, texts=texts):
-            items = Items(ids, texts)
+        def kernel(batches, ids=ids, texts=texts, name=uuid.uuid4().hex):
+            items = _items(name, ids, texts)
             for rb in util.slices(batches, "text"):
                 h, off = words_of(rb.column("text"))
                 clean = np.ones(rb.num_rows, bool)
