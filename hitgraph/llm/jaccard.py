@@ -28,7 +28,7 @@ PERCENT = 90
 FREQUENT = 100_000
 _FLUSH = 500_000
 #: Bytes of the bitmap that list entries carry.
-SMALL = 32
+SMALL = 64
 _BROADCAST_IDS = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
