@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nulls, stats
-from . import ranks
+from . import ranks, tables
 from .written import materialize
 
 
@@ -22,6 +22,32 @@ def rank_p(scores: DataFrame) -> DataFrame:
     return r.withColumn("p", F.pow(F.col("rank") / F.col("group_size"), 3.0)).select("screen", "gene", "score", "p")
 
 
+def hit_classes(ps: DataFrame, receptors: list[int], labels: int = 10) -> DataFrame:
+    """screen, gene, hit and, for each screen's first genes by score, a label; later rules win over earlier ones."""
+    hit = tables.ordered_recode([(F.col("p") > 0.99, F.lit("depleted")), (F.col("p") < 0.01, F.lit("enriched")), (F.col("gene").isin(receptors), F.lit("receptor"))], F.lit("no"))
+    first = ranks.numbered(ps, ["screen"], ["score", "gene", "p"])
+    return first.select("screen", "gene", hit.alias("hit"), F.when(F.col("i") <= labels, F.col("gene").cast("string")).otherwise("").alias("label"))
+
+
+def guide_qc(counts: DataFrame, group: str, value: str) -> DataFrame:
+    """group, total, pct_zero, med, mad, top, gini (of log2(count + 1)) of whole counts, from each group's distinct values.
+
+    Groups are few and large: ranks come from range shuffles, so that no task sorts a whole group.
+    """
+    by = materialize(ranks.ranked(counts.select(group, value), [group], value))
+    n, lv = F.col("group_size"), F.log2(F.col(value) + 1)
+    plain = by.groupBy(group).agg(
+        F.sum(F.col(value) * F.col("ties")).cast("long").alias("total"),
+        (100.0 * F.sum(F.when(F.col(value) == 0, F.col("ties")).otherwise(0)) / F.max(n)).alias("pct_zero"),
+        F.max(value).alias("top"),
+        (F.sum((2 * F.col("rank_avg") - n - 1) * lv * F.col("ties")) / (F.max(n) * F.sum(lv * F.col("ties")))).alias("gini"),
+    )
+    med = ranks.medians(by, [group], value).withColumnRenamed("median", "med")
+    off = counts.join(F.broadcast(med), group).select(group, F.abs(F.col(value) - F.col("med")).alias("off"))  # one row a group
+    mad = ranks.medians(ranks.ranked(off, [group], "off"), [group], "off").select(group, (1.4826 * F.col("median")).alias("mad"))
+    return plain.join(med, group).join(mad, group)
+
+
 def fisher_combine(ps: DataFrame, by: list[Column | str]) -> DataFrame:
     return ps.groupBy(*by).agg(stats.fisher(F.col("p")).alias("p"), F.count("p").alias("k"))
 

@@ -9,7 +9,7 @@ from .written import materialize
 
 
 def ranked(df: DataFrame, group: list[str], value: str, parts: int | None = None) -> DataFrame:
-    """group, value, ties, rank_min, rank_avg, group_size for each distinct value of each group, ascending.
+    """group, value, ties, rank_min, rank_avg, rank_max, group_size for each distinct value of each group, ascending.
 
     Counts are pre-aggregated and ordered by one range shuffle; running sums stay inside a part, and what came before
     a part is added from a table of at most parts + groups rows.  Groups as large as the input are no hot spot.
@@ -25,7 +25,7 @@ def ranked(df: DataFrame, group: list[str], value: str, parts: int | None = None
     before = totals.select("_part", *group, F.coalesce(F.sum("_n").over(by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(by_group).alias("group_size"))
     upto = F.sum("ties").over(inside) + F.col("_before")
     out = ordered.join(F.broadcast(before), ["_part", *group]).withColumn("_upto", upto)
-    return out.select(*group, value, "ties", (F.col("_upto") - F.col("ties") + 1).alias("rank_min"), (F.col("_upto") - (F.col("ties") - 1) / 2).alias("rank_avg"), "group_size")
+    return out.select(*group, value, "ties", (F.col("_upto") - F.col("ties") + 1).alias("rank_min"), (F.col("_upto") - (F.col("ties") - 1) / 2).alias("rank_avg"), F.col("_upto").alias("rank_max"), "group_size")
 
 
 def with_rank(df: DataFrame, group: list[str], value: str, how: str = "min") -> DataFrame:
@@ -34,6 +34,21 @@ def with_rank(df: DataFrame, group: list[str], value: str, how: str = "min") ->
     return df.join(r, [*group, value])
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """(group, order, i): rows numbered from 1 by group in the order of columns, equal rows one after the other.
+
+    The columns given are all that is kept, so equal rows are alike and nothing is joined back.
+    """
+    r = ranked(df.select(*group, F.struct(*order).alias("_o")), group, "_o")
+    return r.select(*group, "_o.*", F.explode(F.sequence("rank_min", "rank_max")).alias("i"))
+
+
+def medians(r: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, median) of a table that `ranked` gave; the two middle values' mean where rows are even in number."""
+    at = lambda place: F.min(F.when(F.col("rank_max") >= place, F.col(value)))
+    return r.groupBy(*group).agg(((at(F.floor((F.col("group_size") + 1) / 2)) + at(F.floor(F.col("group_size") / 2) + 1)) / 2).alias("median"))
+
+
 def running(df: DataFrame, group: list[str], order: str, values: dict[str, tuple[str, str]], descending: bool = False) -> DataFrame:
     """df with running aggregates over each group in the order of a column that is unique in it, the row itself included.
 

@@ -78,7 +78,13 @@ def _(spark, d):
 # projections and derivations
 same("unpivot_directions", "SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT p_partkey, 'price' AS what, p_retailprice AS v FROM part")
 same("label_derivation", "SELECT c_custkey, concat('C-', substr(c_name, 10), '/', lower(c_mktsegment)) AS label, replace(c_mktsegment, 'A', '_') AS recoded FROM customer")
-same("hit_class_labels", f"WITH {PV} SELECT screen, gene, CASE WHEN gene IN (1, 2, 3, 4) THEN 'receptor' WHEN p < 1e-2 THEN 'enriched' WHEN p > 99e-2 THEN 'depleted' ELSE 'no' END AS hit, CASE WHEN row_number() OVER (PARTITION BY screen ORDER BY score, gene) <= 10 THEN CAST(gene AS VARCHAR(20)) ELSE '' END AS label FROM pv")
+
+
+@query("hit_class_labels", f"WITH {PV} SELECT screen, gene, CASE WHEN gene IN (1, 2, 3, 4) THEN 'receptor' WHEN p < 1e-2 THEN 'enriched' WHEN p > 99e-2 THEN 'depleted' ELSE 'no' END AS hit, CASE WHEN row_number() OVER (PARTITION BY screen ORDER BY score, gene) <= 10 THEN CAST(gene AS VARCHAR(20)) ELSE '' END AS label FROM pv")
+def _(spark, d):
+    return evidence.hit_classes(p_values(spark, d), [1, 2, 3, 4])
+
+
 same("neglog_zero_floor", f"WITH m AS (SELECT min(l_discount) AS low FROM lineitem WHERE l_discount > 0) SELECT l_orderkey, l_linenumber, {q6('-log10(CASE WHEN l_discount = 0 THEN low ELSE l_discount END)')} AS y FROM lineitem CROSS JOIN m")
 same("binary_target", "SELECT o_orderkey, CAST(CASE WHEN o_totalprice < 100000 THEN 1 ELSE 0 END AS DOUBLE) AS target FROM orders")
 same("log_odds", f"SELECT o_orderkey, {q6('log10((o_totalprice / 1e6) / (1 - o_totalprice / 1e6))')} AS odds FROM orders WHERE o_totalprice > 0 AND o_totalprice < 1000000")
@@ -178,11 +184,26 @@ same("geo_mean_folds", f"WITH {PV} SELECT gene, {q6('exp(avg(ln(p)))')} AS g FRO
 same("column_bounds", "SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_extendedprice) AS e0, max(l_extendedprice) AS e1 FROM lineitem")
 same("column_moments", f"SELECT l_returnflag, {q6('avg(l_quantity)')} AS m, {q6('var_samp(l_quantity)')} AS v, {q6('stddev_samp(l_quantity)')} AS s FROM lineitem GROUP BY 1")
 same("stacked_bar", "WITH a AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_linenumber, l_returnflag, CAST(sum(n) OVER (PARTITION BY l_linenumber ORDER BY l_returnflag) AS BIGINT) AS top FROM a")
-same("ecdf", f"SELECT o_orderkey, {q6('cume_dist() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice)')} AS f FROM orders")
+
+
+@query("ecdf", f"SELECT o_orderkey, {q6('cume_dist() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice)')} AS f FROM orders")
+def _(spark, d):
+    r = ranks.with_rank(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", "max")
+    return r.select("o_orderkey", nulls.q6(F.col("rank") / F.col("group_size")).alias("f"))
+
+
 same("normalise_sum_one", f"WITH a AS (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) SELECT l_partkey, {q6('q * 1e0 / sum(q) OVER ()')} AS w FROM a", f"WITH a AS (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1), t AS (SELECT sum(q) AS total FROM a) SELECT l_partkey, {q6('q * 1e0 / total')} AS w FROM a CROSS JOIN t")
-same("guide_qc", f"""WITH x AS (SELECT event_type, floor(value * 100 + 0.5e0) AS v, log2(floor(value * 100 + 0.5e0) + 1) AS lv FROM events WHERE value IS NOT NULL), m AS (SELECT event_type, median(v) AS med FROM x GROUP BY 1),
+
+
+@query("guide_qc", f"""WITH x AS (SELECT event_type, floor(value * 100 + 0.5e0) AS v, log2(floor(value * 100 + 0.5e0) + 1) AS lv FROM events WHERE value IS NOT NULL), m AS (SELECT event_type, median(v) AS med FROM x GROUP BY 1),
  r AS (SELECT event_type, lv, row_number() OVER (PARTITION BY event_type ORDER BY lv) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM x), g AS (SELECT event_type, sum((2 * i - n - 1) * lv) / (max(n) * sum(lv)) AS gini FROM r GROUP BY 1)
  SELECT x.event_type, CAST(sum(v) AS BIGINT) AS total, {q6('100e0 * count(CASE WHEN v = 0 THEN 1 END) / count(*)')} AS pct_zero, {q6('max(med)')} AS med, {q6('1.4826e0 * median(abs(v - med))')} AS mad, max(v) AS top, {q6('max(gini)')} AS gini FROM x JOIN m ON m.event_type = x.event_type JOIN g ON g.event_type = x.event_type GROUP BY 1""")
+def _(spark, d):
+    x = table(spark, d, "events").where("value is not null").select("event_type", F.floor(F.col("value") * 100 + 0.5).alias("v"))
+    got = evidence.guide_qc(x, "event_type", "v")
+    return got.select("event_type", "total", *[nulls.q6(F.col(c)).alias(c) for c in ("pct_zero", "med", "mad")], "top", nulls.q6(F.col("gini")).alias("gini"))
+
+
 same("hist_bounds", "SELECT CAST(least(floor(l_quantity / 5), 9) AS BIGINT) AS bin, count(*) AS n, least(floor(l_quantity / 5), 9) * 5e0 AS lower_ FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1, 3")
 
 
@@ -233,8 +254,20 @@ def _(spark, d):
 
 
 # windows, sorts, sets
-same("first_rank", f"WITH {SCORES} SELECT screen, gene, row_number() OVER (PARTITION BY screen ORDER BY score, gene) AS r FROM s")
-same("random_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY (o_orderkey * 2654435761) % 4294967296, o_orderkey) AS r FROM orders")
+
+
+@query("first_rank", f"WITH {SCORES} SELECT screen, gene, row_number() OVER (PARTITION BY screen ORDER BY score, gene) AS r FROM s")
+def _(spark, d):
+    s = ranks.numbered(evidence.screen_scores(table(spark, d, "lineitem")), ["screen"], ["score", "gene"])
+    return s.select("screen", "gene", F.col("i").alias("r"))
+
+
+@query("random_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY (o_orderkey * 2654435761) % 4294967296, o_orderkey) AS r FROM orders")
+def _(spark, d):
+    o = table(spark, d, "orders").withColumn("h", evalml.hash_order(F.col("o_orderkey")))
+    return ranks.numbered(o, ["o_orderpriority"], ["h", "o_orderkey"]).select("o_orderkey", F.col("i").alias("r"))
+
+
 same("zscore", f"WITH m AS (SELECT avg(c_acctbal) AS a, stddev_samp(c_acctbal) AS s FROM customer) SELECT c_custkey, {q6('(c_acctbal - a) / s')} AS z FROM customer CROSS JOIN m")
 same("clamp_max_below_one", f"WITH {PV}, m AS (SELECT max(CASE WHEN p < 1 THEN p END) AS top FROM pv) SELECT screen, gene, {q6('CASE WHEN p = 1 THEN top ELSE p END')} AS p FROM pv CROSS JOIN m")
 same("running_cdf", "WITH a AS (SELECT l_quantity AS q, count(*) AS n FROM lineitem GROUP BY 1) SELECT q, CAST(sum(n) OVER (ORDER BY q) AS BIGINT) AS upto FROM a")

@@ -76,7 +76,12 @@ def _(spark, d):
 
 same("binarise_weight", "WITH e AS (SELECT l_partkey AS a, l_suppkey AS b, sum(l_discount) AS w FROM lineitem GROUP BY 1, 2) SELECT a, b, CASE WHEN w > 0 THEN 1 ELSE 0 END AS w FROM e")
 same("round_display", "SELECT p_partkey, floor(p_retailprice * 10 + 0.5e0) / 10 AS price FROM part")
-same("random_index", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_linenumber ORDER BY ((l_orderkey * 8 + l_linenumber) * 2654435761) % 4294967296, l_orderkey, l_partkey) AS i, l_partkey FROM lineitem")
+
+
+@query("random_index", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_linenumber ORDER BY ((l_orderkey * 8 + l_linenumber) * 2654435761) % 4294967296, l_orderkey, l_partkey) AS i, l_partkey FROM lineitem")
+def _(spark, d):
+    k = table(spark, d, "lineitem").withColumn("h", evalml.hash_order(F.col("l_orderkey") * 8 + F.col("l_linenumber")))
+    return ranks.numbered(k, ["l_linenumber"], ["h", "l_orderkey", "l_partkey"]).select("l_orderkey", "l_linenumber", "i", "l_partkey")
 
 
 @query("sort_value_key", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS ordinal FROM orders")

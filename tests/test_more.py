@@ -100,3 +100,22 @@ def test_records(spark, tmp_path):
 def test_leading_edge_and_recurrence(spark):
     hits = spark.createDataFrame([("x", 1, 5.0, 10), ("x", 2, 4.0, 10), ("x", 9, 1.0, 10), ("y", 8, 1.0, 10), ("y", 10, 1.0, 10)], "set string, pos long, stat double, n long")
     assert sorted((r.set, r.pos) for r in similarity.leading_edge(hits, ["set"]).collect()) == [("x", 1), ("x", 2), ("y", 8), ("y", 10)]
+
+
+def test_numbered_and_medians(spark):
+    df = spark.createDataFrame([("a", 2, 1), ("a", 2, 1), ("a", 1, 9), ("b", 5, 5), ("b", 7, 7), ("b", 7, 8)], "g string, v int, k int")
+    got = sorted((r.g, r.i, r.v, r.k) for r in ranks.numbered(df, ["g"], ["v", "k"]).collect())
+    assert got == [("a", 1, 1, 9), ("a", 2, 2, 1), ("a", 3, 2, 1), ("b", 1, 5, 5), ("b", 2, 7, 7), ("b", 3, 7, 8)]
+    some = spark.createDataFrame([("even", x) for x in (1, 2, 4, 100)] + [("odd", x) for x in (3, 3, 9)] + [("hot", 5)] * 1000 + [("hot", 6)] * 1000, "g string, v int")
+    assert {r.g: r["median"] for r in ranks.medians(ranks.ranked(some, ["g"], "v"), ["g"], "v").collect()} == {"even": 3.0, "odd": 3.0, "hot": 5.5}
+
+
+def test_guide_qc(spark):
+    v = {"x": [0, 0, 3, 8, 8, 1000], "y": [1, 2, 2]}
+    df = spark.createDataFrame([(g, x) for g, xs in v.items() for x in xs], "g string, v long")
+    for r in evidence.guide_qc(df, "g", "v").collect():
+        x = np.array(v[r.g])
+        lv = np.sort(np.log2(x + 1))
+        gini = ((2 * np.arange(1, len(x) + 1) - len(x) - 1) * lv).sum() / (len(x) * lv.sum())
+        want = (x.sum(), 100 * (x == 0).mean(), np.median(x), 1.4826 * np.median(np.abs(x - np.median(x))), x.max(), gini)
+        assert (r.total, r.pct_zero, r.med, r.mad, r.top, r.gini) == pytest.approx(want)
