@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counting, decontaminate, jaccard, licences, mixing, quality, repeats, secrets, tokens, wrappers
+from . import counting, decontaminate, jaccard, licences, mixing, pivots, quality, repeats, secrets, tokens, wrappers
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_token_counts": counting.op10_token_counts,
+    "op11_embedding_neardup": pivots.op11_embedding_neardup,
 }
 
-ORACLE: dict[str, str] = {"op4_repeated_strings": repeats.SQL, "op6_secret_scan": secrets.SQL, "op9_jaccard_join": jaccard.SQL}
+ORACLE: dict[str, str] = {"op4_repeated_strings": repeats.SQL, "op6_secret_scan": secrets.SQL, "op9_jaccard_join": jaccard.SQL, "op11_embedding_neardup": pivots.SQL}

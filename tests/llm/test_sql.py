@@ -10,7 +10,8 @@ from hitgraph.llm import queries
 def test_query(spark, sf, name):
     got = queries.QUERIES[name](spark, sf).toPandas()
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings", "benchmark"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = c.execute(queries.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda d: sorted(d[sorted(d.columns)].itertuples(index=False, name=None))
