@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counting, decontaminate, jaccard, licences, mixing, pivots, quality, repeats, secrets, tokens, wrappers
+from . import counting, decontaminate, jaccard, licences, mixing, negatives, pivots, quality, repeats, resampling, secrets, tokens, wrappers
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -16,6 +16,15 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_token_counts": counting.op10_token_counts,
     "op11_embedding_neardup": pivots.op11_embedding_neardup,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
-ORACLE: dict[str, str] = {"op4_repeated_strings": repeats.SQL, "op6_secret_scan": secrets.SQL, "op9_jaccard_join": jaccard.SQL, "op11_embedding_neardup": pivots.SQL}
+ORACLE: dict[str, str] = {
+    "op4_repeated_strings": repeats.SQL,
+    "op6_secret_scan": secrets.SQL,
+    "op9_jaccard_join": jaccard.SQL,
+    "op11_embedding_neardup": pivots.SQL,
+    "op12_importance_resampling": resampling.SQL,
+    "op13_hard_negatives": negatives.SQL,
+}
