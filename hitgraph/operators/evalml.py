@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import nulls
 from . import plotrows, ranks
 from .written import materialize
 
 
 def hash_order(key: Column, seed: int = 0) -> Column:
-    """A reproducible shuffle key that any SQL engine computes."""
-    return F.pmod((key.cast("long") + seed) * F.lit(2654435761), F.lit(4294967296))
+    """A reproducible shuffle key that any SQL engine computes: (key + seed) * 2654435761 modulo 2^32, for keys of any size."""
+    k = F.pmod(F.pmod(key.cast("long"), F.lit(4294967296)) + seed, F.lit(4294967296))
+    high, low = F.shiftright(k, 16), k.bitwiseAND(F.lit(65535))  # by halves, as the product leaves 64 bits
+    return F.pmod(F.pmod(high * F.lit(2654435761), F.lit(65536)) * 65536 + low * F.lit(2654435761), F.lit(4294967296))
 
 
 def stratified_folds(df: DataFrame, stratum: str, key: str, k: int, seed: int = 0) -> DataFrame:
@@ -158,6 +161,6 @@ def forest_cv(df: DataFrame, key: str, vector: str, target: str, folds: int = 3,
     model = RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(max(1, int((width + 1) ** 0.5))), seed=seed, probabilityCol="chance")
     scored = None
     for k in range(folds):
-        got = model.fit(rows.where(F.col("fold") != k)).transform(rows).select(key, F.ln(vector_to_array("chance")[1]).alias("l"))
+        got = model.fit(rows.where(F.col("fold") != k)).transform(rows).select(key, nulls.safe_ln(vector_to_array("chance")[1]).alias("l"))
         scored = got if scored is None else scored.unionByName(got)
     return scored.groupBy(key).agg(F.exp(F.avg("l")).alias("p"))

@@ -105,12 +105,22 @@ def _few_rows(cells: DataFrame, names: list, k: int) -> DataFrame:
     return cells.sparkSession.createDataFrame(rows, f"id {cells.schema['i'].dataType.simpleString()}, component long, value double, sigma double")
 
 
-def svd_rows(cells: DataFrame, k: int = 10, extra: int = 6, rounds: int = 8) -> DataFrame:
+def _residuals(back: DataFrame, right: DataFrame, turn: np.ndarray, sigma: np.ndarray, k: int) -> np.ndarray:
+    """Lengths of A'u - sigma v for the first k approximate triples: back has A'u, right times turn has v."""
+    v = _times(right, turn[:, :k]).select("id", *[F.col(c).alias(f"v_{c}") for c in _columns(k)])
+    met = back.select("id", *_columns(k)).join(v, "id", "full").na.fill(0.0)
+    gap = lambda c: F.col(f"c{c}") - float(sigma[c]) * F.col(f"v_c{c}")
+    row = met.agg(*[F.coalesce(F.sum(gap(c) * gap(c)), F.lit(0.0)).alias(f"r{c}") for c in range(k)]).first()
+    return np.sqrt([row[f"r{c}"] for c in range(k)])
+
+
+def svd_rows(cells: DataFrame, k: int = 10, extra: int = 6, most: int = 60, eps: float = 1e-9) -> DataFrame:
     """(id, component, value, sigma): rows of U * sqrt(sigma) of the k largest singular values, by subspace iteration.
 
-    Each round is two joins of the cells with a thin matrix; the driver sees (k + extra)^2 numbers.  The start comes from
-    a hash of the ids, so results repeat.  A component's sign makes its largest entry positive.  Up to MOST_SAMPLES rows
-    give their products in one step instead.
+    Each round is two joins of the cells with a thin matrix; the driver sees (k + extra)^2 numbers.  Rounds end when
+    A'u differs from sigma v by eps * (the largest sigma) at most for each of the k triples; raises after `most`.  The
+    start comes from a hash of the ids, so results repeat.  A component's sign makes its largest entry positive.  Up to
+    MOST_SAMPLES rows give their products in one step instead, with equal results.
     """
     k0, wide = k, k + extra
     cells = materialize(cells.where("v <> 0").select("i", "j", F.col("v").cast("double").alias("v")))
@@ -120,12 +130,20 @@ def svd_rows(cells: DataFrame, k: int = 10, extra: int = 6, rounds: int = 8) ->
     ids = cells.select(F.col("j").alias("id")).distinct()
     start = [(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(2_000_003)) / 1_000_001.0 - 1.0).alias(f"c{c}") for c in range(wide)]
     right = _orthogonal(ids.select("id", *start), wide)
-    for _ in range(rounds):
-        left = _orthogonal(_apply(cells, right, wide, "j", "i"), wide)
-        right = _orthogonal(_apply(cells, left, wide, "i", "j"), wide)
-    image = materialize(_apply(cells, right, wide, "j", "i"))
-    value, vector = np.linalg.eigh(_thin_gram(image, wide))
-    value, vector = np.maximum(value[::-1][:k0], 0.0), vector[:, ::-1][:, :k0]
+    for _ in range(most):
+        right = materialize(right)
+        image = materialize(_apply(cells, right, wide, "j", "i"))
+        value, vector = np.linalg.eigh(_thin_gram(image, wide))
+        value, vector = np.maximum(value[::-1], 0.0), vector[:, ::-1]
+        sigma = np.sqrt(value)
+        unit = _times(image, vector * np.where(sigma > sigma[0] * 1e-12, 1 / np.maximum(sigma, 1e-300), 0.0))
+        back = materialize(_apply(cells, unit, wide, "i", "j"))
+        if (_residuals(back, right, vector, sigma, k0) <= eps * sigma[0]).all():
+            break
+        right = _orthogonal(back, wide)
+    else:
+        raise RuntimeError(f"singular vectors: no convergence after {most} rounds")
+    value, vector = value[:k0], vector[:, :k0]
     sigma = np.sqrt(value)
     out = _times(image, vector * np.where(sigma > 0, 1 / np.sqrt(np.maximum(sigma, 1e-300)), 0.0))
     big = out.agg(*[F.max_by(c, F.abs(c)).alias(c) for c in _columns(k0)]).first()

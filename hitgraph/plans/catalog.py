@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import nulls, stats
 from ..operators import axes, evalml, evidence, graph, ids, linear, plotdata, ranks, tables
 from ..sources import files
-from . import matrices, more, plots  # noqa: F401  they add their queries
+from . import learned, matrices, more, plots  # noqa: F401  they add their queries
 from .registry import CUT, COMB, NATIONS, ORACLE, PV, QUERIES, SCORES, TABLES, nations, p_values, q6, query, same, table  # noqa: F401
 from ..operators.written import materialize
 
