@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import nulls
-from ..operators import bins, blocks, clusters, eigen, linear, reducers
+from ..operators import bins, blocks, clusters, eigen, linear, reducers, splits, training
 from .registry import PV, p_values, q6, query, table
 
 _K, _RESTARTS, _ITERATIONS = 10, 3, 10
@@ -134,3 +134,28 @@ def _(spark, d):
     a = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.floor("c_acctbal").cast("double").alias("v"))
     b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.floor("s_acctbal").cast("double").alias("v"))
     return reducers.merge_tables(a, b, ["nation"], "v", reducers.FURTHEST)
+
+
+_H = "(o_orderkey * 2654435761) % 4294967296"
+
+
+@query("split_sums", f"WITH o AS (SELECT o_orderkey, {_H} AS h, ((o_orderkey + 7919) * 2654435761) % 4294967296 AS h2, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders), s AS (SELECT 0 AS split, h >= floor(0.7e0 * 4294967296) AS test, v FROM o" + "".join(f" UNION ALL SELECT {1 + 3 * r + i}, floor({h} * 3 / 4294967296e0) = {i}, v FROM o" for r, h in enumerate(("h", "h2")) for i in range(3)) + ") SELECT split, count(*) FILTER (WHERE NOT test) AS n_train, count(*) FILTER (WHERE test) AS n_test, CAST(sum(v) FILTER (WHERE NOT test) AS BIGINT) AS total_train, CAST(sum(v) FILTER (WHERE test) AS BIGINT) AS total_test FROM s GROUP BY 1")
+def _(spark, d):
+    key = F.col("o_orderkey")
+    every = splits.once(key, 0.7) + splits.folds(key, 3, replicas=2)
+    return every.aggregate(table(spark, d, "orders"), total=lambda c: F.sum(F.when(c, F.floor("o_totalprice").cast("long"))))
+
+
+def _evaluation(spark, d):
+    e = table(spark, d, "embeddings")
+    return training.supervised_eval(e.select("vec_id", "embedding"), e.select("vec_id", (F.col("label") % 2).alias("target")), "vec_id", "embedding", "target")
+
+
+@query("supervised_eval")
+def _(spark, d):
+    return _evaluation(spark, d).metrics
+
+
+@query("supervised_scores")
+def _(spark, d):
+    return _evaluation(spark, d).scores
