@@ -14,6 +14,8 @@ No link between different components is lost, and copies never expand into all p
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ FREQUENT = 100_000
 _FLUSH = 500_000
 #: Bytes of the bitmap that list entries carry.
 SMALL = 64
+#: Columns of the first shingles that an entry's group shares with others: a pair is made at the first one that both have.
+_EARLY = ("e0", "e1", "e2")
 _BROADCAST_IDS = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -242,10 +246,31 @@ def _neighbours(entries: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _bitmaps(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, SMALL) bytes of a column of bitmaps, zero where it is null, and which rows have one."""
+    column = column.combine_chunks()
+    lone = column.is_valid().to_numpy(zero_copy_only=False)
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    given = (np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)).reshape(-1, SMALL)
+    if lone.all():
+        return given, lone
+    bits = np.zeros((len(column), SMALL), np.uint8)
+    bits[lone] = given
+    return bits, lone
+
+
+def _earliest(entries: DataFrame) -> DataFrame:
+    """gid and its first entries (place, shingle) that meet another group's; a group's entries are its prefix at most."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct("pos", "key"))), 1, len(_EARLY))
+    return util.persist(entries.groupBy("gid").agg(first.alias("early")))
+
+
 def _pairs_apart(entries: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs (a, b) in the lists of shingles whose components differ and that pass the filters.
 
-    A list with over `most` such pairs an entry gives the last two of each entry only, and its shingle as `over`.
+    A list with over `most` such pairs an entry gives the last two of each entry only, and its shingle as `over`.  A
+    pair with one of both sides' first shingles (_EARLY) in common is left to that one's list.
     """
 
     def kernel(batches):
@@ -261,10 +286,8 @@ def _pairs_apart(entries: DataFrame, percent: int, most: int | None) -> DataFram
         cut = np.cumsum([0, *(rb.num_rows for rb in held)])
         held = [rb.filter(pa.array(stays[i:j])) for rb, i, j in zip(held, cut[:-1], cut[1:])]
         gid, n, key, pos, indexed, comp = _columns(held, "gid", "n", "key", "pos", "indexed", "comp")
-        plain = bytes(SMALL)
-        given = [b for rb in held for b in rb.column("bits").to_pylist()]
-        bits = np.frombuffer(b"".join(plain if b is None else b for b in given), np.uint8).reshape(-1, SMALL)
-        lone = np.array([b is not None for b in given])
+        early = _columns(held, *_EARLY)
+        bits, lone = _bitmaps(pa.chunked_array([rb.column("bits") for rb in held], pa.binary()))
         held.clear()
         n = n.astype(_I64)
         size = len(key)
@@ -285,6 +308,12 @@ def _pairs_apart(entries: DataFrame, percent: int, most: int | None) -> DataFram
             x, y = x[ok], y[ok]
             ok = _fits(n[x], pos[x], n[y], pos[y], percent)
             x, y = x[ok], y[ok]
+            for e in early:  # a pair with an earlier shingle in common stands in that one's list
+                own = e[x]
+                later = own != key[x]
+                for f in early:
+                    ok = ~(later & (own == f[y]))
+                    x, y, own, later = x[ok], y[ok], own[ok], later[ok]
             ok = np.zeros(len(x), bool)
             for k in range(0, len(x), 20_000):
                 z = slice(k, k + 20_000)
@@ -352,7 +381,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
     return util.persist(links)
 
 
-def _still_apart(entries: DataFrame, groups: DataFrame, labels: DataFrame, percent: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+def _still_apart(entries: DataFrame, early: DataFrame, groups: DataFrame, labels: DataFrame, percent: int, most: int | None) -> tuple[DataFrame, DataFrame]:
     """(pairs, keys of lists that gave not all of them): pairs of classes in different components that meet at a shingle, or within a group of several classes."""
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = groups.join(labels, groups["rep"] == labels["node"], "left").select("gid", "cls", F.coalesce("component", "rep").alias("comp"), "small")
@@ -361,7 +390,9 @@ def _still_apart(entries: DataFrame, groups: DataFrame, labels: DataFrame, perce
     # a group over several components differs from every other: its own name, never a doc_id in use with it;
     # a group of several classes is not sieved in the lists
     mixed = mixed.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.abs(F.col("gid")) - 1).alias("comp"), F.when(F.col("k") == 1, F.col("bits")).alias("bits"))
-    open_ = entries.select("gid", "n", "key", "pos", "indexed").join(mixed, "gid").repartition(parts, "key").sortWithinPartitions("key", "n", "gid")
+    before = [F.coalesce(F.when(F.get("early", i)["pos"] < F.col("pos"), F.get("early", i)["key"]), F.col("key")).alias(e) for i, e in enumerate(_EARLY)]  # its own shingle: none
+    named = entries.select("gid", "n", "key", "pos", "indexed").join(early, "gid").select("gid", "n", "key", "pos", "indexed", *before)
+    open_ = named.join(mixed, "gid").repartition(parts, "key").sortWithinPartitions("key", "n", "gid")
     met = util.persist(_pairs_apart(open_, percent, most))
     far = met.select("a", "b").distinct()
     side = lambda p: at.select(F.col("gid").alias(p), F.col("cls").alias(f"c_{p}"), F.col("comp").alias(f"o_{p}"))
@@ -403,8 +434,9 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     links = _verified(near.unionByName(inside).distinct(), classes, rows, size, percent)
     labels = components(links)
 
+    early = _earliest(entries)
     for most in (crowd, None):
-        pairs, over = _still_apart(entries, groups, labels, percent, most)
+        pairs, over = _still_apart(entries, early, groups, labels, percent, most)
         more = _verified(pairs, classes, rows, size, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
@@ -427,8 +459,8 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     first = similar_components(docs, size, percent).where("component_id = doc_id").select(F.col("doc_id").alias("_stays")).distinct()
     first = util.persist(first)
-    ids = docs["doc_id"].cast("long")
-    stay = docs.withColumn("_text_hash", F.xxhash64("text")).join(first, ids == first["_stays"], "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    ids, name = docs["doc_id"].cast("long"), f"h{uuid.uuid4().hex}"  # no column of docs is called so
+    stay = docs.withColumn(name, F.xxhash64(docs["text"])).join(first, ids == first["_stays"], "left_semi").dropDuplicates(["doc_id", name]).drop(name)
     return stay.unionByName(docs.where(docs["doc_id"].isNull()))
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from fractions import Fraction
 
 import numpy as np
@@ -214,10 +215,11 @@ def in_order(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # repeated rows of one doc_id share the first one's slot, so the join keeps each row once
-    slot = schedule(docs, weights, block, frame).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min(F.struct(F.coalesce("slot", F.lit(2**62)).alias("s"), F.col("position").alias("p"))).alias("_mix_at"))
-    joined = docs.join(slot, docs["doc_id"].eqNullSafe(slot["_mix_id"]), "left")
+    key, at = f"k{uuid.uuid4().hex}", f"p{uuid.uuid4().hex}"  # no columns of docs are called so
+    slot = schedule(docs, weights, block, frame).groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct(F.coalesce("slot", F.lit(2**62)).alias("s"), F.col("position").alias("p"))).alias(at))
+    joined = docs.join(slot, docs["doc_id"].eqNullSafe(slot[key]), "left")
     # without a slot all documents tie: a hash spreads them
-    place = ["_mix_at.s", "_mix_at.p", F.xxhash64(slot["_mix_id"])]
+    place = [f"{at}.s", f"{at}.p", F.xxhash64(F.col(key))]
     ordered = joined.repartitionByRange(parts, *place).sortWithinPartitions(*place)
     return ordered.select(*[docs[c] for c in docs.columns])
 

@@ -76,3 +76,37 @@ def test_components_of_a_path_and_a_star(spark):
     df = spark.createDataFrame(links, "u long, v long").repartition(7)
     got = {r.node: r.component for r in components.components(df).collect()}
     assert all(got[i] == 0 for i in range(1, n + 1)) and all(got[1000 + i] == 1000 for i in range(1, 50)) and len(got) == n + 49
+
+
+def test_pairs_are_made_once_at_their_first_shared_shingle(spark):
+    """Groups of nearly equal prefixes in different components: without links to join them every list holds each pair."""
+    rows = []
+    for g in range(6):
+        shared = [1000 + k for k in range(30)]
+        own = [g] if g % 2 else []  # an own shingle first, which no other group has
+        for pos, key in enumerate([*own, *shared]):
+            rows.append((g, 200, key, pos, True))
+    entries = spark.createDataFrame(rows, "gid long, n int, key long, pos int, indexed boolean")
+    groups = spark.createDataFrame([(g, 500 + g, 700 + g, bytes(jaccard.SMALL)) for g in range(6)], "gid long, cls long, rep long, small binary")
+    labels = spark.createDataFrame([], "node long, component long")
+    met = entries.groupBy("key").count().where("count > 1").select("key")
+    entries = entries.join(met, "key", "left_semi")
+    made = []
+    apart = jaccard._pairs_apart
+    jaccard._pairs_apart = lambda e, percent, most: made.append(apart(e, percent, most)) or made[-1]
+    try:
+        pairs, _ = jaccard._still_apart(entries, jaccard._earliest(entries), groups, labels, 80, None)
+    finally:
+        jaccard._pairs_apart = apart
+    assert pairs.count() == 15
+    assert made[0].count() == 15  # and not 15 for each of 30 lists
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(2, text, 1, 2, "s"), (1, text, 1, 2, "s"), (3, "other words", 1, 2, "s")], "doc_id long, text string, _text_hash int, _stays int, source string")
+    assert sorted(tuple(r) for r in jaccard.one_of_each(df).select("doc_id", "_text_hash", "_stays").collect()) == [(1, 1, 2), (3, 1, 2)]
+    from hitgraph.llm import mixing
+
+    clash = df.withColumnsRenamed({"_text_hash": "_mix_at", "_stays": "_mix_id"})
+    assert sorted(tuple(r) for r in mixing.in_order(clash).select("doc_id", "_mix_at", "_mix_id").collect()) == [(1, 1, 2), (2, 1, 2), (3, 1, 2)]
