@@ -73,14 +73,35 @@ def polynomial(df: DataFrame, coefficients: str, lo: float, hi: float, samples:
     return at.withColumn("y", F.aggregate(F.reverse(F.col(coefficients)), F.lit(0.0), lambda s, c: c + F.col("x") * s))
 
 
+def _turned(c: Column, kind: str) -> Column:
+    """A value whose ascending order is the descending order of c."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.bitwise_not(c.cast("long"))  # unlike -x never out of range
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        return -c
+    if kind == "boolean":
+        return ~c
+    if kind == "date":
+        return F.bitwise_not(F.unix_date(c))
+    if kind.startswith("timestamp"):
+        return F.bitwise_not(F.unix_micros(c.cast("timestamp")))
+    if kind in ("string", "binary"):  # digits of the bytes turned round; the end sorts after all of them
+        return F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    raise ValueError(f"no descending order of {kind}")
+
+
 def places(df: DataFrame, group: list[str], order: list[str], descending: bool = False) -> DataFrame:
     """df with ordinal (from 0) by group in the order of the given columns, the last of which makes it unique.
 
-    One range shuffle; no task holds a group.  descending turns the first column round; NULLs of it come last.
+    One range shuffle; no task holds a group.  descending turns the first column round; NULLs of it come last.  Columns
+    keep their types, so long whole numbers and strings are in their own order.
     """
-    key = F.col(order[0]).cast("double")
-    keyed = df.withColumn("_o", F.struct(F.col(order[0]).isNull().alias("n"), F.coalesce(-key if descending else key, F.lit(0.0)).alias("k"), *[F.col(c) for c in order[1:]]))
-    # a struct of doubles compares alike in sorts and joins
+    first = F.col(order[0])
+    kind = df.schema[order[0]].dataType.simpleString()
+    key = _turned(first, kind) if descending else first
+    # fields by number, as columns may have any name; each value after a flag, which puts NULLs last
+    fields = [f for k in (key, *(F.col(c) for c in order[1:])) for f in (k.isNull(), k)]
+    keyed = df.withColumn("_o", F.struct(*[f.alias(f"f{i}") for i, f in enumerate(fields)]))
     return ranks.with_rank(keyed.withColumn("_g", F.lit(0)), [*group, "_g"], "_o").withColumn("ordinal", F.col("rank") - 1).drop("_o", "_g", "rank", "group_size")
 
 

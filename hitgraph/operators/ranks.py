@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .written import materialize
 
 
+def _joined(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", strict: tuple[str, ...] = ()) -> DataFrame:
+    """df with other's further columns; NULL keys meet each other, but for those in `strict`."""
+    named = other.select(*[F.col(k).alias(f"_on{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+    on = [F.col(k) == F.col(f"_on{i}") if k in strict else F.col(k).eqNullSafe(F.col(f"_on{i}")) for i, k in enumerate(keys)]
+    return df.join(named, on, how).drop(*[f"_on{i}" for i in range(len(keys))])
+
+
 def ranked(df: DataFrame, group: list[str], value: str, parts: int | None = None) -> DataFrame:
     """group, value, ties, rank_min, rank_avg, rank_max, group_size for each distinct value of each group, ascending.
 
@@ -24,14 +31,17 @@ def ranked(df: DataFrame, group: list[str], value: str, parts: int | None = None
     by_group = Window.partitionBy(*group)
     before = totals.select("_part", *group, F.coalesce(F.sum("_n").over(by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(by_group).alias("group_size"))
     upto = F.sum("ties").over(inside) + F.col("_before")
-    out = ordered.join(F.broadcast(before), ["_part", *group]).withColumn("_upto", upto)
+    out = _joined(ordered, F.broadcast(before), ["_part", *group]).withColumn("_upto", upto)
     return out.select(*group, value, "ties", (F.col("_upto") - F.col("ties") + 1).alias("rank_min"), (F.col("_upto") - (F.col("ties") - 1) / 2).alias("rank_avg"), F.col("_upto").alias("rank_max"), "group_size")
 
 
 def with_rank(df: DataFrame, group: list[str], value: str, how: str = "min") -> DataFrame:
-    """df with columns rank and group_size; joined on group and value, so a common value is no hot key but for its rows."""
+    """df with columns rank and group_size; joined on group and value, so a common value is no hot key but for its rows.
+
+    Rows without a value keep their place in the table, with a NULL rank and size; a NULL group is a group.
+    """
     r = ranked(df, group, value).select(*group, value, F.col(f"rank_{how}").alias("rank"), "group_size")
-    return df.join(r, [*group, value])
+    return _joined(df, r, [*group, value], "left", (value,))
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -65,5 +75,5 @@ def running(df: DataFrame, group: list[str], order: str, values: dict[str, tuple
     both = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
     totals = ordered.groupBy("_part", *group).agg(*[fold[how](c).alias(f"_all_{o}") for o, (how, c) in values.items()])
     before = totals.select("_part", *group, *[fold[how](f"_all_{o}").over(earlier).alias(f"_before_{o}") for o, (how, _) in values.items()])
-    out = ordered.join(F.broadcast(before), ["_part", *group])
+    out = _joined(ordered, F.broadcast(before), ["_part", *group])
     return out.select(*df.columns, *[both[how](fold[how](c).over(inside), F.col(f"_before_{o}")).alias(o) for o, (how, c) in values.items()])
