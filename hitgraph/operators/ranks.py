@@ -40,6 +40,7 @@ def with_rank(df: DataFrame, group: list[str], value: str, how: str = "min") ->
 
     Rows without a value keep their place in the table, with a NULL rank and size; a NULL group is a group.
     """
+    df = materialize(df)  # read twice: sums of doubles might differ between two runs, and would then not meet
     r = ranked(df, group, value).select(*group, value, F.col(f"rank_{how}").alias("rank"), "group_size")
     return _joined(df, r, [*group, value], "left", (value,))
 

@@ -74,3 +74,31 @@ def transpose(long: DataFrame, row: str, col: str) -> DataFrame:
 
 def flatten_key(keys: Column, n: int, prefix: str = "key") -> list[Column]:
     return [F.coalesce(F.try_element_at(keys, F.lit(i + 1)), F.lit("")).alias(f"{prefix}{i + 1}") for i in range(n)]
+
+
+def count_if_rows(df: DataFrame, key: list[str], condition: Column, least: int = 1) -> DataFrame:
+    """key, n: how many of a key's cells meet a condition, for keys with so many at least."""
+    return df.groupBy(*key).agg(F.count_if(condition).alias("n")).where(F.col("n") >= least)
+
+
+def geometric_mean(df: DataFrame, key: list[str], value: str) -> DataFrame:
+    """key and the geometric mean of its values; a 0 makes it 0, NULL is skipped."""
+    x = F.col(value).cast("double")
+    log = F.when(x == 0, F.lit(-float("inf"))).otherwise(F.ln(x))
+    return df.groupBy(*key).agg(F.exp(F.avg(log)).alias(value))
+
+
+def clamp_below(df: DataFrame, value: str, limit: float) -> DataFrame:
+    """df with values of exactly `limit` turned into the largest value below it."""
+    top = F.broadcast(df.agg(F.max(F.when(F.col(value) < limit, F.col(value))).alias("_top")))  # one row
+    return df.crossJoin(top).withColumn(value, F.when(F.col(value) == limit, F.col("_top")).otherwise(F.col(value))).drop("_top")
+
+
+def lookup_in_order(asked: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """A row for each asked key, in its place and as often as it is asked: place, key and the table's columns, NULL if it has none.
+
+    asked: place (unique, its order is the query's) and key; table: one row a key.  Sorted by place.
+    """
+    other = table.withColumnRenamed(key, "_key")
+    found = asked.select("place", key).join(other, F.col(key) == F.col("_key"), "left").drop("_key")
+    return found.orderBy("place")

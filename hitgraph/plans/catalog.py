@@ -110,7 +110,13 @@ def _(spark, d):
 same("node_subset", "SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') OR n_name IN ('BRAZIL', 'CANADA')")
 same("edge_subset", "WITH k AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey IN (1, 2)) SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_nationkey IN (SELECT id FROM k) AND s_nationkey IN (SELECT id FROM k)")
 same("mixed_edges", "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE (c_acctbal > 0 AND n_regionkey <> 1) OR (c_acctbal <= 0 AND n_regionkey = 1)")
-same("row_countif_filter", f"WITH {PV} SELECT gene, count(CASE WHEN p < 1e-2 THEN 1 END) AS n FROM pv GROUP BY 1 HAVING count(CASE WHEN p < 1e-2 THEN 1 END) >= 1")
+
+
+@query("row_countif_filter", f"WITH {PV} SELECT gene, count(CASE WHEN p < 1e-2 THEN 1 END) AS n FROM pv GROUP BY 1 HAVING count(CASE WHEN p < 1e-2 THEN 1 END) >= 1")
+def _(spark, d):
+    return tables.count_if_rows(p_values(spark, d), ["gene"], F.col("p") < 1e-2, 1).select("gene", "n")
+
+
 same("filter_compare", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_discount BETWEEN 5e-2 AND 7e-2 AND l_returnflag = 'R'")
 same("filter_substring", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%green%' OR p_type LIKE 'PROMO%'")
 same("dropna_any", "SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL")
@@ -180,7 +186,13 @@ same("group_count", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM linei
 same("distinct_count", "SELECT l_returnflag, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1")
 same("max_abs", "SELECT c_nationkey, max(abs(c_acctbal)) AS m FROM customer GROUP BY 1")
 same("hit_pivot", "SELECT l_linenumber, coalesce(min(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 0) AS a, coalesce(min(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 0) AS n, coalesce(min(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0) AS r FROM lineitem GROUP BY 1")
-same("geo_mean_folds", f"WITH {PV} SELECT gene, {q6('exp(avg(ln(p)))')} AS g FROM pv GROUP BY 1")
+
+
+@query("geo_mean_folds", f"WITH {PV} SELECT gene, {q6('exp(avg(ln(p)))')} AS g FROM pv GROUP BY 1")
+def _(spark, d):
+    return tables.geometric_mean(p_values(spark, d), ["gene"], "p").select("gene", nulls.q6(F.col("p")).alias("g"))
+
+
 same("column_bounds", "SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_extendedprice) AS e0, max(l_extendedprice) AS e1 FROM lineitem")
 same("column_moments", f"SELECT l_returnflag, {q6('avg(l_quantity)')} AS m, {q6('var_samp(l_quantity)')} AS v, {q6('stddev_samp(l_quantity)')} AS s FROM lineitem GROUP BY 1")
 same("stacked_bar", "WITH a AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_linenumber, l_returnflag, CAST(sum(n) OVER (PARTITION BY l_linenumber ORDER BY l_returnflag) AS BIGINT) AS top FROM a")
@@ -269,7 +281,13 @@ def _(spark, d):
 
 
 same("zscore", f"WITH m AS (SELECT avg(c_acctbal) AS a, stddev_samp(c_acctbal) AS s FROM customer) SELECT c_custkey, {q6('(c_acctbal - a) / s')} AS z FROM customer CROSS JOIN m")
-same("clamp_max_below_one", f"WITH {PV}, m AS (SELECT max(CASE WHEN p < 1 THEN p END) AS top FROM pv) SELECT screen, gene, {q6('CASE WHEN p = 1 THEN top ELSE p END')} AS p FROM pv CROSS JOIN m")
+
+
+@query("clamp_max_below_one", f"WITH {PV}, m AS (SELECT max(CASE WHEN p < 1 THEN p END) AS top FROM pv) SELECT screen, gene, {q6('CASE WHEN p = 1 THEN top ELSE p END')} AS p FROM pv CROSS JOIN m")
+def _(spark, d):
+    return tables.clamp_below(p_values(spark, d), "p", 1.0).select("screen", "gene", nulls.q6(F.col("p")).alias("p"))
+
+
 same("running_cdf", "WITH a AS (SELECT l_quantity AS q, count(*) AS n FROM lineitem GROUP BY 1) SELECT q, CAST(sum(n) OVER (ORDER BY q) AS BIGINT) AS upto FROM a")
 same("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
 same("frequency_filter", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 3")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import nulls
-from ..operators import bins, blocks, clusters, eigen, linear, reducers, splits, training
-from .registry import PV, p_values, q6, query, table
+from ..functions import nulls, stats
+from ..operators import bins, blocks, clusters, eigen, ids, linear, preparation, ranks, reducers, splits, tables, training
+from .registry import PV, SCORES, p_values, q6, query, table
 
 _K, _RESTARTS, _ITERATIONS = 10, 3, 10
 _UNIFORM = "(('0x' || substr(md5('0:' || r || ':{turn}:' || key), 1, 8))::BIGINT + 0.5e0) / 4294967296e0"
@@ -159,3 +159,41 @@ def _(spark, d):
 @query("supervised_scores")
 def _(spark, d):
     return _evaluation(spark, d).scores
+
+
+_RANKED = f"{SCORES}, r AS (SELECT screen, gene, rank() OVER (PARTITION BY screen ORDER BY score) * 1e0 / count(*) OVER (PARTITION BY screen) AS r FROM s)"
+
+
+@query("screen_cells", f"WITH {_RANKED}, k AS (SELECT gene FROM r GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT screen) FROM r) AND bool_or(power(r, 3) < 0.25e0)), c AS (SELECT screen AS i, gene AS j, r FROM r WHERE gene IN (SELECT gene FROM k)), t AS (SELECT max(CASE WHEN r < 1 THEN r END) AS top FROM c), u AS (SELECT i, j, CASE WHEN r >= 1 THEN top ELSE r END AS r FROM c, t) SELECT i, j, {q6('-1e0 * ' + stats.qnorm_sql('r'))} AS v FROM u")
+def _(spark, d):
+    cells = preparation.screen_cells(p_values(spark, d), "screen", "gene", "score", F.col("p") < 0.25)
+    return cells.select("i", "j", nulls.q6(F.col("v")).alias("v"))
+
+
+@query("screen_loadings")
+def _(spark, d):
+    cells = preparation.screen_cells(p_values(spark, d), "screen", "gene", "score", F.col("p") < 0.25)
+    _, loadings = preparation.screen_components(cells)
+    return preparation.by_absolute_rank(loadings, 1)
+
+
+@query("harmonise_species", """WITH x AS (SELECT p_partkey, p_name AS gene, CASE p_size % 3 WHEN 0 THEN 'human' WHEN 1 THEN 'mouse' ELSE 'monkey' END AS species FROM part),
+ mouse AS (SELECT p_name AS source, min(p_type) AS target FROM part WHERE p_size % 2 = 0 GROUP BY 1 HAVING count(DISTINCT p_type) = 1),
+ monkey AS (SELECT p_name AS source, min(p_brand) AS target FROM part WHERE substr(p_brand, 1, 7) = 'Brand#1' GROUP BY 1 HAVING count(DISTINCT p_brand) = 1),
+ alias AS (SELECT p_type AS a, min(p_brand) AS s FROM part WHERE p_size < 5 GROUP BY 1 HAVING count(DISTINCT p_brand) = 1),
+ m AS (SELECT x.*, coalesce(CASE species WHEN 'mouse' THEN mouse.target WHEN 'monkey' THEN monkey.target ELSE gene END, gene) AS asked FROM x LEFT JOIN mouse ON mouse.source = gene LEFT JOIN monkey ON monkey.source = gene)
+ SELECT p_partkey, species, CASE WHEN asked IN (SELECT gene FROM x WHERE species = 'human') THEN asked ELSE coalesce(s, asked) END AS symbol FROM m LEFT JOIN alias ON a = asked""")
+def _(spark, d):
+    p = table(spark, d, "part")
+    x = p.select("p_partkey", F.col("p_name").alias("gene"), F.expr("case p_size % 3 when 0 then 'human' when 1 then 'mouse' else 'monkey' end").alias("species"))
+    pair = lambda df, target: df.select(F.col("p_name").alias("source"), F.col(target).alias("target"), F.substring("p_brand", 1, 7).alias("kind"))
+    maps = {"mouse": ids.one_to_one(pair(p.where("p_size % 2 = 0"), "p_type"), "source", "target"), "monkey": preparation.orthologs_of_type(pair(p, "p_brand"), "source", "target", "kind", "Brand#1")}
+    aliases = p.where("p_size < 5").select(F.col("p_type").alias("alias"), F.col("p_brand").alias("symbol"))
+    return preparation.harmonise(x, "species", "gene", "human", maps, aliases).select("p_partkey", "species", "symbol")
+
+
+@query("lookup_in_order", "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS place, l_partkey, p_brand FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 40) p ON l_partkey = p_partkey")
+def _(spark, d):
+    asked = ranks.numbered(table(spark, d, "lineitem").withColumn("_g", F.lit(0)), ["_g"], ["l_orderkey", "l_linenumber", "l_partkey"])
+    parts = table(spark, d, "part").where("p_size < 40").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return tables.lookup_in_order(asked.select((F.col("i") - 1).alias("place"), "l_partkey"), "l_partkey", parts)
