@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nulls, stats
 from ..operators import bins, blocks, clusters, eigen, ids, linear, preparation, ranks, reducers, splits, tables, training
+from ..streaming import qc
 from .registry import PV, SCORES, p_values, q6, query, table
 
 _K, _RESTARTS, _ITERATIONS = 10, 3, 10
@@ -197,3 +198,9 @@ def _(spark, d):
     asked = ranks.numbered(table(spark, d, "lineitem").withColumn("_g", F.lit(0)), ["_g"], ["l_orderkey", "l_linenumber", "l_partkey"])
     parts = table(spark, d, "part").where("p_size < 40").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     return tables.lookup_in_order(asked.select((F.col("i") - 1).alias("place"), "l_partkey"), "l_partkey", parts)
+
+
+@query("window_qc", f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, {q6('sum(value)')} AS total, count(*) FILTER (WHERE value = 0) AS zeros, {q6('100e0 * count(*) FILTER (WHERE value = 0) / count(*)')} AS pct_zero, min(value) AS low, max(value) AS high FROM events WHERE value IS NOT NULL AND isfinite(value) AND ts IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    got = qc.share_of_zeros(qc.window_qc(table(spark, d, "events"), "ts", "event_type", "value"))
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.col("group").alias("event_type"), "n", nulls.q6(F.col("total")).alias("total"), "zeros", nulls.q6(F.col("pct_zero")).alias("pct_zero"), "low", "high")
