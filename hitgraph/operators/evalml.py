@@ -127,6 +127,22 @@ def knn_blocks(queries: DataFrame, points: DataFrame, key: str, vector: str, k:
     return out
 
 
+def against_all(queries: DataFrame, points: DataFrame, key: str, vector: str, most: int = 100_000) -> DataFrame:
+    """(query, query_vector, key, vector): each query with every point of another key; queries are a stated set.
+
+    Queries are broadcast where they are `most` at most, else block by block of some most / 2, by hash.
+    """
+    n = queries.count()
+    blocks = 1 if n <= most else -(-2 * n // most)
+    out = None
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        side = F.broadcast(some.select(F.col(key).alias("query"), F.col(vector).alias("query_vector")))  # counted above
+        got = points.select(key, vector).join(side, F.col(key) != F.col("query"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def kmeans_step(points: DataFrame, key: str, vector: str, centres: list[tuple[int, list[float]]]) -> DataFrame:
     """Assign each point to its nearest centre (ties: lower number); centres are a bounded literal."""
     options = F.array(*[F.struct(squared_distance(F.col(vector), F.array(*[F.lit(float(x)) for x in c])).alias("d2"), F.lit(i).cast("long").alias("centre")) for i, c in centres])
@@ -147,6 +163,12 @@ def kmeans(points: DataFrame, key: str, vector: str, centres: list[tuple[int, li
         centres = [(i, moved.get(i, c)) for i, c in centres]
 
 
+def in_fixed_order(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by a hash of the key and sorted: learners that draw rows by part and place then draw the same ones each time."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key).sortWithinPartitions(key)
+
+
 def forest_cv(df: DataFrame, key: str, vector: str, target: str, folds: int = 3, trees: int = 500, seed: int = 0) -> DataFrame:
     """key, p: the geometric mean over folds of the forest's probability of class 1; each fold's forest scores every row.
 
@@ -156,7 +178,7 @@ def forest_cv(df: DataFrame, key: str, vector: str, target: str, folds: int = 3,
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = stratified_folds(df, target, key, folds, seed).select(key, "fold", F.col(target).cast("double").alias("label"), array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("features"))
-    rows = materialize(rows)
+    rows = materialize(in_fixed_order(rows, key))
     width = len(rows.first()["features"])
     model = RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(max(1, int((width + 1) ** 0.5))), seed=seed, probabilityCol="chance")
     scored = None

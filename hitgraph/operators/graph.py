@@ -32,6 +32,11 @@ def stochastic(edges: DataFrame, nodes: DataFrame | None = None, drop_isolated:
     return out.unionByName(alone.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")))
 
 
+def edges_within(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges (src, dst, ...) with both ends in given sets (id); two semi-joins, so no edge is made or repeated."""
+    return edges.join(sources.select(F.col("id").alias("src")), "src", "left_semi").join(targets.select(F.col("id").alias("dst")), "dst", "left_semi")
+
+
 def multiply(m: DataFrame, p: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Matrix times vector (id, p); with `by`, times one vector for each of its values."""
     by = by or []

@@ -42,11 +42,25 @@ class TableQuery:
     page: int = 0
     page_size: int = 100
 
-    def run(self, df: DataFrame) -> DataFrame:
+    def _sorted(self, df: DataFrame) -> DataFrame:
         out = df.where(regex_key_filter(F.array(*[df[k].cast("string") for k in self.keys]), self.pattern, self.ignore_case))
         order = mixed_order(F.col(self.sort).cast("string"), self.descending) if self.sort else []
-        out = out.orderBy(*order, *self.keys).offset(self.page * self.page_size).limit(self.page_size)
-        return regex_projection(out, self.projection, self.keys) if self.projection else out
+        return out.orderBy(*order, *self.keys)
+
+    def _projected(self, df: DataFrame) -> DataFrame:
+        return regex_projection(df, self.projection, self.keys) if self.projection else df
+
+    def run(self, df: DataFrame) -> DataFrame:
+        return self._projected(self._sorted(df).offset(self.page * self.page_size).limit(self.page_size))
+
+    def download(self, df: DataFrame, header: bool = True) -> DataFrame:
+        """(value): all rows that pass the filter, of all pages, as CSV lines in order, under a line of names."""
+        from ..sources.records import csv_lines
+
+        rows = self._projected(self._sorted(df))
+        lines = csv_lines(rows, rows.columns)
+        names = df.sparkSession.createDataFrame([tuple(rows.columns)], ", ".join(f"`{c}` string" for c in rows.columns))
+        return csv_lines(names, rows.columns).unionAll(lines) if header else lines
 
 
 def ordered_recode(rules: list[tuple[Column, Column]], default: Column) -> Column:

@@ -120,7 +120,7 @@ def supervised_eval(features: DataFrame, targets: DataFrame, key: str, vector: s
     if one is None:
         raise ValueError("no row has features")
     known = every.join(targets.where(F.col(target).isNotNull()).select(key, F.col(target).cast("double").alias("_target")), key)
-    dealt = materialize(evalml.stratified_folds(known, "_target", key, folds, seed))
+    dealt = materialize(evalml.in_fixed_order(evalml.stratified_folds(known, "_target", key, folds, seed), key))
     make = pipeline or (lambda v, t, width: forest(v, t, width, trees, seed))
     chance = nulls.nan_to_null(vector_to_array("_chance")[1])
     scored = metrics = None

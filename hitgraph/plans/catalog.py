@@ -108,7 +108,16 @@ def _(spark, d):
 
 # filters
 same("node_subset", "SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') OR n_name IN ('BRAZIL', 'CANADA')")
-same("edge_subset", "WITH k AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey IN (1, 2)) SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_nationkey IN (SELECT id FROM k) AND s_nationkey IN (SELECT id FROM k)")
+
+
+@query("edge_subset", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 20) AND l_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey IN (1, 2))")
+def _(spark, d):
+    edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    parts = table(spark, d, "part").where("p_size < 20").select(F.col("p_partkey").alias("id"))
+    some = table(spark, d, "supplier").join(table(spark, d, "nation").where("n_regionkey in (1, 2)"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi")
+    return graph.edges_within(edges, parts, some.select(F.col("s_suppkey").alias("id"))).select(F.col("src").alias("l_partkey"), F.col("dst").alias("l_suppkey"))
+
+
 same("mixed_edges", "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE (c_acctbal > 0 AND n_regionkey <> 1) OR (c_acctbal <= 0 AND n_regionkey = 1)")
 
 
@@ -358,13 +367,13 @@ def _(spark, d):
     return graph.propagate(graph.stochastic(e, n), n, data).select("id", nulls.q6(F.col("p")).alias("p"))
 
 
-_CENTRAL = _iterate("SELECT m.dst AS id, sum(m.w * q.p) AS p FROM m JOIN {p} q ON m.src = q.id GROUP BY 1", "SELECT n_nationkey AS id, 1e0 / count(*) OVER () AS p FROM nation", 20)
+_CENTRAL = _iterate("SELECT m.dst AS id, sum(m.w * q.p) AS p FROM m JOIN {p} q ON m.src = q.id GROUP BY 1", "SELECT n_nationkey AS id, 1e0 / count(*) OVER () AS p FROM nation", 100)
 
 
-@query("eigen_centrality", f"WITH {NATIONS}, {_CENTRAL} SELECT id, {q6('p / sum(p) OVER ()')} AS p FROM p20")
+@query("eigen_centrality", f"WITH {NATIONS}, {_CENTRAL} SELECT id, {q6('p / sum(p) OVER ()')} AS p FROM p100")
 def _(spark, d):
     e, n = nations(spark, d)
-    return graph.centrality(graph.stochastic(e, n), n, 20).select("id", nulls.q6(F.col("p")).alias("p"))
+    return graph.centrality(graph.stochastic(e, n), n).select("id", nulls.q6(F.col("p")).alias("p"))
 
 
 @query("rwr_degree_normalised", f"WITH {NATIONS}, {_WALK.replace('{start}', _ONE)}, u AS (SELECT n_nationkey AS id, 1e0 / 25 AS q FROM nation) SELECT p15.id, {q6('CASE WHEN p = 0 THEN 0e0 ELSE p * (ln(p) - ln(q)) END')} AS kl, {q6('p / q')} AS lrt FROM p15 JOIN u ON u.id = p15.id")

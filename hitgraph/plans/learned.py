@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import nulls, stats
-from ..operators import bins, blocks, clusters, eigen, ids, linear, preparation, ranks, reducers, splits, tables, training
+from ..operators import bins, blocks, clusters, eigen, graph, ids, linear, preparation, ranks, reducers, splits, tables, training
+from ..operators.written import materialize
+from ..sources import records
 from ..streaming import qc
 from .registry import PV, SCORES, p_values, q6, query, table
 
@@ -204,3 +206,78 @@ def _(spark, d):
 def _(spark, d):
     got = qc.share_of_zeros(qc.window_qc(table(spark, d, "events"), "ts", "event_type", "value"))
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.col("group").alias("event_type"), "n", nulls.q6(F.col("total")).alias("total"), "zeros", nulls.q6(F.col("pct_zero")).alias("pct_zero"), "low", "high")
+
+
+# a graph that grows with its tables: parts (even ids) and suppliers (odd ids), weighted by lines
+_SUPPLY = "e AS (SELECT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst, count(*) * 1e0 AS w FROM lineitem GROUP BY 1, 2), b AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), deg AS (SELECT src, sum(w) AS degree FROM b GROUP BY 1), m AS MATERIALIZED (SELECT b.src, b.dst, w / degree AS w FROM b JOIN deg ON deg.src = b.src), n AS (SELECT src AS id FROM deg)"
+
+
+def _walked(start: str, steps: int, restart: bool = True) -> str:
+    out = [f"p0 AS MATERIALIZED ({start})"]
+    for k in range(steps):
+        moved = f"SELECT m.dst AS id, {'0.5e0 * ' if restart else ''}m.w * q.p AS p FROM m JOIN p{k} q ON q.id = m.src"
+        out.append(f"p{k + 1} AS MATERIALIZED (SELECT id, sum(p) AS p FROM ({moved + (' UNION ALL SELECT id, 0.5e0 * p FROM p0' if restart else '')}) t GROUP BY 1)")
+    return ", ".join(out)
+
+
+def _supply(spark, d):
+    return table(spark, d, "lineitem").groupBy((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+@query("supply_stochastic", f"WITH {_SUPPLY} SELECT src, dst, {q6('w')} AS w FROM m")
+def _(spark, d):
+    return graph.stochastic(_supply(spark, d)).select("src", "dst", nulls.q6(F.col("w")).alias("w"))
+
+
+@query("supply_walk", f"WITH {_SUPPLY}, {_walked('SELECT id, CASE WHEN id = 3 THEN 1e0 ELSE 0e0 END AS p FROM n', 15)} SELECT id, {q6('1e3 * p')} AS p FROM p15")
+def _(spark, d):
+    e = materialize(_supply(spark, d))
+    start = graph.vertices(e).select("id", F.when(F.col("id") == 3, 1.0).otherwise(0.0).alias("p"))
+    return graph.walk(graph.stochastic(e), start).select("id", nulls.q6(1000 * F.col("p")).alias("p"))
+
+
+@query("supply_propagate", f"WITH {_SUPPLY}, x AS (SELECT n.id, coalesce(p_size, 0) * 1e0 AS v FROM n LEFT JOIN part ON p_partkey * 2 = n.id), {_walked('SELECT id, v / (SELECT sum(v) FROM x) AS p FROM x', 15)} SELECT id, {q6('1e3 * p')} AS p FROM p15")
+def _(spark, d):
+    e = materialize(_supply(spark, d))
+    sizes = table(spark, d, "part").select((F.col("p_partkey") * 2).alias("id"), F.col("p_size").cast("double").alias("p"))
+    return graph.propagate(graph.stochastic(e), graph.vertices(e), sizes).select("id", nulls.q6(1000 * F.col("p")).alias("p"))
+
+
+@query("supply_centrality", f"WITH {_SUPPLY}, {_walked('SELECT id, 1e0 / count(*) OVER () AS p FROM n', 100, False)} SELECT id, {q6('1e3 * p / sum(p) OVER ()')} AS p FROM p100")
+def _(spark, d):
+    e = materialize(_supply(spark, d))
+    return graph.centrality(graph.stochastic(e), graph.vertices(e)).select("id", nulls.q6(1000 * F.col("p")).alias("p"))
+
+
+@query("table_download", "WITH k AS (SELECT * FROM customer WHERE regexp_full_match(c_mktsegment, 'build.*', 'i')) SELECT 'c_custkey,c_mktsegment' AS value UNION ALL SELECT c_custkey || ',' || c_mktsegment FROM k")
+def _(spark, d):
+    return tables.TableQuery(["c_mktsegment"], "build.*", True, ["c_custkey", "c_mktsegment"], "c_custkey").download(table(spark, d, "customer"))
+
+
+@query("gene_graph", """WITH n AS (SELECT p_partkey * 2 AS id, 'P' || p_partkey AS name, 'gene' AS type FROM part UNION ALL SELECT s_suppkey * 2 + 1, 'S' || s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'drug' WHEN 1 THEN 'place' ELSE 'other' END FROM supplier),
+ k AS (SELECT n.id, type, type = 'gene' AND p_size < 10 AS chosen FROM n LEFT JOIN part ON p_partkey * 2 = n.id WHERE type IN ('gene', 'drug') OR name IN ('S1', 'S2')),
+ e AS (SELECT l_partkey * 2 AS s, l_suppkey * 2 + 1 AS t, l_returnflag AS relation, l_quantity AS a FROM lineitem)
+ SELECT least(s, t) AS u, greatest(s, t) AS v, relation, max(a) AS attribute FROM e JOIN k x ON x.id = s JOIN k y ON y.id = t WHERE x.chosen AND y.type <> 'gene' GROUP BY 1, 2, 3""")
+def _(spark, d):
+    p, s = table(spark, d, "part"), table(spark, d, "supplier")
+    nodes = p.select((F.col("p_partkey") * 2).alias("id"), F.expr("concat('P', p_partkey)").alias("name"), F.lit("gene").alias("type"))
+    nodes = nodes.unionByName(s.select((F.col("s_suppkey") * 2 + 1).alias("id"), F.expr("concat('S', s_suppkey)").alias("name"), F.expr("case s_nationkey % 3 when 0 then 'drug' when 1 then 'place' else 'other' end").alias("type")))
+    q = F.col("l_quantity")
+    edges = table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("source"), (F.col("l_suppkey") * 2 + 1).alias("target"), F.col("l_returnflag").alias("relation"), q.alias("attribute"), q.alias("ordinal"))
+    genes = p.where("p_size < 10").select(F.expr("concat('P', p_partkey)").alias("name"))
+    _nodes, multi = records.gene_graph(nodes, edges, genes, "gene", ["gene", "drug"], ["S1", "S2"], [])
+    return multi.select("u", "v", "relation", "attribute")
+
+
+def _two_graphs(spark, d):
+    """Kinds of parts and nations of suppliers, joined by lines that came back and by those that did not: few nodes, as states are dense."""
+    o = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    e = o.groupBy(F.col("p_type").alias("src"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("dst"), (F.col("l_returnflag") == "R").alias("back")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    e = materialize(e)
+    nodes = materialize(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
+    return [e.where(c).select("src", "dst", "w") for c in ("back", "not back")], nodes
+
+
+@query("mashup_two_graphs")
+def _(spark, d):
+    return graph.mashup(*_two_graphs(spark, d))

@@ -16,7 +16,8 @@ _PAIRS = "q AS (SELECT vec_id AS a, embedding AS v FROM embeddings WHERE vec_id
 def _pairs(spark, d):
     """Each query, a row whose id is divisible by 50, with all other rows."""
     e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("w")).join(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("v")), F.col("a") != F.col("b"))
+    pairs = evalml.against_all(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding")
+    return pairs.select(F.col("query").alias("a"), F.col("query_vector").alias("v"), F.col("vec_id").alias("b"), F.col("embedding").alias("w"))
 
 
 @query("sq_euclid", f"WITH {_PAIRS} SELECT a, vec_id AS b, {q6(_D2.format(a='v', b='embedding'))} AS d2 FROM q JOIN embeddings ON a <> vec_id")
@@ -39,15 +40,21 @@ def _(spark, d):
     return similarity.jaccard_sets(c).withColumn("jaccard", nulls.q6(F.col("jaccard")))
 
 
-_POWER = ", ".join(f"w{k} AS MATERIALIZED (SELECT b.src AS id, sum(w * v) AS w FROM b JOIN v{k} ON b.dst = v{k}.id GROUP BY 1), v{k + 1} AS MATERIALIZED (SELECT id, w / sqrt(sum(w * w) OVER ()) AS v FROM w{k})" for k in range(6))
+# the default stop rule: the first of 5 to 100 steps whose mean squared residual is below 1e-3
+_STEP = (
+    "w{k} AS MATERIALIZED (SELECT b.src AS id, sum(w * v) AS w FROM b JOIN v{j} ON b.dst = v{j}.id GROUP BY 1), e{k} AS MATERIALIZED (SELECT sum(v * w{k}.w) AS value, sqrt(sum(w{k}.w * w{k}.w)) AS length FROM v{j} JOIN w{k} ON w{k}.id = v{j}.id), "
+    "r{k} AS MATERIALIZED (SELECT {k} AS k, avg((w{k}.w - value * v) * (w{k}.w - value * v)) AS rest FROM v{j} JOIN w{k} ON w{k}.id = v{j}.id, e{k}), v{k} AS MATERIALIZED (SELECT id, w / length AS v FROM w{k}, e{k})"
+)
+_POWER = ", ".join(_STEP.format(k=k, j=k - 1) for k in range(1, 101))
+_RESTS, _VECTORS = (" UNION ALL ".join(x.format(k=k) for k in range(5, 101)) for x in ("SELECT k, rest FROM r{k}", "SELECT {k} AS k, id, v FROM v{k}"))
 
 
-@query("power_iteration", f"WITH {NATIONS}, v0 AS MATERIALIZED (SELECT src AS id, 1e0 / sqrt(count(*) OVER ()) AS v FROM deg), {_POWER} SELECT id, {q6('v')} AS v FROM v6")
+@query("power_iteration", f"WITH {NATIONS}, v0 AS MATERIALIZED (SELECT src AS id, 1e0 / sqrt(count(*) OVER ()) AS v FROM deg), {_POWER}, stop_at AS (SELECT coalesce(min(CASE WHEN rest < 1e-3 THEN k END), 100) AS k FROM ({_RESTS})) SELECT id, {q6('v')} AS v FROM ({_VECTORS}) x WHERE k = (SELECT k FROM stop_at)")
 def _(spark, d):
     e, _n = nations(spark, d)
     both = e.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("v"))
     both = both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    return similarity.power_iteration(both, most=6, eps=0.0).select("id", nulls.q6(F.col("v")).alias("v"))
+    return similarity.power_iteration(both).select("id", nulls.q6(F.col("v")).alias("v"))
 
 
 _CELLS = "SELECT l_linenumber AS i, l_returnflag AS j, count(*) * 1e0 AS v FROM lineitem GROUP BY 1, 2"

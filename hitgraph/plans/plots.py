@@ -93,10 +93,15 @@ def _(spark, d):
 _END = "CASE WHEN ({a}z < level) <> ({b}z < level) THEN {{'x': {a}x + (level - {a}z) / ({b}z - {a}z) * ({b}x - {a}x), 'y': {a}y + (level - {a}z) / ({b}z - {a}z) * ({b}y - {a}y)}} END"
 
 
-@query("contour_segments", f"""WITH g AS (SELECT i AS ix, j AS iy, i * 1e0 AS x, j * 1e0 AS y, i * i + 2e0 * j * j AS z FROM range(12) s(i), range(12) t(j)),
+_GRID = "a AS (SELECT p_size / 25e0 AS x, p_retailprice / 500 AS y FROM part), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(*) AS n FROM a), k AS (SELECT i AS ix, j AS iy, x0 + i * ((x1 - x0) / 19) AS gx, y0 + j * ((y1 - y0) / 19) AS gy, n FROM b, range(20) s(i), range(20) t(j)), g AS MATERIALIZED (SELECT ix, iy, gx AS x, gy AS y, sum(exp(-0.5e0 * ((a.x - gx) * (a.x - gx) + (a.y - gy) * (a.y - gy)) / 0.1e0)) / (n * 0.01e0) AS z FROM k, a GROUP BY ix, iy, gx, gy, n)"
+
+
+@query("contour_segments", f"""WITH {_GRID},
  t AS (SELECT p.x AS px, p.y AS py, p.z AS pz, o.x AS ox, o.y AS oy, o.z AS oz, s.x AS sx, s.y AS sy, s.z AS sz FROM g p JOIN g s ON s.ix = p.ix + 1 AND s.iy = p.iy + 1 JOIN g o ON (o.ix = p.ix AND o.iy = p.iy + 1) OR (o.ix = p.ix + 1 AND o.iy = p.iy)),
- e AS (SELECT level, list_filter([{_END.format(a='p', b='o')}, {_END.format(a='o', b='s')}, {_END.format(a='p', b='s')}], lambda q: q IS NOT NULL) AS e FROM t, (SELECT unnest([10.5e0, 60.5e0, 150.5e0]) AS level) l)
+ e AS (SELECT level, list_filter([{_END.format(a='p', b='o')}, {_END.format(a='o', b='s')}, {_END.format(a='p', b='s')}], lambda q: q IS NOT NULL) AS e FROM t, (SELECT unnest([20e0, 25e0, 30e0, 35e0]) AS level) l)
  SELECT level, {q6('e[1].x')} AS x0, {q6('e[1].y')} AS y0, {q6('e[2].x')} AS x1, {q6('e[2].y')} AS y1 FROM e WHERE len(e) = 2""")
 def _(spark, d):
-    grid = spark.range(144).selectExpr("id div 12 as ix", "id % 12 as iy").selectExpr("ix", "iy", "ix * 1e0 as gx", "iy * 1e0 as gy", "ix * ix + 2e0 * iy * iy as density")
-    return axes.contour(grid, [10.5, 60.5, 150.5]).select("level", *[nulls.q6(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    """Level lines of the density of parts by size and price."""
+    p = table(spark, d, "part").select((F.col("p_size") / 25.0).alias("x"), (F.col("p_retailprice") / 500).alias("y"))
+    got = axes.contour(axes.density2d(p, "x", "y", 0.1, 20), [20.0, 25.0, 30.0, 35.0])
+    return got.select("level", *[nulls.q6(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")])

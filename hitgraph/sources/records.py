@@ -175,3 +175,21 @@ def graph_object(nodes: DataFrame, edges: DataFrame, types: list[str], names: li
     for_nodes = [r for r in rules if r[0] is None or r[0] in some.columns]
     for_edges = [r for r in rules if r[0] in inner.columns]
     return styling.style(some, for_nodes) if for_nodes else some, styling.style(inner, for_edges) if for_edges else inner
+
+
+def gene_graph(nodes: DataFrame, edges: DataFrame, genes: DataFrame, gene_type: str, types: list[str], names: list[str], rules: list[tuple[str | None, object, dict[str, object]]]) -> tuple[DataFrame, DataFrame]:
+    """(styled nodes, styled edges) of a gene set's multigraph.
+
+    nodes: id, name, type; those of the types or names count.  edges: source, target, relation, attribute, ordinal, one
+    for each pair and relation (the last by ordinal).  Edges join genes of the set to each other and to nodes that
+    are no genes; the nodes left are those at their ends.  genes: name.
+    """
+    from ..operators import graph, styling
+
+    some = nodes.where(F.col("type").isin(types) | F.col("name").isin(names))
+    chosen = some.join(genes.select("name").distinct(), "name", "left_semi").select("id")
+    multi = graph.gene_multigraph(some.select("id", "type"), edges, chosen, gene_type)
+    ends = multi.select(F.col("u").alias("id")).union(multi.select("v")).distinct()
+    left = some.join(ends, "id", "left_semi")
+    for_nodes, for_edges = [r for r in rules if r[0] is None or r[0] in left.columns], [r for r in rules if r[0] in multi.columns]
+    return styling.style(left, for_nodes) if for_nodes else left, styling.style(multi, for_edges) if for_edges else multi
