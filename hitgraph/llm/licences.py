@@ -37,8 +37,75 @@ the above copyright notice, this list of conditions and the following disclaimer
 <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this
 list of conditions and the following disclaimer in the documentation and/or other materials provided with the
 distribution."""
+_MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+<<var;least=1;most=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_THIRD = """<<beginOptional>>3.<<endOptional>> Neither the name of <<var;least=1;most=12>> nor the names of
+<<beginOptional>>its<<endOptional>> contributors may be used to endorse or promote products derived from this software
+without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY <<var;least=1;most=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL <<var;least=1;most=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies."""
+_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND <<var;least=1;most=12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;least=1;most=12>> BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+def _gnu_notice(name: str) -> str:
+    """The notice that a program's files bear under a licence of this name."""
+    return f"""is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of
+        the {name} as published by the Free Software Foundation, either version <<var;least=1;most=3>> of the License, or
+        (at your option) any later version. <<var;least=1;most=8>> distributed in the hope that it will be useful, but
+        WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the {name} for more details. You should have received a copy of the {name} along with <<var;least=1;most=8>> If
+        not, <<beginOptional>>see<<endOptional>> <<var;least=1;most=16>>"""
+
+
 #: label: template.  Licence wording is fixed by the licences.
 TEMPLATES = {
+    "mit": f"{_MIT} {_MIT_END}",
+    "bsd-2-clause": f"{_BSD} {_BSD_END}",
+    "bsd-3-clause": f"{_BSD} {_BSD_THIRD} {_BSD_END}",
+    "isc-full": f"{_ISC} {_ISC_END}",
+    "gpl-full-notice": _gnu_notice("GNU General Public License"),
+    "lgpl-full-notice": _gnu_notice("GNU Lesser General Public License"),
+    "agpl-full-notice": _gnu_notice("GNU Affero General Public License"),
+    "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
+        MPL was not distributed with this file, You can obtain one at <<var;least=1;most=8>>""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not
+        claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+        documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must
+        be plainly marked as such, and must not be misrepresented as being the original software.
+        <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means.""",
+    "boost-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+        and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
+        and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+        Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire
+        statement, including the above license grant, this restriction and the following disclaimer, must be included in all
+        copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative
+        works are solely in the form of machine-executable object code generated by a source language processor.""",
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at <<var;least=1;most=12>> Unless required by applicable
+        law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License.""",
+    "cc-by-deed": """This work is licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> Creative
+        Commons Attribution <<var;least=0;most=4>> International License""",
     "apache-2.0": """Licensed under the Apache License, Version 2.0 <<beginOptional>>(the "License"); you may not
         use this file except in compliance with the License. You may obtain a copy of the License at
         <<var;least=1;most=12>> Unless required by applicable law or agreed to in writing, software distributed under
@@ -58,8 +125,7 @@ TEMPLATES = {
     "mit-notice": "<<beginOptional>>Released<<endOptional>> <<beginOptional>>Licensed<<endOptional>> <<beginOptional>>Distributed<<endOptional>> under the MIT License",
     "mit-text": _MIT,
     "bsd": _BSD,
-    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "isc": _ISC,
     "mpl-2.0": "subject to the terms of the Mozilla Public License, v. 2.0",
     "spdx": "SPDX-License-Identifier: <<var;least=1;most=1>>",
 }
