@@ -183,7 +183,8 @@ def _spans(rule: Rule, number: int) -> Column:
     every = f"""zip_with(slice(split(text, '{p}', -1), 1, size({hits})), zip_with({hits}, {groups}, (h, g) -> struct(h as h, g as g)),
         (a, b) -> struct(char_length(a) as gap, char_length(b.h) as len, char_length(b.g) as need))"""
     # sums from the left by parts of 256, then inside each part: linear up to some 10 ** 5 matches, and no text is too long
-    parts = f"transform(sequence(0, greatest(size({every}) - 1, 0) div 256), c -> slice({every}, c * 256 + 1, 256))"
+    # the one-element array binds the matches to a name: a lambda's body would run the expression anew for each part
+    parts = f"transform(array({every}), e -> transform(sequence(0, greatest(size(e) - 1, 0) div 256), c -> slice(e, c * 256 + 1, 256)))[0]"
     placed = """aggregate(PARTS, struct(0L as at, cast(array() as array<struct<at:bigint,xs:array<struct<gap:int,len:int,need:int>>>>) as found),
         (acc, xs) -> struct(acc.at + aggregate(xs, 0L, (n, x) -> n + x.gap + x.len) as at, concat(acc.found, array(struct(acc.at as at, xs as xs))) as found)).found"""
     inside = f"""aggregate(p.xs, struct(p.at as at, cast(array() as array<struct<start:bigint,kind_no:int,kind:string,stop:bigint,need:int>>) as found),

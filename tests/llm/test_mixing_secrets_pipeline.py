@@ -153,3 +153,16 @@ def test_pipeline_ids_follow_the_mixed_order(spark, stages):
         x = by[r.doc_id]
         assert (x.start, x.n_tokens, x.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_many_matches_in_one_text(spark):
+    """Work grows with the matches, not with their square: 200,000 of them end."""
+    import time
+
+    n = 200_000
+    text = " ".join(f"{i:016x}" for i in range(n))
+    began = time.time()
+    (row,) = secrets.scan(documents(spark, [text])).selectExpr("n_hex", "base_sha256", "length(spans) as l").collect()
+    assert row.n_hex == n and time.time() - began < 60
+    want = ",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(n))
+    assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
