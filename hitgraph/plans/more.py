@@ -182,14 +182,17 @@ def _(spark, d):
     return similarity.leading_edge(r.withColumn("n", F.lit(n)), ["brand"]).select("brand", "gene")
 
 
+def bands(spark, d):
+    """set, member: bands of what a part sold for in all screens, within 2000 keys: those at both ends stand out in most screens."""
+    sold = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("member")).agg(F.sum("l_extendedprice").alias("sold"))
+    return sold.select(F.expr("concat(cast(floor(sold / 150000) as string), '-', member div 2000)").alias("set"), "member")
+
+
 @query("recurrent_gsea")
 def _(spark, d):
     from .matrices import _ranked_z
 
-    # bands of what a part sold for in all screens, within 400 keys: those at both ends stand out in most screens
-    sold = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("member")).agg(F.sum("l_extendedprice").alias("sold"))
-    bands = sold.select(F.expr("concat(cast(floor(sold / 150000) as string), '-', member div 400)").alias("set"), "member")
-    return similarity.recurrent_sets(similarity.gsea(_ranked_z(spark, d), bands))
+    return similarity.recurrent_sets(similarity.gsea(_ranked_z(spark, d), bands(spark, d)))
 
 
 def _near(spark, d):

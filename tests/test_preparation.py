@@ -45,10 +45,12 @@ def test_leading_edges_and_recurrence_of_planted_sets(spark):
     assert ("up", 5) in often and "some" not in {s for s, _ in often} and not any(s.startswith("r") for s, _ in often)
 
 
-def test_recurrent_query_returns_sets(spark, sf):
-    from hitgraph.plans import catalog
+def test_sets_of_the_recurrent_query_recur(spark, sf):
+    """Its binding, with fewer permutations than the query's 1000."""
+    from hitgraph.plans import matrices, more
 
-    rows = catalog.QUERIES["recurrent_gsea"](spark, sf.replace("sf0.001", "sf0.01")).collect()
+    d = sf.replace("sf0.001", "sf0.01")
+    rows = similarity.recurrent_sets(similarity.gsea(matrices._ranked_z(spark, d), more.bands(spark, d), permutations=300)).collect()
     assert rows and all(r.recurs > 3 for r in rows) and all(r.edge for r in rows)
 
 
