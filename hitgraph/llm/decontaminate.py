@@ -4,7 +4,8 @@ Texts and items are words (runs of letters, digits and non-ASCII characters; A-Z
 of five words (an item of fewer words is one shingle).  A window of an item's length is fingerprinted from its
 shingles, each weighted by how often the window holds it.  Fingerprints of one length are cut into four blocks of
 16 bits: two that differ in at most RADIUS bits agree on some block up to RADIUS // 4 bits, so looking up each block
-in a table of all such neighbours finds every fingerprint within the radius.  A candidate counts if the weighted
+in a table of all such neighbours finds every fingerprint within the radius.  Four tables serve items of all lengths:
+items are numbered by length, so a block's neighbours of one length lie side by side.  A candidate counts if the weighted
 Jaccard similarity of the shingles, computed exactly, reaches the threshold.  A text of fewer words than the item is
 its own one window.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,13 @@ THRESHOLD = 0.8
 RADIUS = 19
 #: Items that one pass over the documents holds; more items make more passes, so what is broadcast is bounded.
 ITEMS_A_PASS = 2000
+#: Candidate pairs that are compared at once.
+PAIRS = 1 << 20
 
 _IS_WORD = np.array([b >= 128 or 48 <= b < 58 or 97 <= b < 123 for b in range(256)])
 _BITS = np.arange(64, dtype=np.uint64)
 _POP16 = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+_NEAR = np.flatnonzero(_POP16 <= RADIUS // 4)
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,33 +60,38 @@ class Items:
     """The items of one pass: shingles, fingerprints and the block tables."""
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
-        h, off = words_of(pa.array(texts, pa.string()))
-        keep = [i for i in range(len(ids)) if off[i + 1] > off[i]]
-        self.ids = [ids[i] for i in keep]
-        self.length = np.array([off[i + 1] - off[i] for i in keep], np.int64)
+        found = []  # (words, number in ids, shingles), read in slices of bounded size
+        batch = pa.RecordBatch.from_pydict({"i": pa.array(range(len(ids)), pa.int64()), "text": pa.array(texts, pa.string())})
+        for rb in util.slices([batch], "text"):
+            h, off = words_of(rb.column("text"))
+            for i, a, z in zip(rb.column("i").to_pylist(), off, off[1:]):
+                k = min(SHINGLE, int(z - a))
+                if k:
+                    found.append((int(z - a), i, util.grams(h, np.arange(a, z - k + 1), k)))
+        found.sort(key=lambda x: x[:2])
+        self.ids = [ids[i] for _, i, _ in found]
+        self.length = np.array([n for n, _, _ in found], np.int64)
         self.size = np.minimum(self.length, SHINGLE)
-        self.shingles = [util.grams(h, np.arange(off[i], off[i + 1] - s + 1), int(s)) for i, s in zip(keep, self.size)]
-        self.weights = [Counter(s.tolist()) for s in self.shingles]
+        self.shingles = [x for _, _, x in found]
+        self.weights = lru_cache(256)(lambda i: Counter(self.shingles[i].tolist()))
         self.prints = np.array([pack(signs(s).sum(0)[None])[0] for s in self.shingles], np.uint64)
-        every = sorted({(int(k), x, int(n)) for s, k, n in zip(self.shingles, self.size, self.length) for x in s.tolist()})
-        self.lengths = sorted({int(n) for n in self.length})
-        self.known = {k: np.array(sorted({x for kk, x, _ in every if kk == k}), np.uint64) for k in sorted({int(s) for s in self.size})}
+        self.known = {k: np.unique(np.concatenate([x for x, s in zip(self.shingles, self.size) if s == k])) for k in sorted({int(s) for s in self.size})}
         self.filter = {k: np.bincount((v >> np.uint64(44)).astype(np.int64), minlength=1 << 20).astype(bool) for k, v in self.known.items()}
-        self.tables = {n: self._tables(np.flatnonzero(self.length == n)) for n in self.lengths}
-
-    def _tables(self, which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for b in range(4):
-            part = ((self.prints[which] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            values, items = [], []
-            for i, p in zip(which.tolist(), part.tolist()):
-                near = np.flatnonzero(_POP16[np.arange(1 << 16) ^ p] <= RADIUS // 4)
-                values.append(near)
-                items.append(np.full(len(near), i))
-            v, it = np.concatenate(values), np.concatenate(items)
-            order = np.argsort(v, kind="stable")
-            out.append((np.searchsorted(v[order], np.arange((1 << 16) + 1)).astype(np.int32), it[order].astype(np.int16)))
-        return out
+        self.tables = [self._table(b) for b in range(4)]
+
+    def _blocks(self, prints: np.ndarray, b: int) -> np.ndarray:
+        """Block b of each fingerprint as the first key that a table may have for it."""
+        kind = np.uint32 if len(self.ids) < 1 << 16 else np.uint64
+        return ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(kind) * kind(len(self.ids))
+
+    def _table(self, b: int) -> np.ndarray:
+        """neighbour * items + item, in order, for all neighbours of the items' blocks: 2517 numbers an item."""
+        own = self._blocks(self.prints, b)
+        n = own.dtype.type(max(1, len(self.ids)))
+        keys = (own[:, None] // n ^ _NEAR.astype(own.dtype)) * n + np.arange(len(own), dtype=own.dtype)[:, None]
+        keys = keys.ravel()
+        keys.sort()
+        return keys
 
     def holds(self, h: np.ndarray, k: int) -> np.ndarray:
         """Which shingle hashes some item has."""
@@ -92,19 +102,35 @@ class Items:
 
     def near(self, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs of length n within the radius, all of them."""
-        w, it = [], []
-        for b, (begin, items) in enumerate(self.tables[n]):
-            part = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            a, z = begin[part].astype(np.int64), begin[part + 1].astype(np.int64)
+        first, last = np.searchsorted(self.length, [n, n + 1])
+        if first == last:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        spans = []
+        for b, keys in enumerate(self.tables):
+            low = self._blocks(prints, b)
+            spans.append((np.searchsorted(keys, low + low.dtype.type(first)), np.searchsorted(keys, low + low.dtype.type(last - 1), side="right")))
+        total = np.cumsum(sum(z - a for a, z in spans))
+        cuts = np.searchsorted(total, np.arange(0, int(total[-1]) + PAIRS, PAIRS)) if len(prints) else []
+        w, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(cuts, [*cuts[1:], len(prints)]):
+            if hi > lo:
+                got = self._near(prints[lo:hi], [(a[lo:hi], z[lo:hi]) for a, z in spans])
+                w.append(got[0] + lo)
+                i.append(got[1])
+        return np.concatenate(w), np.concatenate(i)
+
+    def _near(self, prints: np.ndarray, spans: list) -> tuple[np.ndarray, np.ndarray]:
+        pair = []
+        for keys, (a, z) in zip(self.tables, spans):
             size = z - a
             total = np.cumsum(size) - size
-            w.append(np.repeat(np.arange(len(prints)), size))
-            it.append(items[np.repeat(a - total, size) + np.arange(int(size.sum()))].astype(np.int64))
-        pair = np.unique(np.concatenate(w) * len(self.ids) + np.concatenate(it))
-        w_, i_ = pair // len(self.ids), pair % len(self.ids)
-        x = prints[w_] ^ self.prints[i_]
+            item = keys[np.repeat(a - total, size) + np.arange(int(size.sum()))] % keys.dtype.type(len(self.ids))
+            pair.append(np.repeat(np.arange(len(prints)), size) * len(self.ids) + item.astype(np.int64))
+        pair = np.unique(np.concatenate(pair))
+        w, i = pair // len(self.ids), pair % len(self.ids)
+        x = prints[w] ^ self.prints[i]
         d = sum(_POP16[((x >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int64) for b in range(4))
-        return w_[d <= RADIUS], i_[d <= RADIUS]
+        return w[d <= RADIUS], i[d <= RADIUS]
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -136,7 +162,7 @@ def leaks_of(items: Items, h: np.ndarray, off: np.ndarray, threshold: float) ->
             if len(short):
                 own = [util.grams(h, np.arange(off[d], off[d + 1] - k + 1), k) for d in short]
                 for w, i in zip(*items.near(np.array([pack(signs(x).sum(0)[None])[0] for x in own], np.uint64), n)):
-                    s = similarity(Counter(own[w].tolist()), items.weights[i])
+                    s = similarity(Counter(own[w].tolist()), items.weights(int(i)))
                     key = (int(short[w]), int(i))
                     if s >= threshold and s > best.get(key, (0.0, 0))[0]:
                         best[key] = (s, 0)
@@ -160,7 +186,7 @@ def leaks_of(items: Items, h: np.ndarray, off: np.ndarray, threshold: float) ->
                 a = np.searchsorted(need, part)
                 prints = pack(total[a + n - k + 1] - total[a])
                 for w, i in zip(*items.near(prints, n)):
-                    s = similarity(Counter(hash_[a[w] : a[w] + n - k + 1].tolist()), items.weights[i])
+                    s = similarity(Counter(hash_[a[w] : a[w] + n - k + 1].tolist()), items.weights(int(i)))
                     if s >= threshold:
                         key = (int(doc[part[w]]), int(i))
                         if key not in best or s > best[key][0]:

@@ -91,3 +91,33 @@ def test_texts_shorter_than_the_item(spark):
     got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in dc.leaks(documents(spark, texts), bench).collect()}
     assert got == whole and (1, 0) in got and got[1, 0] == (54 / 55, 0)
     assert {r.doc_id for r in dc.without_leaks(documents(spark, texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in whole}
+
+
+def test_items_of_many_lengths():
+    """Four tables serve all lengths: memory follows the items' number, and each length finds its own items only."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"x{v}" for v in rng.integers(0, 5000, n)) for n in range(1, 1001)]
+    tracemalloc.start()
+    items = dc.Items(list(range(1000)), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(t.nbytes for t in items.tables) == 4 * 4 * 1000 * 2517 and peak < 150 << 20
+    for n in (1, 4, 5, 77, 1000):
+        own = items.prints[[n - 1]]
+        w, i = items.near(np.concatenate([own, own ^ np.uint64(0b1011)]), n)
+        assert w.tolist() == [0, 1] and i.tolist() == [n - 1, n - 1]
+    assert [len(x) for x in items.near(np.zeros(0, np.uint64), 77)] == [0, 0]
+    assert [len(x) for x in items.near(items.prints[:3], 5000)] == [0, 0]
+
+
+def test_pairs_are_compared_piece_by_piece(monkeypatch):
+    """Many copies of one item, as many pairs as windows times copies: pieces of them give the same pairs."""
+    items = dc.Items(list(range(60)), ["a b c d e f g h"] * 40 + [f"p{i} q r s t u v w" for i in range(20)])
+    prints = np.concatenate([items.prints, items.prints ^ np.uint64(0xFF)])
+    whole = items.near(prints, 8)
+    assert len(whole[0]) >= 2 * 40 * 40
+    monkeypatch.setattr(dc, "PAIRS", 100)
+    parts = items.near(prints, 8)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
