@@ -5,11 +5,15 @@ skipped, missing end tags are supplied).  Repeats next to each other fold into g
 aligned; what only one has becomes optional, what one repeats becomes a repeated group, texts that differ become
 slots.  Aligning page after page gives the host's wrapper:
 
-    ("t", tag)  ("x", constant text or None for a slot)  ("+", nodes)  ("?", nodes)
+    ("e", tag, nodes)  ("x", constant text or None for a slot, pages)  ("+", nodes)  ("?", nodes)
 
 The wrapper of a host is fixed before pages are read.  Its text nodes are labelled once: main (in an article or main
-element), open (elsewhere), none (in a part that is marked as no main text; marks by class name count only where the
-article keeps text without that part).  A page is parsed by its host's wrapper, so each of its texts gets the label of
+element), open (elsewhere), none (in a part that is no main text).  In an article a part is none by its tag or role; by
+a plain name (advert, notice, comments); by a vague name (related, header, promo) only if the wrapper bears it out, all
+its texts being constants of the host while the article has slots; and, whatever its name, as a repeated group of
+readers' comments: inner articles, or at the article's end units of two texts and more without headings or tables,
+under a heading that is a constant of the host.  Names and repeats count only where the article keeps text without the
+part.  A page is parsed by its host's wrapper, so each of its texts gets the label of
 the node that matched it; a page that does not fit is aligned with the wrapper for itself alone, so no page's result
 depends on another row of its batch.  Main text is what main nodes matched.  On a page where they match nothing it is
 what open nodes matched, but for the site's own texts: those that stand on every page of the host, counted over all its
@@ -26,6 +30,7 @@ import re
 import sys
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -57,22 +62,30 @@ _CONTAINER_WORDS = re.compile(r"\d*|area|bar|block|body|box|button|buttons|col|c
 #: Blocks of text: only these names drop them.
 _BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "figcaption"}
 _BLOCK_WORDS = re.compile(r"ads?|advert\w*|sponsored|cookies?|consent|notices?|comments?|breadcrumbs?|hidden")
+#: Names that an article's own parts bear as well; in an article they count if the wrapper bears them out.
+_VAGUE_WORDS = re.compile(r"header|related|recommended|promo\w*|banner|social|widget")
+_VAGUE_BLOCK_WORDS = re.compile(r"comment")
+#: Tags of units that are no readers' comments.
+_STRUCTURED = {"h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "td", "th", "dt", "dd", "figure", "pre"}
 _DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 
 
-def _named(value: str, block: bool) -> bool:
-    """Whether a class or id names a part that is no main text."""
+def _named(value: str, block: bool) -> str:
+    """'~' if a class or id names a part that is no main text, '^' if it does so vaguely, else ''."""
+    mark = ""
     for name in value.lower().split():
         words = re.split(r"[-_]+", name)
         while len(words) > 1 and _CONTAINER_WORDS.fullmatch(words[-1]):
             words.pop()
         if (_BLOCK_WORDS if block else _DROPPED_WORDS).fullmatch(words[-1]):
-            return True
-    return False
+            if not (_VAGUE_BLOCK_WORDS if block else _VAGUE_WORDS).fullmatch(words[-1]):
+                return "~"
+            mark = "^"
+    return mark
 
 
 def stream(page: str) -> list[tuple[str, str]]:
-    """("o", tag), ("c", tag), ("x", text): balanced; tags carry a mark if all inside is no main text: '!', or '~' by name."""
+    """("o", tag), ("c", tag), ("x", text): balanced; tags carry a mark if all inside is no main text: '!', or by name '~', or '^' if vaguely."""
     out: list[tuple[str, str]] = []
     opened: list[str] = []
     count: dict[str, int] = {}
@@ -90,7 +103,7 @@ def stream(page: str) -> list[tuple[str, str]]:
         flush()
         while len(opened) > k:
             out.append(("c", opened.pop()))
-            count[out[-1][1].rstrip("!~")] -= 1
+            count[out[-1][1].rstrip("!~^")] -= 1
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -116,14 +129,14 @@ def stream(page: str) -> list[tuple[str, str]]:
         if m.group(1):
             if count.get(name):
                 for k in range(len(opened) - 1, -1, -1):
-                    if opened[k].rstrip("!~") == name:
+                    if opened[k].rstrip("!~^") == name:
                         close(k)
                         break
             else:
                 flush()
             continue
         for k in range(len(opened) - 1, -1, -1):
-            inner = opened[k].rstrip("!~")
+            inner = opened[k].rstrip("!~^")
             if name in _ENDED_BY.get(inner, ()):
                 close(k)
             elif inner not in ("p", "dt", "dd", "td", "th"):
@@ -131,12 +144,13 @@ def stream(page: str) -> list[tuple[str, str]]:
         flush()
         if name in _VOID:
             continue
-        drop, named = name in _DROPPED, False
+        drop, named = name in _DROPPED, ""
         for a in _ATTR.finditer(m.group(3) or ""):
             key, value = (a.group(1) or a.group(3)).lower(), (a.group(2) or "").strip("\"'")
             drop |= key == "hidden" or key == "role" and value.lower() in _DROPPED_ROLES
-            named |= key in ("class", "id") and _named(value, name in _BLOCKS)
-        tag = name + ("!" if drop else "~" if named and name not in ("html", "body", "article", "main") else "")
+            if key in ("class", "id"):
+                named = max(named, _named(value, name in _BLOCKS))
+        tag = name + ("!" if drop else named if name not in ("html", "body", "article", "main") else "")
         count[name] = count.get(name, 0) + 1
         opened.append(tag)
         out.append(("o", tag))
@@ -144,49 +158,52 @@ def stream(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def fold(tokens: list[tuple[str, str]]) -> list:
-    """Wrapper nodes of one page: repeats next to each other become one group."""
-    levels: list[list[list]] = [[]]  # units (elements, groups, texts) of the elements that are open
+def fold(tokens: list[tuple[str, str]], join: bool = True) -> list:
+    """Wrapper nodes of one page: repeats next to each other become one group, if they are to be joined."""
+    levels: list[list] = [[]]  # the insides of the elements that are open
     for kind, v in tokens:
         if kind == "x":
-            levels[-1].append([["x", v]])
+            levels[-1].append(["x", v, 1])
         elif kind == "o":
-            levels.append([[["t", v]]])
+            levels.append([])
         else:
-            unit = [n for u in levels.pop() for n in u] + [["t", "/" + v]]
+            unit = ["e", v, levels.pop()]
             beside = levels[-1]
-            last = beside[-1] if len(beside) > (len(levels) > 1) else None
-            if last and last[0][0] == "+" and last[0][1][0] == unit[0]:
-                beside[-1] = [["+", merge(last[0][1], unit)]]
-            elif last and last[0] == unit[0]:
-                beside[-1] = [["+", merge(last, unit)]]
+            last = beside[-1] if beside and join else None
+            if last and last[0] == "+" and last[1][0][1] == v:
+                beside[-1] = ["+", merge(last[1], [unit])]
+            elif last and last[0] == "e" and last[1] == v:
+                beside[-1] = ["+", merge([last], [unit])]
             else:
                 beside.append(unit)
-    return [n for u in levels[0] for n in u]
+    todo = [levels[0]]
+    while todo:  # however often a page repeats a text, it is one page
+        for n in todo.pop():
+            if n[0] == "x":
+                n[2] = 1
+            else:
+                todo.append(n[-1])
+    return levels[0]
 
 
 def _shape(nodes: list) -> str:
-    return "".join("#" if n[0] == "x" else f"<{n[1]}>" if n[0] == "t" else f"{n[0]}({_shape(n[1])})" for n in nodes)
+    return "".join("#" if n[0] == "x" else f"<{n[1]}>{_shape(n[2])}</{n[1]}>" if n[0] == "e" else f"{n[0]}({_shape(n[1])})" for n in nodes)
 
 
 def merge(a: list, b: list) -> list:
     """The least wrapper of this kind that both sequences satisfy."""
-    key = lambda n: "#" if n[0] == "x" else n[1] if n[0] == "t" else "=" + _first(n)
-    ka, kb = [key(n) for n in a], [key(n) for n in b]
-    if ka == kb:
+    key = lambda n: "=" + _first(n) if n[0] in "+?" else _first(n)
+    if [key(n) for n in a] == [key(n) for n in b]:
         return [_both(x, y) for x, y in zip(a, b)]
     # an element, a repeated group and an optional part that begin alike can be aligned
-    ua, ub = _units(a), _units(b)
     out: list = []
-    match = SequenceMatcher(None, [u[0] for u in ua], [u[0] for u in ub], autojunk=False)
+    match = SequenceMatcher(None, [_first(n) for n in a], [_first(n) for n in b], autojunk=False)
     for op, i, j, k, m in match.get_opcodes():
         if op == "equal":
-            for (_, x), (_, y) in zip(ua[i:j], ub[k:m]):
+            for x, y in zip(a[i:j], b[k:m]):
                 out.extend(_merge_unit(x, y))
         else:
-            for units in (ua[i:j], ub[k:m]):
-                for _, u in units:
-                    out.append(u[0] if u[0][0] == "?" and len(u) == 1 else ["?", u])
+            out.extend(n if n[0] == "?" else ["?", [n]] for n in a[i:j] + b[k:m])
     return out
 
 
@@ -196,52 +213,28 @@ def _first(n: list) -> str:
     return "#" if n[0] == "x" else n[1]
 
 
-def _units(nodes: list) -> list[tuple[str, list]]:
-    """Elements with their insides, groups and texts as units, keyed by what they begin with."""
-    out, k = [], 0
-    while k < len(nodes):
-        n = nodes[k]
-        if n[0] == "t" and n[1][0] != "/":
-            depth, e = 0, k
-            while e < len(nodes):
-                if nodes[e][0] == "t":
-                    depth += -1 if nodes[e][1][0] == "/" else 1
-                    if depth == 0:
-                        break
-                e += 1
-            out.append((n[1], nodes[k : e + 1]))
-            k = e + 1
-        else:
-            out.append((_first(n), [n]))
-            k += 1
-    return out
-
-
 def _merge_unit(x: list, y: list) -> list:
-    if x[0][0] in "+?" or y[0][0] in "+?":
-        optional = x[0][0] == "?" or y[0][0] == "?"
-        x, y = (v[0][1] if v[0][0] == "?" else v for v in (x, y))
-        if x[0][0] == "+" or y[0][0] == "+":
-            got = [["+", merge(*(v[0][1] if v[0][0] == "+" and len(v) == 1 else v for v in (x, y)))]]
+    if x[0] in "+?" or y[0] in "+?":
+        a, b = (v[1] if v[0] == "?" else [v] for v in (x, y))
+        if a[0][0] == "+" or b[0][0] == "+":
+            got = [["+", merge(*(v[0][1] if v[0][0] == "+" and len(v) == 1 else v for v in (a, b)))]]
         else:
-            got = merge(x, y)
-        return [["?", got]] if optional else got
-    if x[0][0] == "x":
-        return [_both(x[0], y[0])]
-    return [x[0], *merge(x[1:-1], y[1:-1]), x[-1]]
+            got = merge(a, b)
+        return [["?", got]] if x[0] == "?" or y[0] == "?" else got
+    return [_both(x, y)]
 
 
 def _both(x: list, y: list) -> list:
     if x[0] == "x":
-        return x if x[1] == y[1] else ["x", None]
-    return x if x[0] == "t" else [x[0], merge(x[1], y[1])]
+        return ["x", x[1] if x[1] == y[1] else None, x[2] + y[2]]
+    return [*x[:-1], merge(x[-1], y[-1])]
 
 
 def infer(pages: list[str]) -> list:
-    """The wrapper of some pages of a host."""
+    """The wrapper of some pages of a host; copies of a page count once."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
     out: list | None = None
-    for p in pages:
+    for p in dict.fromkeys(pages):
         nodes = fold(stream(p))
         out = nodes if out is None else merge(out, nodes)
     return out or []
@@ -255,11 +248,11 @@ def pack(wrapper: list) -> str:
         if n is None:
             todo.pop()
             out.append([")"])
-        elif n[0] in "+?":
-            out.append([n[0]])
-            todo.append(iter(n[1]))
+        elif n[0] == "x":
+            out.append(n[:3])
         else:
-            out.append(n[:2])
+            out.append(n[:-1])
+            todo.append(iter(n[-1]))
     return json.dumps(out[:-1])
 
 
@@ -270,38 +263,88 @@ def unpack(flat: str) -> list:
             levels.pop()
         else:
             levels[-1].append(n)
-            if n[0] in "+?":
+            if n[0] != "x":
                 n.append([])
-                levels.append(n[1])
+                levels.append(n[-1])
     return levels[0]
 
 
 _NONE, _OPEN, _MAIN = 0, 1, 2
+_HEADINGS = {"h2", "h3", "h4", "h5", "h6"}
 
 
 def label(wrapper: list) -> list[int]:
-    """Numbers the wrapper's text nodes and gives each its label; marks by name count in an article that keeps text without them."""
-    texts: list[tuple[bool, bool, int]] = []  # in a part that is dropped, in one that is so by name, the outermost article it is in
-    drop = named = within = article = 0
-    todo = [iter(wrapper)]
+    """Numbers the wrapper's text nodes and gives each its label, as the module's text says."""
+    dropped, named, vague, article = [], [], [], []  # of each text: by tag, by a plain name, by any, the outermost article it is in
+    slot, fixed, headed, single = [], [], [], []  # one text or several, the same on two pages at least, in a heading, in no group
+    parts, groups = [], []  # vague parts in an article; repeated groups in one: (first text, end, their article, are they articles)
+    count = dict.fromkeys(("!", "~", "^", "+", "h", "a", "s", "g"), 0)  # how many such nodes are open ("s", "g": structured tags and groups met so far)
+    within = articles = 0
+    todo = [(None, iter(wrapper), 0, 0, 0)]
     while todo:
-        n = next(todo[-1], None)
+        open_, rest, begin, met, held = todo[-1]
+        n = next(rest, None)
         if n is None:
             todo.pop()
-        elif n[0] in "+?":
-            todo.append(iter(n[1]))
+            if open_ is None:
+                continue
+            kind, tag = open_[0], _first(open_) if open_[0] == "+" else open_[1] if open_[0] == "e" else ""
+            if kind == "+":
+                count["+"] -= 1
+                if within and len(dropped) > begin:
+                    inner = tag == "article" and count["a"] > 0
+                    if inner or (len(dropped) >= begin + 2 or count["g"] > held) and count["s"] == met and tag != "p":
+                        groups.append((begin, len(dropped), articles, inner))
+            elif kind == "e":
+                if tag[-1] in "!~^":
+                    count[tag[-1]] -= 1
+                    if tag[-1] == "^" and within:
+                        parts.append((begin, len(dropped)))
+                count["h"] -= tag in _HEADINGS
+                count["a"] -= tag == "article"
+                within -= tag in ("article", "main")
         elif n[0] == "x":
-            n[2:] = [len(texts)]
-            texts.append((drop > 0, named > 0, article if within else 0))
+            n[3:] = [len(dropped)]
+            dropped.append(count["!"] > 0)
+            named.append(count["~"] > 0)
+            vague.append(count["~"] + count["^"] > 0)
+            article.append(articles if within else 0)
+            slot.append(n[1] is None)
+            fixed.append(n[1] is not None and n[2] >= 2)
+            headed.append(count["h"] > 0)
+            single.append(count["+"] == 0)
         else:
-            step, tag = (-1, n[1][1:]) if n[1][0] == "/" else (1, n[1])
-            drop += step * (tag[-1] == "!")
-            named += step * (tag[-1] == "~")
-            if tag in ("article", "main"):
-                article += step == 1 and not within
-                within += step
-    keeps = {a for d, m, a in texts if not d and not m}
-    return [_NONE if d or m and a in keeps else _MAIN if a else _NONE if m else _OPEN for d, m, a in texts]
+            if n[0] == "+":
+                count["+"] += 1
+                count["g"] += 1
+            todo.append((n, iter(n[-1]), len(dropped), count["s"], count["g"]))
+            if n[0] == "e":
+                tag = n[1]
+                if tag[-1] in "!~^":
+                    count[tag[-1]] += 1
+                count["h"] += tag in _HEADINGS
+                count["s"] += tag in _STRUCTURED
+                count["a"] += tag == "article"
+                if tag in ("article", "main"):
+                    articles += not within
+                    within += 1
+    varied = {a for a, d, s, o in zip(article, dropped, slot, single) if a and not d and s and o}
+    last = {a: k for k, (a, d, m) in enumerate(zip(article, dropped, named)) if not d and not m}
+    changing = [0, *accumulate(not f for f in fixed)]
+    out = list(named)
+    for begin, end in parts:
+        if end > begin and article[begin] in varied and changing[begin] == changing[end]:
+            out[begin:end] = [True] * (end - begin)
+    done = -1
+    for begin, end, a, inner in sorted(groups, key=lambda g: (g[0], -g[1])):  # outer groups first
+        heading = begin - 1 if begin and headed[begin - 1] and fixed[begin - 1] and single[begin - 1] and article[begin - 1] == a else None
+        if begin >= done and (inner or a in varied and heading is not None and last.get(a, -1) < end):
+            done = end
+            out[begin:end] = [True] * (end - begin)
+            if heading is not None:
+                out[heading] = True
+    keeps = {a for a, d, m in zip(article, dropped, out) if not d and not m}
+    return [_NONE if d or (m and a in keeps if a else v) else _MAIN if a else _OPEN for a, d, m, v in zip(article, dropped, out, vague)]
 
 
 def parse(wrapper: list, tokens: list[tuple[str, str]]) -> list[int] | None:
@@ -314,16 +357,17 @@ def parse(wrapper: list, tokens: list[tuple[str, str]]) -> list[int] | None:
 def _match(nodes: list, tokens: list, at: int, found: list[int]) -> int:
     for n in nodes:
         kind = n[0]
-        if kind == "t":
-            tag = n[1]
-            want = ("c", tag[1:]) if tag[0] == "/" else ("o", tag)
-            if at >= len(tokens) or tokens[at] != want:
+        if kind == "e":
+            if at >= len(tokens) or tokens[at] != ("o", n[1]):
+                return -1
+            at = _match(n[2], tokens, at + 1, found)
+            if at < 0 or tokens[at] != ("c", n[1]):
                 return -1
             at += 1
         elif kind == "x":
             if at >= len(tokens) or tokens[at][0] != "x" or n[1] is not None and tokens[at][1] != n[1]:
                 return -1
-            found[at] = n[2]
+            found[at] = n[3]
             at += 1
         else:
             got = _match(n[1], tokens, at, found)
@@ -358,7 +402,7 @@ class Host:
         nodes, labels = parse(self.wrapper, tokens), self.labels
         fits = nodes is not None
         if not fits:
-            for own in (lambda: unpack(pack(merge(self.wrapper, fold(tokens)))), lambda: [["x", v] if kind == "x" else ["t", "/" * (kind == "c") + v] for kind, v in tokens]):
+            for own in (lambda: unpack(pack(merge(self.wrapper, fold(tokens)))), lambda: fold(tokens, join=False)):
                 wider = own()
                 labels = label(wider)
                 nodes = parse(wider, tokens)

@@ -97,3 +97,58 @@ def test_site_texts_are_those_of_one_node(spark):
     for d in (df, df.orderBy(df.page_id.desc()).coalesce(1), df.repartition(7)):
         assert {r.page_id: r.text for r in wrappers.extract(d).collect()} == want
     assert {r.page_id: r.text for r in wrappers.extract(df, most=0).collect()} == want
+
+
+def story(i, inside):
+    return f"<body><article><h1>title {i}</h1><p>first {i}</p><p>second {i}</p>{inside}</article></body>"
+
+
+def texts(inside, n=4):
+    """Page 0 of a host whose pages differ, read by the host's wrapper; inside is a text or a function of the page."""
+    pages = [story(i, inside(i) if callable(inside) else inside) for i in range(n)]
+    return wrappers.Host(wrappers.infer(pages)).main_text(pages[0]).split("\n")[3:]
+
+
+def test_vague_names_need_the_wrapper():
+    for tag, end in (("section class='related'", "section"), ("div id='header'", "div"), ("div class='media-promo'", "div"), ("p class='comment'", "p"), ("div class='banner'", "div")):
+        body = "own words %s" if end == "p" else "<p>own words %s</p>"
+        assert texts(lambda i: f"<{tag}>{body % i}</{end}>") == ["own words 0"], tag  # what changes by page is the article's
+        assert texts(f"<{tag}>{body % 'of the site'}</{end}>") == [], tag  # what never does is the site's
+        assert texts(f"<{tag}>{body % 'alone'}</{end}>", n=1) == ["own words alone"], tag  # one page shows nothing
+    # copies of one page show nothing either, and plain names need no wrapper
+    same = story(1, "<section class='related'><p>kept</p></section><div class='notice'>gone</div>")
+    assert text(same, same, same).endswith("second 1\nkept")
+
+
+def test_the_wrapper_changes_results():
+    page = story(0, "<section class='related'><p>Our shop</p></section>")
+    host = wrappers.Host(wrappers.infer([page, *[story(i, "<section class='related'><p>Our shop</p></section>") for i in range(1, 4)]]))
+    assert host.main_text(page) == "title 0\nfirst 0\nsecond 0"
+    assert wrappers.Host([]).main_text(page) == "title 0\nfirst 0\nsecond 0\nOur shop"
+
+
+def test_readers_comments_whatever_their_class():
+    said = lambda i, k=2: "".join(f"<div class='reader-says'><p>reader {i}{j}</p><p>says {i}{j}</p></div>" for j in range(k))
+    assert texts(lambda i: f"<section class='below'><h3>Your views</h3>{said(i, 2 + i)}</section>") == []
+    assert texts(lambda i: f"<h3>Your views</h3><ol>{said(i).replace('div', 'li')}</ol>") == []
+    # a heading of the page's own, text after it, or units with headings: the article's own parts
+    assert len(texts(lambda i: f"<section><h3>Part {i}</h3>{said(i)}</section>")) == 5
+    assert len(texts(lambda i: f"<section><h3>Your views</h3>{said(i)}</section><p>end {i}</p>")) == 6
+    assert len(texts(lambda i: "<h2>Steps</h2>" + "".join(f"<div><h3>step {i}{j}</h3><p>do {i}{j}</p></div>" for j in range(3)))) == 7
+    assert len(texts(lambda i: f"<h3>Sources</h3><ul><li>a{i}</li><li>b{i}</li></ul>")) == 3
+    assert len(texts(lambda i: f"<section><h3>Your views</h3>{said(i)}</section>", n=1)) == 5
+    # articles in an article are comments, articles in a main element are not
+    assert texts(lambda i: f"<div>{said(i).replace('div', 'article')}</div>") == []
+    cards = [f"<body><main><h1>news {i}</h1>" + "".join(f"<article><p>a{i}{j}</p><p>b{i}{j}</p></article>" for j in range(3)) + "</main></body>" for i in range(3)]
+    assert text(cards[0], *cards[1:]).count("\n") == 6
+
+
+def test_nesting_takes_time_in_proportion():
+    import time
+
+    deep = lambda x: "<body><article><h1>h</h1>" + "<div>" * 20_000 + x + "</div>" * 20_000 + "<p>two</p></article></body>"
+    pages = [deep("one"), deep("<p>three</p>one")]
+    start = time.process_time()
+    host = wrappers.Host(wrappers.unpack(wrappers.pack(wrappers.infer(pages))))
+    assert host.main_text(pages[0]) == "h\none\ntwo" and host.main_text(pages[1]) == "h\nthree\none\ntwo"
+    assert time.process_time() - start < 5
