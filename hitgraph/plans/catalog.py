@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import nulls, stats
-from ..operators import axes, evalml, evidence, graph, ids, linear, plotdata, ranks, tables
+from ..operators import axes, evalml, evidence, frames, graph, ids, linear, plotdata, ranks, tables
 from ..sources import files
 from . import learned, matrices, more, plots  # noqa: F401  they add their queries
 from .registry import CUT, COMB, NATIONS, ORACLE, PV, QUERIES, SCORES, TABLES, nations, p_values, q6, query, same, table  # noqa: F401
@@ -76,7 +76,13 @@ def _(spark, d):
 
 
 # projections and derivations
-same("unpivot_directions", "SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT p_partkey, 'price' AS what, p_retailprice AS v FROM part")
+
+
+@query("unpivot_directions", "SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT p_partkey, 'price' AS what, p_retailprice AS v FROM part")
+def _(spark, d):
+    return frames.melt(table(spark, d, "part"), ["p_partkey"], {"size": "p_size", "price": "p_retailprice"})
+
+
 same("label_derivation", "SELECT c_custkey, concat('C-', substr(c_name, 10), '/', lower(c_mktsegment)) AS label, replace(c_mktsegment, 'A', '_') AS recoded FROM customer")
 
 
@@ -85,13 +91,31 @@ def _(spark, d):
     return evidence.hit_classes(p_values(spark, d), [1, 2, 3, 4])
 
 
-same("neglog_zero_floor", f"WITH m AS (SELECT min(l_discount) AS low FROM lineitem WHERE l_discount > 0) SELECT l_orderkey, l_linenumber, {q6('-log10(CASE WHEN l_discount = 0 THEN low ELSE l_discount END)')} AS y FROM lineitem CROSS JOIN m")
+@query("neglog_zero_floor", f"WITH m AS (SELECT min(l_discount) AS low FROM lineitem WHERE l_discount > 0) SELECT l_orderkey, l_linenumber, {q6('-log10(CASE WHEN l_discount = 0 THEN low ELSE l_discount END)')} AS y FROM lineitem CROSS JOIN m")
+def _(spark, d):
+    return frames.neg_log10(table(spark, d, "lineitem"), "l_discount", "y").select("l_orderkey", "l_linenumber", nulls.q6(F.col("y")).alias("y"))
+
+
 same("binary_target", "SELECT o_orderkey, CAST(CASE WHEN o_totalprice < 100000 THEN 1 ELSE 0 END AS DOUBLE) AS target FROM orders")
 same("log_odds", f"SELECT o_orderkey, {q6('log10((o_totalprice / 1e6) / (1 - o_totalprice / 1e6))')} AS odds FROM orders WHERE o_totalprice > 0 AND o_totalprice < 1000000")
-same("provenance_join", "SELECT user_id, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS provenance FROM events GROUP BY 1", "SELECT user_id, array_join(sort_array(collect_set(event_type)), ', ') AS provenance FROM events GROUP BY 1")
-same("label_encode", "SELECT event_id, dense_rank() OVER (ORDER BY event_type) - 1 AS code FROM events", "WITH t AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events)) SELECT event_id, CAST(code AS BIGINT) AS code FROM events JOIN t USING (event_type)")
+
+
+@query("provenance_join", "SELECT user_id, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS provenance FROM events GROUP BY 1")
+def _(spark, d):
+    return frames.provenance(table(spark, d, "events"), ["user_id"], "event_type")
+
+
+@query("label_encode", "SELECT event_id, dense_rank() OVER (ORDER BY event_type) - 1 AS code FROM events")
+def _(spark, d):
+    return frames.encode(table(spark, d, "events"), "event_type").select("event_id", "code")
+
+
 same("transpose_long", "SELECT n_name AS row_key, r_name AS col_key, CAST(n_nationkey AS DOUBLE) AS v FROM nation JOIN region ON n_regionkey = r_regionkey")
-same("project_prefix_rename", "SELECT p_partkey AS id, p_brand AS pos_brand, p_type AS pos_type FROM part")
+
+
+@query("project_prefix_rename", "SELECT p_partkey AS id, p_brand AS pos_brand, p_type AS pos_type FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), *[F.col(f"p_{c}").alias(f"pos_{c}") for c in ("brand", "type")])
 
 
 @query("flatten_key", "SELECT n_nationkey, split_part(n_name, 'A', 1) AS key1, CASE WHEN len(string_split(n_name, 'A')) >= 2 THEN string_split(n_name, 'A')[2] ELSE '' END AS key2, CASE WHEN len(string_split(n_name, 'A')) >= 3 THEN string_split(n_name, 'A')[3] ELSE '' END AS key3 FROM nation")
@@ -128,11 +152,31 @@ def _(spark, d):
 
 same("filter_compare", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_discount BETWEEN 5e-2 AND 7e-2 AND l_returnflag = 'R'")
 same("filter_substring", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%green%' OR p_type LIKE 'PROMO%'")
-same("dropna_any", "SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL")
-same("key_member", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+
+
+@query("dropna_any", "SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL")
+def _(spark, d):
+    return frames.drop_na(table(spark, d, "documents"), ["doc_id", "text", "source"]).select("doc_id", "text")
+
+
+@query("key_member", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def _(spark, d):
+    return frames.members(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), "c_custkey").select("o_orderkey")
+
+
 same("nonempty", "SELECT doc_id FROM documents WHERE length(text) > 0")
-same("finite_in_range", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND abs(value) < 1e308 AND value BETWEEN 10 AND 50")
-same("axis_clip", "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size BETWEEN 5 AND 40 AND p_retailprice BETWEEN 950 AND 1500")
+
+
+@query("finite_in_range", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND abs(value) < 1e308 AND value BETWEEN 10 AND 50")
+def _(spark, d):
+    return table(spark, d, "events").where(frames.inside({"value": (10, 50)})).select("event_id", "value")
+
+
+@query("axis_clip", "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size BETWEEN 5 AND 40 AND p_retailprice BETWEEN 950 AND 1500")
+def _(spark, d):
+    return table(spark, d, "part").where(frames.inside({"p_size": (5, 40), "p_retailprice": (950, 1500)})).select("p_partkey", "p_size", "p_retailprice")
+
+
 same("toc_search", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'blue')")
 same("box_selection", "WITH b AS (SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice < 1200) SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM b) GROUP BY 1")
 same("tag_overlap", "SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['red', 'blue', 'green'])", "SELECT p_partkey FROM part WHERE arrays_overlap(split(p_name, ' '), array('red', 'blue', 'green'))")
@@ -162,12 +206,42 @@ def _(spark, d):
 # joins
 same("inner_metadata", "SELECT o_orderkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 same("left_alias", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
-same("keyed_lookup", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
-same("common_keys_all_screens", "SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) = (SELECT count(DISTINCT l_linenumber) FROM lineitem)")
-same("reindex_fill", "SELECT p_partkey, coalesce(q, 0) AS q FROM part LEFT JOIN (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) t ON p_partkey = l_partkey")
-same("outer_concat_dropna", "SELECT coalesce(a.k, b.k) AS k, x, y FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS y FROM supplier GROUP BY 1) b ON a.k = b.k WHERE x IS NOT NULL AND y IS NOT NULL")
-same("semi_anti", "SELECT c_custkey, CASE WHEN k IS NULL THEN 'new' ELSE 'known' END AS state FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON k = c_custkey")
-same("set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+
+
+@query("keyed_lookup", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def _(spark, d):
+    return frames.reindex(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey").drop("l_partkey")
+
+
+@query("common_keys_all_screens", "SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) = (SELECT count(DISTINCT l_linenumber) FROM lineitem)")
+def _(spark, d):
+    return frames.in_all_groups(table(spark, d, "lineitem"), "l_partkey", "l_linenumber")
+
+
+@query("reindex_fill", "SELECT p_partkey, coalesce(q, 0) AS q FROM part LEFT JOIN (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) t ON p_partkey = l_partkey")
+def _(spark, d):
+    return frames.reindex(
+        table(spark, d, "part").select("p_partkey"), "p_partkey",
+        table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.sum("l_quantity").cast("long").alias("q")), "l_partkey", 0,
+    )
+
+
+@query("outer_concat_dropna", "SELECT coalesce(a.k, b.k) AS k, x, y FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS y FROM supplier GROUP BY 1) b ON a.k = b.k WHERE x IS NOT NULL AND y IS NOT NULL")
+def _(spark, d):
+    return frames.drop_na(frames.columns_beside([
+        table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("x")),
+        table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("y")),
+    ], "k", "outer"))
+
+
+@query("semi_anti", "SELECT c_custkey, CASE WHEN k IS NULL THEN 'new' ELSE 'known' END AS state FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON k = c_custkey")
+def _(spark, d):
+    return frames.flagged(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "orders"), "o_custkey", "known", "new")
+
+
+@query("set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def _(spark, d):
+    return frames.without(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "orders"), "o_custkey").distinct()
 
 
 @query("ortholog_unique", "SELECT p_name AS source, min(p_brand) AS target FROM part WHERE p_name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
@@ -194,7 +268,11 @@ def _(spark, d):
 same("group_count", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2")
 same("distinct_count", "SELECT l_returnflag, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1")
 same("max_abs", "SELECT c_nationkey, max(abs(c_acctbal)) AS m FROM customer GROUP BY 1")
-same("hit_pivot", "SELECT l_linenumber, coalesce(min(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 0) AS a, coalesce(min(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 0) AS n, coalesce(min(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0) AS r FROM lineitem GROUP BY 1")
+
+
+@query("hit_pivot", "SELECT l_linenumber, coalesce(min(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 0) AS a, coalesce(min(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 0) AS n, coalesce(min(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0) AS r FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return frames.pivot(table(spark, d, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity", {"A": "a", "N": "n", "R": "r"})
 
 
 @query("geo_mean_folds", f"WITH {PV} SELECT gene, {q6('exp(avg(ln(p)))')} AS g FROM pv GROUP BY 1")
@@ -202,9 +280,19 @@ def _(spark, d):
     return tables.geometric_mean(p_values(spark, d), ["gene"], "p").select("gene", nulls.q6(F.col("p")).alias("g"))
 
 
-same("column_bounds", "SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_extendedprice) AS e0, max(l_extendedprice) AS e1 FROM lineitem")
-same("column_moments", f"SELECT l_returnflag, {q6('avg(l_quantity)')} AS m, {q6('var_samp(l_quantity)')} AS v, {q6('stddev_samp(l_quantity)')} AS s FROM lineitem GROUP BY 1")
-same("stacked_bar", "WITH a AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_linenumber, l_returnflag, CAST(sum(n) OVER (PARTITION BY l_linenumber ORDER BY l_returnflag) AS BIGINT) AS top FROM a")
+@query("column_bounds", "SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_extendedprice) AS e0, max(l_extendedprice) AS e1 FROM lineitem")
+def _(spark, d):
+    return frames.bounds(table(spark, d, "lineitem"), {"l_quantity": ("q0", "q1"), "l_extendedprice": ("e0", "e1")})
+
+
+@query("column_moments", f"SELECT l_returnflag, {q6('avg(l_quantity)')} AS m, {q6('var_samp(l_quantity)')} AS v, {q6('stddev_samp(l_quantity)')} AS s FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return frames.moments(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity").select("l_returnflag", *[nulls.q6(F.col(c)).alias(c) for c in "mvs"])
+
+
+@query("stacked_bar", "WITH a AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_linenumber, l_returnflag, CAST(sum(n) OVER (PARTITION BY l_linenumber ORDER BY l_returnflag) AS BIGINT) AS top FROM a")
+def _(spark, d):
+    return frames.stacked(table(spark, d, "lineitem"), ["l_linenumber"], "l_returnflag").drop("n")
 
 
 @query("ecdf", f"SELECT o_orderkey, {q6('cume_dist() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice)')} AS f FROM orders")
@@ -213,7 +301,9 @@ def _(spark, d):
     return r.select("o_orderkey", nulls.q6(F.col("rank") / F.col("group_size")).alias("f"))
 
 
-same("normalise_sum_one", f"WITH a AS (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) SELECT l_partkey, {q6('q * 1e0 / sum(q) OVER ()')} AS w FROM a", f"WITH a AS (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1), t AS (SELECT sum(q) AS total FROM a) SELECT l_partkey, {q6('q * 1e0 / total')} AS w FROM a CROSS JOIN t")
+@query("normalise_sum_one", f"WITH a AS (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) SELECT l_partkey, {q6('q * 1e0 / sum(q) OVER ()')} AS w FROM a")
+def _(spark, d):
+    return frames.to_sum_one(table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").cast("long").alias("q")), "q", "w").select("l_partkey", nulls.q6(F.col("w")).alias("w"))
 
 
 @query("guide_qc", f"""WITH x AS (SELECT event_type, floor(value * 100 + 0.5e0) AS v, log2(floor(value * 100 + 0.5e0) + 1) AS lv FROM events WHERE value IS NOT NULL), m AS (SELECT event_type, median(v) AS med FROM x GROUP BY 1),
@@ -225,7 +315,9 @@ def _(spark, d):
     return got.select("event_type", "total", *[nulls.q6(F.col(c)).alias(c) for c in ("pct_zero", "med", "mad")], "top", nulls.q6(F.col("gini")).alias("gini"))
 
 
-same("hist_bounds", "SELECT CAST(least(floor(l_quantity / 5), 9) AS BIGINT) AS bin, count(*) AS n, least(floor(l_quantity / 5), 9) * 5e0 AS lower_ FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1, 3")
+@query("hist_bounds", "SELECT CAST(least(floor(l_quantity / 5), 9) AS BIGINT) AS bin, count(*) AS n, least(floor(l_quantity / 5), 9) * 5e0 AS lower_ FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1, 3")
+def _(spark, d):
+    return plotdata.histogram(table(spark, d, "lineitem"), "l_quantity", 0.0, 5.0, 10).withColumnRenamed("lower", "lower_")
 
 
 @query("hist_step", "WITH b AS (SELECT min(p_retailprice) AS lo FROM part) SELECT CAST(least(floor((p_retailprice - lo) / 50), 19) AS BIGINT) AS bin, count(*) AS n FROM part, b WHERE p_retailprice <= lo + 50 * 20 GROUP BY 1")
@@ -235,10 +327,24 @@ def _(spark, d):
     return plotdata.histogram(p, "p_retailprice", low, 50.0, 20).select("bin", "n")
 
 
-same("hist_relative_density", f"WITH h AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS total FROM h) SELECT bin, {q6('n * 1e0 / total')} AS rel, {q6('n * 1e0 / total / 5')} AS dens FROM h CROSS JOIN t")
-same("hist_stacked", "WITH h AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, l_returnflag AS stratum, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT bin, stratum, n, CAST(sum(n) OVER (PARTITION BY bin ORDER BY stratum) AS BIGINT) AS top FROM h")
-same("hist_ratio", f"WITH a AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1) SELECT a.bin, {q6('a.n * 1e0 / b.n')} AS ratio FROM a JOIN b ON a.bin = b.bin")
-same("hist_scatter", "WITH h AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1) SELECT bin * 5 + 2.5e0 AS x, n AS y, 0e0 AS zero_, 5e0 AS width FROM h WHERE n > 0")
+@query("hist_relative_density", f"WITH h AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS total FROM h) SELECT bin, {q6('n * 1e0 / total')} AS rel, {q6('n * 1e0 / total / 5')} AS dens FROM h CROSS JOIN t")
+def _(spark, d):
+    return frames.relative(frames.step_histogram(table(spark, d, "lineitem"), "l_quantity", 5), 5).select("bin", *[nulls.q6(F.col(c)).alias(c) for c in ("rel", "dens")])
+
+
+@query("hist_stacked", "WITH h AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, l_returnflag AS stratum, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT bin, stratum, n, CAST(sum(n) OVER (PARTITION BY bin ORDER BY stratum) AS BIGINT) AS top FROM h")
+def _(spark, d):
+    return frames.stacked(table(spark, d, "lineitem").select(frames.bin_of(F.col("l_quantity"), 5).alias("bin"), F.col("l_returnflag").alias("stratum")), ["bin"], "stratum")
+
+
+@query("hist_ratio", f"WITH a AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1) SELECT a.bin, {q6('a.n * 1e0 / b.n')} AS ratio FROM a JOIN b ON a.bin = b.bin")
+def _(spark, d):
+    return frames.ratio(*[frames.step_histogram(t, "l_quantity", 5) for t in (table(spark, d, "lineitem").where("l_returnflag = 'R'"), table(spark, d, "lineitem"))]).select("bin", nulls.q6(F.col("ratio")).alias("ratio"))
+
+
+@query("hist_scatter", "WITH h AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1) SELECT bin * 5 + 2.5e0 AS x, n AS y, 0e0 AS zero_, 5e0 AS width FROM h WHERE n > 0")
+def _(spark, d):
+    return frames.step_histogram(table(spark, d, "lineitem"), "l_quantity", 5).select((F.col("lower") + 2.5).alias("x"), F.col("n").alias("y"), F.lit(0.0).alias("zero_"), F.lit(5.0).alias("width"))
 
 
 _P6 = lambda p: f"CASE WHEN c = 1 OR {p} * (c + 1) <= 1 THEN v[1] WHEN {p} * (c + 1) >= c THEN v[c] ELSE v[CAST(floor({p} * (c + 1)) AS INT)] + ({p} * (c + 1) - floor({p} * (c + 1))) * (v[CAST(floor({p} * (c + 1)) AS INT) + 1] - v[CAST(floor({p} * (c + 1)) AS INT)]) END"
@@ -289,7 +395,9 @@ def _(spark, d):
     return ranks.numbered(o, ["o_orderpriority"], ["h", "o_orderkey"]).select("o_orderkey", F.col("i").alias("r"))
 
 
-same("zscore", f"WITH m AS (SELECT avg(c_acctbal) AS a, stddev_samp(c_acctbal) AS s FROM customer) SELECT c_custkey, {q6('(c_acctbal - a) / s')} AS z FROM customer CROSS JOIN m")
+@query("zscore", f"WITH m AS (SELECT avg(c_acctbal) AS a, stddev_samp(c_acctbal) AS s FROM customer) SELECT c_custkey, {q6('(c_acctbal - a) / s')} AS z FROM customer CROSS JOIN m")
+def _(spark, d):
+    return frames.zscore(table(spark, d, "customer"), "c_acctbal", "z").select("c_custkey", nulls.q6(F.col("z")).alias("z"))
 
 
 @query("clamp_max_below_one", f"WITH {PV}, m AS (SELECT max(CASE WHEN p < 1 THEN p END) AS top FROM pv) SELECT screen, gene, {q6('CASE WHEN p = 1 THEN top ELSE p END')} AS p FROM pv CROSS JOIN m")
@@ -297,12 +405,34 @@ def _(spark, d):
     return tables.clamp_below(p_values(spark, d), "p", 1.0).select("screen", "gene", nulls.q6(F.col("p")).alias("p"))
 
 
-same("running_cdf", "WITH a AS (SELECT l_quantity AS q, count(*) AS n FROM lineitem GROUP BY 1) SELECT q, CAST(sum(n) OVER (ORDER BY q) AS BIGINT) AS upto FROM a")
+@query("running_cdf", "WITH a AS (SELECT l_quantity AS q, count(*) AS n FROM lineitem GROUP BY 1) SELECT q, CAST(sum(n) OVER (ORDER BY q) AS BIGINT) AS upto FROM a")
+def _(spark, d):
+    return frames.cumulative_counts(table(spark, d, "lineitem").select(F.col("l_quantity").alias("q")), "q")
+
+
 same("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
-same("frequency_filter", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 3")
-same("head_tail", "SELECT * FROM (SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20) a UNION ALL SELECT * FROM (SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 20) b")
-same("factor_sort", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS ord FROM orders")
-same("edge_union", "SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v, 1e0 AS w FROM (SELECT c_nationkey AS a, c_custkey % 25 AS b FROM customer UNION ALL SELECT s_nationkey AS a, s_suppkey % 25 AS b FROM supplier) t WHERE a <> b")
+
+
+@query("frequency_filter", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 3")
+def _(spark, d):
+    return frames.frequent(table(spark, d, "lineitem"), ["l_partkey"], 3)
+
+
+@query("head_tail", "SELECT * FROM (SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20) a UNION ALL SELECT * FROM (SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 20) b")
+def _(spark, d):
+    return frames.head_tail(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"], 20)
+
+
+@query("factor_sort", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS ord FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", frames.factor(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"]).alias("ord"))
+
+
+@query("edge_union", "SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v, 1e0 AS w FROM (SELECT c_nationkey AS a, c_custkey % 25 AS b FROM customer UNION ALL SELECT s_nationkey AS a, s_suppkey % 25 AS b FROM supplier) t WHERE a <> b")
+def _(spark, d):
+    return frames.union_pairs([table(spark, d, t).selectExpr(f"{k}_nationkey AS a", f"{i} % 25 AS b") for t, k, i in (("customer", "c", "c_custkey"), ("supplier", "s", "s_suppkey"))])
+
+
 same("gmt_explode", "SELECT DISTINCT doc_id, unnest(list_slice(string_split(text, chr(10)), 3, 1000000)) AS member FROM documents", "SELECT DISTINCT doc_id, explode(slice(split(text, '\\n'), 3, greatest(size(split(text, '\\n')) - 2, 0))) AS member FROM documents")
 
 
@@ -338,7 +468,9 @@ def _(spark, d):
     return graph.stochastic(*nations(spark, d), drop_isolated=True).select("src", "dst", nulls.q6(F.col("w")).alias("w"))
 
 
-same("vertex_set", "SELECT c_nationkey AS id FROM customer UNION SELECT s_nationkey AS id FROM supplier")
+@query("vertex_set", "SELECT c_nationkey AS id FROM customer UNION SELECT s_nationkey AS id FROM supplier")
+def _(spark, d):
+    return graph.vertices(table(spark, d, "customer").selectExpr("c_nationkey AS src", "c_nationkey AS dst").unionAll(table(spark, d, "supplier").selectExpr("s_nationkey", "s_nationkey")))
 
 
 def _iterate(step: str, start: str, n: int, keys: str = "id") -> str:

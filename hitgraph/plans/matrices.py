@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import nulls, stats
-from ..operators import evalml, graph, linear, plotrows, ranks, similarity
+from ..operators import evalml, frames, graph, linear, plotrows, ranks, similarity
 from .registry import NATIONS, PV, nations, p_values, q6, query, same, table
 
 _D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
@@ -81,7 +81,11 @@ def _(spark, d):
     return similarity.Standardiser(cols).fit(p).transform(p).select("p_partkey", *[nulls.q6(F.col(c)).alias(c) for c in cols])
 
 
-same("binarise_weight", "WITH e AS (SELECT l_partkey AS a, l_suppkey AS b, sum(l_discount) AS w FROM lineitem GROUP BY 1, 2) SELECT a, b, CASE WHEN w > 0 THEN 1 ELSE 0 END AS w FROM e")
+@query("binarise_weight", "WITH e AS (SELECT l_partkey AS a, l_suppkey AS b, sum(l_discount) AS w FROM lineitem GROUP BY 1, 2) SELECT a, b, CASE WHEN w > 0 THEN 1 ELSE 0 END AS w FROM e")
+def _(spark, d):
+    return frames.binarise(table(spark, d, "lineitem").withColumnsRenamed({"l_partkey": "a", "l_suppkey": "b"}), ["a", "b"], "l_discount")
+
+
 same("round_display", "SELECT p_partkey, floor(p_retailprice * 10 + 0.5e0) / 10 AS price FROM part")
 
 
