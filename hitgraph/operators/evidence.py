@@ -65,6 +65,7 @@ def bh_adjust(ps: DataFrame, group: list[str]) -> DataFrame:
 
     By distinct p: few groups are no few tasks.
     """
+    ps = materialize(ps)  # read twice: sums of doubles might differ between two runs, and would then not meet
     r = ranks.ranked(ps, group, "p")
     r = r.select(*group, "p", (F.col("p") * F.col("group_size") / (F.col("rank_min") + F.col("ties") - 1)).alias("_raw"))
     low = ranks.running(r, group, "p", {"_low": ("min", "_raw")}, descending=True)
