@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nulls
-from . import plotrows, ranks
+from . import pairs, plotrows, ranks
 from .written import materialize
 
 
@@ -103,28 +103,14 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
 
 
-def knn(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int, most: int = 100_000) -> DataFrame:
-    """The k nearest points of each query, by squared distance then key; a stated query set, broadcast if small."""
-    n = queries.count()
-    if n > most:
-        raise ValueError(f"over {most} queries: split them into blocks")
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("_q")))
-    d = points.join(q, F.col(key) != F.col("query")).select("query", F.col(key).alias("neighbour"), squared_distance(F.col("_q"), F.col(vector)).alias("d2"))
-    w = Window.partitionBy("query").orderBy("d2", "neighbour")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def knn(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int, most: int = pairs.QUERIES) -> DataFrame:
+    """(query, neighbour, d2, rank): the k nearest points of each query, by squared distance then key; blocks of some `most` queries."""
+    return pairs.nearest(queries, points, key, vector, k, query_rows=most)
 
 
-def knn_blocks(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int, most: int = 100_000) -> DataFrame:
-    """knn of any number of queries, in blocks by hash of some most / 2 queries each."""
-    n = queries.count()
-    if n <= most:
-        return knn(queries, points, key, vector, k, most)
-    blocks = -(-2 * n // most)
-    out = None
-    for b in range(blocks):
-        got = knn(queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), points, key, vector, k, most)
-        out = got if out is None else out.unionByName(got)
-    return out
+def knn_blocks(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int, most: int = pairs.QUERIES) -> DataFrame:
+    """knn, which takes any number of queries."""
+    return knn(queries, points, key, vector, k, most)
 
 
 def against_all(queries: DataFrame, points: DataFrame, key: str, vector: str, most: int = 100_000) -> DataFrame:
