@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SIZE = 128
 #: Blocks of a product that a task adds up before it sends them on.
 HELD = 256
+#: Blocks that a task copies at once out of a batch of Arrow, which may hold hundreds.
+FEW = 16
 _SCHEMA = "bi long, bj long, data binary"
 
 
@@ -38,8 +40,8 @@ def from_blocks(blocks: DataFrame, size: int = SIZE) -> DataFrame:
 
     def cells(batches):
         for rb in batches:
-            for bi, bj, data in zip(rb.column("bi").to_pylist(), rb.column("bj").to_pylist(), rb.column("data").to_pylist()):
-                m = np.frombuffer(data)
+            for bi, bj, data in zip(*(rb.column(c) for c in ("bi", "bj", "data"))):  # a block at a time: a batch holds many
+                bi, bj, m = bi.as_py(), bj.as_py(), np.frombuffer(data.as_buffer())
                 at = np.flatnonzero(m)
                 yield pa.RecordBatch.from_arrays([pa.array(bi * size + at // size), pa.array(bj * size + at % size), pa.array(m[at])], ["i", "j", "v"])
 
@@ -50,9 +52,11 @@ def _each(blocks: DataFrame, f) -> DataFrame:
     """f over the numbers of each block; it must leave 0 at 0."""
 
     def apply(batches):
-        for rb in batches:
-            data = [f(np.frombuffer(d)).tobytes() for d in rb.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([rb.column("bi"), rb.column("bj"), pa.array(data, pa.binary())], ["bi", "bj", "data"])
+        for batch in batches:
+            for s in range(0, len(batch), FEW):
+                rb = batch.slice(s, FEW)
+                data = [f(np.frombuffer(d.as_buffer())).tobytes() for d in rb.column("data")]
+                yield pa.RecordBatch.from_arrays([rb.column("bi"), rb.column("bj"), pa.array(data, pa.binary())], ["bi", "bj", "data"])
 
     return blocks.select("bi", "bj", "data").mapInArrow(apply, _SCHEMA)
 
@@ -69,7 +73,9 @@ def transpose(blocks: DataFrame, size: int = SIZE) -> DataFrame:
 
 def _sum(blocks: DataFrame) -> DataFrame:
     def add(rows: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(d) for d in rows["data"].to_pylist()], axis=0)
+        total = 0.0
+        for d in rows["data"]:
+            total = total + np.frombuffer(d.as_buffer())
         return pa.table({"bi": rows["bi"][:1], "bj": rows["bj"][:1], "data": pa.array([total.tobytes()], pa.binary())})
 
     return blocks.groupBy("bi", "bj").applyInArrow(add, _SCHEMA)  # a block from each task or side
@@ -84,9 +90,11 @@ def elementwise(a: DataFrame, b: DataFrame) -> DataFrame:
     met = a.select("bi", "bj", "data").join(b.select("bi", "bj", F.col("data").alias("other")), ["bi", "bj"])
 
     def times(batches):
-        for rb in batches:
-            data = [(np.frombuffer(x) * np.frombuffer(y)).tobytes() for x, y in zip(rb.column("data").to_pylist(), rb.column("other").to_pylist())]
-            yield pa.RecordBatch.from_arrays([rb.column("bi"), rb.column("bj"), pa.array(data, pa.binary())], ["bi", "bj", "data"])
+        for batch in batches:
+            for s in range(0, len(batch), FEW):
+                rb = batch.slice(s, FEW)
+                data = [(np.frombuffer(x.as_buffer()) * np.frombuffer(y.as_buffer())).tobytes() for x, y in zip(rb.column("data"), rb.column("other"))]
+                yield pa.RecordBatch.from_arrays([rb.column("bi"), rb.column("bj"), pa.array(data, pa.binary())], ["bi", "bj", "data"])
 
     return met.mapInArrow(times, _SCHEMA)
 
@@ -106,8 +114,9 @@ def multiply(a: DataFrame, b: DataFrame, size: int = SIZE) -> DataFrame:
             return rb
 
         for rb in batches:
-            for i, j, x, y in zip(*(rb.column(c).to_pylist() for c in ("i", "j", "left", "right"))):
-                p = np.frombuffer(x).reshape(size, size) @ np.frombuffer(y).reshape(size, size)
+            for i, j, x, y in zip(*(rb.column(c) for c in ("i", "j", "left", "right"))):
+                i, j = i.as_py(), j.as_py()
+                p = np.frombuffer(x.as_buffer()).reshape(size, size) @ np.frombuffer(y.as_buffer()).reshape(size, size)
                 if (i, j) in held:
                     held[i, j] += p
                 else:

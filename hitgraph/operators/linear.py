@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,11 +115,11 @@ def _residuals(back: DataFrame, right: DataFrame, turn: np.ndarray, sigma: np.nd
     return np.sqrt([row[f"r{c}"] for c in range(k)])
 
 
-def svd_rows(cells: DataFrame, k: int = 10, extra: int = 6, most: int = 60, eps: float = 1e-9) -> DataFrame:
+def svd_rows(cells: DataFrame, k: int = 10, extra: int = 6, rounds: int = 60, eps: float = 1e-9) -> DataFrame:
     """(id, component, value, sigma): rows of U * sqrt(sigma) of the k largest singular values, by subspace iteration.
 
     Each round is two joins of the cells with a thin matrix; the driver sees (k + extra)^2 numbers.  Rounds end when
-    A'u differs from sigma v by eps * (the largest sigma) at most for each of the k triples; raises after `most`.  The
+    A'u differs from sigma v by eps * (the largest sigma) at most for each of the k triples; raises after so many `rounds`.  The
     start comes from a hash of the ids, so results repeat.  A component's sign makes its largest entry positive.  Up to
     MOST_SAMPLES rows give their products in one step instead, with equal results.
     """
@@ -130,19 +131,25 @@ def svd_rows(cells: DataFrame, k: int = 10, extra: int = 6, most: int = 60, eps:
     ids = cells.select(F.col("j").alias("id")).distinct()
     start = [(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(2_000_003)) / 1_000_001.0 - 1.0).alias(f"c{c}") for c in range(wide)]
     right = _orthogonal(ids.select("id", *start), wide)
-    for _ in range(most):
-        right = materialize(right)
-        image = materialize(_apply(cells, right, wide, "j", "i"))
-        value, vector = np.linalg.eigh(_thin_gram(image, wide))
-        value, vector = np.maximum(value[::-1], 0.0), vector[:, ::-1]
-        sigma = np.sqrt(value)
-        unit = _times(image, vector * np.where(sigma > sigma[0] * 1e-12, 1 / np.maximum(sigma, 1e-300), 0.0))
-        back = materialize(_apply(cells, unit, wide, "i", "j"))
-        if (_residuals(back, right, vector, sigma, k0) <= eps * sigma[0]).all():
-            break
-        right = _orthogonal(back, wide)
-    else:
-        raise RuntimeError(f"singular vectors: no convergence after {most} rounds")
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by i, so that sums over j need no shuffle and the other product moves the thin side alone; lost blocks come back from the written cells
+    held = cells.repartition(parts, "i").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(rounds):
+            right = materialize(right)
+            image = materialize(_apply(held, right, wide, "j", "i"))
+            value, vector = np.linalg.eigh(_thin_gram(image, wide))
+            value, vector = np.maximum(value[::-1], 0.0), vector[:, ::-1]
+            sigma = np.sqrt(value)
+            unit = _times(image, vector * np.where(sigma > sigma[0] * 1e-12, 1 / np.maximum(sigma, 1e-300), 0.0))
+            back = materialize(_apply(held, unit, wide, "i", "j"))
+            if (_residuals(back, right, vector, sigma, k0) <= eps * sigma[0]).all():
+                break
+            right = _orthogonal(back, wide)
+        else:
+            raise RuntimeError(f"singular vectors: no convergence after {rounds} rounds")
+    finally:
+        held.unpersist()
     value, vector = value[:k0], vector[:, :k0]
     sigma = np.sqrt(value)
     out = _times(image, vector * np.where(sigma > 0, 1 / np.sqrt(np.maximum(sigma, 1e-300)), 0.0))
