@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hitgraph.operators import evalml, evidence, layout, ranks, similarity, sparse, styling
+from hitgraph.operators.written import materialize
 from hitgraph.sources import files, records
 
 
@@ -69,6 +70,24 @@ def test_layout(spark):
         layout.layout_2d(edges, df, "id", most=39)
 
 
+def test_layout_in_blocks(spark, monkeypatch):
+    """More vertices than one task takes are laid out too, in blocks; two crowds come apart, one vertex has no edge."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4) + (0 if i < 20 else 8)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    edges = materialize(layout.fuzzy_edges(evalml.knn_blocks(df, df, "id", "v", 5)))
+    monkeypatch.setattr(layout, "MOST_VERTICES", 39)
+    every = df.select("id").union(spark.createDataFrame([(99,)], "id long"))
+    assert layout.layout_2d(edges, every, "id", epochs=1).count() == 41
+    of = lambda e, epochs, **how: {r.id: (r.x, r.y) for r in layout.in_blocks(e, every, "id", epochs=epochs, block=16, **how).collect()}
+    assert of(edges, 6) == of(edges.repartition(3), 6, stride=4)
+    places = of(edges, 100, stride=20)
+    assert places.keys() == {*range(40), 99}
+    at = np.array([places[i] for i in range(40)])
+    close = np.linalg.norm(at[:, None] - at[None], axis=2).argsort(1)[:, 1:4]
+    assert ((close < 20) == (np.arange(40)[:, None] < 20)).mean() > 0.9
+
+
 def test_records(spark, tmp_path):
     r = records.Report().section("a<b", "<p>x</p>") + records.Report((("c", "y"),))
     assert "a&lt;b" in r.render() and r.render().count("<h2") == 2
