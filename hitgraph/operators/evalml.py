@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+from typing import Any
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nulls
 from . import pairs, plotrows, ranks
 from .written import materialize
 
+#: Rows of a part that a learner reads, about.
+PART = 1 << 14
+
 
 def hash_order(key: Column, seed: int = 0) -> Column:
     """A reproducible shuffle key that any SQL engine computes: (key + seed) * 2654435761 modulo 2^32, for keys of any size."""
@@ -149,10 +157,19 @@ def kmeans(points: DataFrame, key: str, vector: str, centres: list[tuple[int, li
         centres = [(i, moved.get(i, c)) for i, c in centres]
 
 
-def in_fixed_order(df: DataFrame, key: str) -> DataFrame:
-    """df dealt by a hash of the key and sorted: learners that draw rows by part and place then draw the same ones each time."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, key).sortWithinPartitions(key)
+def in_fixed_order(df: DataFrame, key: str, rows: int = PART) -> DataFrame:
+    """df dealt by a hash of the key and sorted: learners that draw rows by part and place then draw the same ones each time.
+
+    A part holds some `rows` rows whatever the cluster: a forest's task adds up its part in one table of all nodes and sends
+    it whole, so parts are as many as the rows need and not as the session shuffles.  df is written, as it is counted first.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), key).sortWithinPartitions(key)
+
+
+def at_once(spark: SparkSession, fits: list[Callable[[], Any]]) -> list[Any]:
+    """What each of a few functions gives, in threads: a fit waits for the driver at each level, and the others' tasks run meanwhile."""
+    with ThreadPool(max(1, len(fits))) as pool:
+        return pool.map(lambda f: f(), [inheritable_thread_target(spark)(f) for f in fits], 1)
 
 
 def forest_cv(df: DataFrame, key: str, vector: str, target: str, folds: int = 3, trees: int = 500, seed: int = 0) -> DataFrame:
@@ -164,11 +181,16 @@ def forest_cv(df: DataFrame, key: str, vector: str, target: str, folds: int = 3,
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = stratified_folds(df, target, key, folds, seed).select(key, "fold", F.col(target).cast("double").alias("label"), array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("features"))
-    rows = materialize(in_fixed_order(rows, key))
+    rows = materialize(rows)
     width = len(rows.first()["features"])
     model = RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(max(1, int((width + 1) ** 0.5))), seed=seed, probabilityCol="chance")
+    dealt = in_fixed_order(rows, key).persist()
+    try:
+        models = at_once(df.sparkSession, [lambda k=k: model.fit(dealt.where(F.col("fold") != k)) for k in range(folds)])
+    finally:
+        dealt.unpersist()
     scored = None
-    for k in range(folds):
-        got = model.fit(rows.where(F.col("fold") != k)).transform(rows).select(key, nulls.safe_ln(vector_to_array("chance")[1]).alias("l"))
+    for fitted in models:
+        got = fitted.transform(rows).select(key, nulls.safe_ln(vector_to_array("chance")[1]).alias("l"))
         scored = got if scored is None else scored.unionByName(got)
     return scored.groupBy(key).agg(F.exp(F.avg("l")).alias("p"))

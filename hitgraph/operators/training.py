@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
@@ -109,7 +110,7 @@ def supervised_eval(features: DataFrame, targets: DataFrame, key: str, vector: s
     """Cross-validated scores of every row that has features, and each fold's metrics on its held-out targets.
 
     features: key (unique integer), an array column (rows with a NULL or NaN component drop); targets: key, 0 or 1.
-    Folds are stratified by target and repeatable.  Each fold's pipeline is fitted on its training rows alone, gives
+    Folds are stratified by target, repeatable and fitted side by side.  Each fold's pipeline is fitted on its training rows alone, gives
     the probabilities of its held-out rows (fold, auc1, ap1, threshold1, n_true, n_false) and of all rows with features,
     with and without target.  `pipeline(vector, target column, width)` may give another Spark ML pipeline whose
     model writes probabilities to _chance.  Raises if a fold holds out rows of one class only.
@@ -120,17 +121,20 @@ def supervised_eval(features: DataFrame, targets: DataFrame, key: str, vector: s
     if one is None:
         raise ValueError("no row has features")
     known = every.join(targets.where(F.col(target).isNotNull()).select(key, F.col(target).cast("double").alias("_target")), key)
-    dealt = materialize(evalml.in_fixed_order(evalml.stratified_folds(known, "_target", key, folds, seed), key))
+    dealt = evalml.in_fixed_order(materialize(evalml.stratified_folds(known, "_target", key, folds, seed)), key).persist()
     make = pipeline or (lambda v, t, width: forest(v, t, width, trees, seed))
     chance = nulls.nan_to_null(vector_to_array("_chance")[1])
-    scored = metrics = None
-    models = []
-    for fold, split in enumerate(premade(F.col("fold"), folds)):
+
+    def fitted(fold, split):
         model = make("_features", "_target", len(one["_features"])).fit(dealt.where(split.train))
-        models.append(model)
         held = materialize(model.transform(dealt.where(split.test)).select(key, chance.alias("p"), (F.col("_target") == 1).alias("true")))
-        got = evalml.two_class_metrics(held, "p", "true", key).select(F.lit(fold).cast("long").alias("fold"), "*")
-        metrics = got if metrics is None else metrics.unionByName(got)
-        p = model.transform(every).select(key, nulls.safe_ln(chance).alias("_l"))
-        scored = p if scored is None else scored.unionByName(p)
-    return Evaluation(scored.groupBy(key).agg(F.exp(F.avg("_l")).alias("p")), metrics, models)
+        return model, evalml.two_class_metrics(held, "p", "true", key).select(F.lit(fold).cast("long").alias("fold"), "*")
+
+    try:
+        got = evalml.at_once(features.sparkSession, [lambda fold=fold, split=split: fitted(fold, split) for fold, split in enumerate(premade(F.col("fold"), folds))])
+    finally:
+        dealt.unpersist()
+    models = [model for model, _ in got]
+    scored = [model.transform(every).select(key, nulls.safe_ln(chance).alias("_l")) for model in models]
+    scores, metrics = reduce(DataFrame.unionByName, scored), reduce(DataFrame.unionByName, [m for _, m in got])
+    return Evaluation(scores.groupBy(key).agg(F.exp(F.avg("_l")).alias("p")), metrics, models)

@@ -1,11 +1,12 @@
 import math
+import threading
 
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from hitgraph.operators import splits, training
+from hitgraph.operators import evalml, splits, training
 
 
 def test_fitted_on_training_rows_alone(spark, tmp_path):
@@ -60,6 +61,39 @@ def test_supervised_eval(spark):
         training.supervised_eval(features.where("false"), targets, "id", "v", "t")
 
 
+def test_folds_are_fitted_side_by_side(spark):
+    """All fits are under way at once; parts follow the rows, so that no draw depends on how the session shuffles."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)], int(rng.integers(0, 2))) for i in range(120)], "id long, v array<double>, t int")
+    meeting, parts = threading.Barrier(3), []
+
+    class Meets:
+        def __init__(self, learner):
+            self.learner = learner
+
+        def fit(self, rows):
+            meeting.wait(20)
+            parts.append(rows.rdd.getNumPartitions())
+            return self.learner.fit(rows)
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    scores, plain = [], []
+    try:
+        for n in (3, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = training.supervised_eval(df.select("id", "v"), df.select("id", "t"), "id", "v", "t", pipeline=lambda v, t, width: Meets(training.forest(v, t, width, trees=10)))
+            scores.append({r.id: r.p for r in got.scores.collect()})
+            plain.append({r.id: r.p for r in evalml.forest_cv(df, "id", "v", "t", trees=10).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert parts == [1] * 6
+    assert len(scores[0]) == 120 and scores[0] == scores[1] and plain[0] == plain[1]
+    many = evalml.in_fixed_order(df, "id", rows=50)
+    assert many.rdd.getNumPartitions() == 3 and many.count() == 120
+    with pytest.raises(ZeroDivisionError):  # a fold's error is the caller's
+        evalml.at_once(spark, [lambda: 1, lambda: 1 // 0])
+
+
 def test_splits(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("g"), F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id")).alias("maybe"), F.lit("x").alias("side"))
     ids = lambda c: {r.id for r in df.where(c).collect()}
