@@ -610,10 +610,10 @@ def _(spark, d):
 _D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
 
 
-@query("knn_graph", f"WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), r AS (SELECT query, vec_id AS neighbour, row_number() OVER (PARTITION BY query ORDER BY {_D2.format(a='v', b='embedding')}, vec_id) AS rank FROM q JOIN embeddings ON vec_id <> query) SELECT query, neighbour, rank FROM r WHERE rank <= 15")
+@query("knn_graph", f"WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings), r AS (SELECT query, vec_id AS neighbour, row_number() OVER (PARTITION BY query ORDER BY {_D2.format(a='v', b='embedding')}, vec_id) AS rank FROM q JOIN embeddings ON vec_id <> query) SELECT query, neighbour, rank FROM r WHERE rank <= 15")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    return evalml.knn_blocks(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 15).select("query", "neighbour", "rank")
+    return evalml.knn_blocks(e, e, "vec_id", "embedding", 15).select("query", "neighbour", "rank")
 
 
 @query("kmeans_step", f"WITH c AS (SELECT vec_id AS k, embedding AS v FROM embeddings WHERE vec_id < 10), r AS (SELECT vec_id, k, row_number() OVER (PARTITION BY vec_id ORDER BY {_D2.format(a='embedding', b='v')}, k) AS i FROM embeddings, c) SELECT vec_id, k AS centre FROM r WHERE i = 1")
