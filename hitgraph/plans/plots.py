@@ -49,10 +49,10 @@ def _(spark, d):
 _D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
 
 
-@query("segment_endpoints", f"WITH q AS (SELECT vec_id AS u, embedding AS v0 FROM embeddings WHERE vec_id % 50 = 0), r AS (SELECT u, vec_id AS v, row_number() OVER (PARTITION BY u ORDER BY {_D2.format(a='v0', b='embedding')}, vec_id) AS rank FROM q JOIN embeddings ON vec_id <> u) SELECT u, v, rank, a.embedding[1] AS x1, a.embedding[2] AS y1, b.embedding[1] AS x2, b.embedding[2] AS y2 FROM r JOIN embeddings a ON a.vec_id = u JOIN embeddings b ON b.vec_id = v WHERE rank <= 5")
+@query("segment_endpoints", f"WITH q AS (SELECT vec_id AS u, embedding AS v0 FROM embeddings), r AS (SELECT u, vec_id AS v, row_number() OVER (PARTITION BY u ORDER BY {_D2.format(a='v0', b='embedding')}, vec_id) AS rank FROM q JOIN embeddings ON vec_id <> u) SELECT u, v, rank, a.embedding[1] AS x1, a.embedding[2] AS y1, b.embedding[1] AS x2, b.embedding[2] AS y2 FROM r JOIN embeddings a ON a.vec_id = u JOIN embeddings b ON b.vec_id = v WHERE rank <= 5")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    edges = evalml.knn_blocks(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5).select(F.col("query").alias("u"), F.col("neighbour").alias("v"), "rank")
+    edges = evalml.knn_blocks(e, e, "vec_id", "embedding", 5).select(F.col("query").alias("u"), F.col("neighbour").alias("v"), "rank")
     return plotrows.segment_endpoints(edges, e.select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y")), "vec_id", "x", "y")
 
 
